@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, matroska, secrets, token_counts, zip_warc
+from . import bwt_merge, byte_bpe, decontaminate, jaccard_join, langid, matroska, recompression, secrets, storage, token_counts, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_report(media, "doc_id", "media", "n_bytes")
 
 
+def op2_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id")
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -36,8 +44,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = zip_warc.shared_folder(spark, "archives")
+    folder = storage.shared_folder(spark, "archives")
     zip_warc.build_archives(_table(spark, sf_dir, "pages"), "page_id", "url", "html").write.parquet(folder)
     return zip_warc.read_archives(spark.read.parquet(folder)).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -56,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_matroska, op4_phrase_index, op5_language_mixture, op6_byte_bpe, op8_zip_warc, op9_trigram_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_matroska, op2_bwt_merge, op3_jaccard_join, op4_phrase_index, op5_language_mixture, op6_byte_bpe, op7_recompression, op8_zip_warc, op9_trigram_secrets, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

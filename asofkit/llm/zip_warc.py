@@ -11,7 +11,6 @@ import gzip
 import hashlib
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -199,13 +198,3 @@ def read_archives(df: DataFrame, content_col: str = "content", id_kind: str = "b
 def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
     """read_archives() over the ZIP files at a path."""
     return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.[wz][ai][cp]*").load(path), "content", id_kind)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/asofkit-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
