@@ -12,6 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that are held as numpy arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -35,10 +36,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text), null as the empty text."""
+def texts(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id, text), null as the empty text; carry adds the whole row as `row`."""
     bounded_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+
+
+def schema(ddl: str, docs: DataFrame) -> T.StructType:
+    """The schema of a map over texts(): with `row` if that is carried."""
+    out = T.StructType.fromDDL(ddl)
+    return out.add("row", docs.schema["row"].dataType) if "row" in docs.columns else out
+
+
+def result(rows: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Columns of a map over texts(), with the carried rows."""
+    if "row" in rows.schema.names:
+        columns = columns | {"row": rows.column("row")}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays
 
@@ -163,35 +164,33 @@ def schema_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", per_pass: int = ITEMS_PER_PASS, carry: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids as sorted strings), contaminated.
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null, empty and wordless texts have no hits, and an empty
     benchmark hits nothing. Repeated rows give repeated results. One pass needs no shuffle; a benchmark
-    of more than `per_pass` items takes several, whose hit ranges are then joined by row.
+    of more than `per_pass` items takes several, whose hit ranges are then joined by row. carry adds the input row.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs = arrays.texts(df, id_col, text_col)
-    schema = f"doc_id {kind}, part int, digest string, n_words long, ranges binary, items array<string>"
+    docs = arrays.texts(df, id_col, text_col, carry)
+    schema = arrays.schema(f"doc_id {kind}, part int, digest string, n_words long, ranges binary, items array<string>", docs)
+    verdict = arrays.schema(f"doc_id {kind}, n_words long, n_hit long, items array<string>, contaminated boolean", docs)
     found = []
     for number, p in enumerate(passes(benchmark, item_col, item_text, per_pass)):
         found.append(_hits(docs, p, schema, number))
     if not found:
         found.append(_hits(docs, phrases([]), schema, 0))
     if len(found) == 1:
-        return found[0].mapInArrow(_verdict, _VERDICT.format(kind))
+        return found[0].mapInArrow(_verdict, verdict)
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    merged = union.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.collect_list("ranges").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count_if(F.col("part") == 0).cast("int").alias("copies"))
-    merged = merged.select("doc_id", "n_words", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ranges"), "items", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))
-    return merged.mapInArrow(_verdict, _VERDICT.format(kind))
-
-
-_VERDICT = "doc_id {}, n_words long, n_hit long, items array<string>, contaminated boolean"
+    merged = union.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.collect_list("ranges").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count_if(F.col("part") == 0).cast("int").alias("copies"), *([F.collect_list(F.when(F.col("part") == 0, F.col("row"))).alias("rows")] if carry else []))
+    merged = merged.select("doc_id", "n_words", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ranges"), "items", F.explode("rows" if carry else F.array_repeat(F.lit(1), F.col("copies"))).alias("row" if carry else "copy"))
+    return merged.mapInArrow(_verdict, verdict)
 
 
-def _hits(docs: DataFrame, p: Phrases, schema: str, number: int) -> DataFrame:
+def _hits(docs: DataFrame, p: Phrases, schema: T.StructType, number: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +208,7 @@ def _hits(docs: DataFrame, p: Phrases, schema: str, number: int) -> DataFrame:
                 ranges.append(np.stack([q, q + p.length[w]], 1).astype("<i8").tobytes())
                 items.append(sorted({str(i) for k in set(w.tolist()) for i in p.items[k]}))
                 digests.append(hashlib.md5(data[at[d] : at[d + 1]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([number] * rows.num_rows, pa.int32()), pa.array(digests), pa.array(np.diff(index.first), pa.int64()), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "part", "digest", "n_words", "ranges", "items"])
+            yield arrays.result(rows, {"doc_id": rows.column("doc_id"), "part": pa.array([number] * rows.num_rows, pa.int32()), "digest": pa.array(digests), "n_words": pa.array(np.diff(index.first), pa.int64()), "ranges": pa.array(ranges, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))})
 
     return docs.mapInArrow(run, schema)
 
@@ -226,4 +225,4 @@ def _verdict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [sorted(i) for i in batch.column("items").to_pylist()]
         n_words = batch.column("n_words").to_numpy()
         hit = np.array(n_hit, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array((hit > 0) & (20 * hit >= n_words))], names=["doc_id", "n_words", "n_hit", "items", "contaminated"])
+        yield arrays.result(batch, {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words), "n_hit": pa.array(hit), "items": pa.array(items, pa.list_(pa.string())), "contaminated": pa.array((hit > 0) & (20 * hit >= n_words))})

@@ -264,14 +264,15 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return arrays.by_bucket(docs.mapInArrow(sent, repeats.ENTRY)).mapInArrow(edges, _EDGES)
 
 
-def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Per row: key, doc_id, n_shingles, component (the least key that links reach; keys are ids unless ids repeat), component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct `size`-word shingles. Null, empty
-    and wordless texts have no shingles and no links. Rows that repeat an id count as documents of their own.
+    and wordless texts have no shingles and no links. Rows that repeat an id count as documents of their own. carry adds the input row.
     """
     spark = df.sparkSession
-    docs, shift = repeats.numbered(df, id_col, text_col)
+    whole, shift = repeats.numbered(df, id_col, text_col, carry)
+    docs = whole.select("key", "doc_id", "text")
     block = components.components(candidates(docs, size, percent)).select(F.col("a").alias("key"), F.col("component").alias("block"))
     block = storage.written(block, "blocks")
     n = arrays.partitions(spark)
@@ -299,11 +300,11 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in arrays.slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("doc_id"), pa.array(np.diff(shingles(data, at, size)[1]), pa.int64())], names=["key", "doc_id", "n_shingles"])
+            yield arrays.result(rows, {"key": rows.column("key"), "doc_id": rows.column("doc_id"), "n_shingles": pa.array(np.diff(shingles(data, at, size)[1]), pa.int64())})
 
-    counted = docs.mapInArrow(count, "key long, doc_id long, n_shingles long").join(own, "key", "left")
+    counted = whole.mapInArrow(count, arrays.schema("key long, doc_id long, n_shingles long", whole)).join(own, "key", "left")
     component = F.coalesce("component", "key")
-    return counted.select("key", "doc_id", "n_shingles", component.alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.shiftright(component, shift)).alias("component_id"))
+    return counted.select("key", "doc_id", "n_shingles", component.alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.shiftright(component, shift)).alias("component_id"), *(["row"] if carry else []))
 
 
 def _heavy_edges(members: DataFrame, heavy: DataFrame, connect, by_block, size: int, percent: int, block_docs: int, block_bytes: int) -> DataFrame:

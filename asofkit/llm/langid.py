@@ -154,11 +154,11 @@ def infer(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, model: Model, carry: bool = False) -> DataFrame:
     """Per row: doc_id, lang_pred, score (the predicted language's proportion), languages, shares (of the selected set, largest first).
 
     A null text, a text without letters, and any text under an empty model are `und` with score 0; so are texts
-    whose only letters leave no word. Equal texts get equal results; repeated rows give repeated results.
+    whose only letters leave no word. Equal texts get equal results; repeated rows give repeated results. carry adds the input row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     limit = max(1 << 16, arrays.SLICE_BYTES * 2 // max(2, len(model.languages)))
@@ -179,7 +179,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
                 score.append(float(min(1.0, share[k][own[0]])) if len(own) else 0.0)
                 names.append([model.languages[i] for i in own])
                 parts.append(share[k][own].tolist())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "languages", "shares"])
+            yield arrays.result(rows, {"doc_id": rows.column("doc_id"), "lang_pred": pa.array(found), "score": pa.array(score, pa.float64()), "languages": pa.array(names, pa.list_(pa.string())), "shares": pa.array(parts, pa.list_(pa.float64()))})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrays.texts(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    docs = arrays.texts(df, id_col, text_col, carry)
+    return docs.mapInArrow(run, arrays.schema(f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>", docs))

@@ -18,21 +18,22 @@ from . import arrays
 ENTRY = "bucket int, key long, packed binary"
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def numbered(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
     """(key, doc_id, text) and a shift: key >> shift orders rows by id, and every row has a key of its own.
 
     Ids are integers. Rows that repeat an id are told apart by the low `shift` bits; a null id counts as larger than all others.
     """
-    docs = arrays.texts(df, id_col, text_col)
+    docs = arrays.texts(df, id_col, text_col, carry)
+    rest = ["doc_id", "text", *(["row"] if carry else [])]
     if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col}: integer ids are needed")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     most, last, nulls = docs.groupBy("doc_id").count().agg(F.max("count"), F.max("doc_id"), F.max(F.col("doc_id").isNull())).first()
     if (most or 1) == 1 and not nulls:
-        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text"), 0
+        return docs.select(F.col("doc_id").alias("key"), *rest), 0
     shift = max(1, int(most - 1).bit_length())
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return docs.select((F.shiftleft(F.coalesce("doc_id", F.lit((last or 0) + 1)), shift) + number).alias("key"), "doc_id", "text"), shift
+    return docs.select((F.shiftleft(F.coalesce("doc_id", F.lit((last or 0) + 1)), shift) + number).alias("key"), *rest), shift
 
 
 def buckets(df: DataFrame) -> int:

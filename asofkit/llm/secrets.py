@@ -7,7 +7,6 @@ the regex verifies them. A rule without mandatory trigrams scans every document.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -190,10 +189,11 @@ def matcher(rule: Rule) -> Callable[[str], Iterator[tuple[int, int]]]:
     return lambda text: (m.span() for m in found.finditer(text) if len(m[rule.group]) >= rule.least)
 
 
-def find_secrets(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES, mask: bool = False) -> DataFrame:
     """Per row: doc_id, spans array<struct<kind, start, stop>> in code points (stop exclusive), by start, then by the rules' order.
 
-    A null or empty text has none. Repeated rows give repeated results.
+    A null or empty text has none. Repeated rows give repeated results. mask adds the input row as `row` and the text
+    without its secrets as `masked` (null stays null).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +208,15 @@ def find_secrets(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, .
                     for low, high in match[k](text[doc]):
                         found.setdefault(doc, []).append((low, k, high))
             spans = [[{"kind": rules[k].kind, "start": low, "stop": high} for low, k, high in sorted(found.get(d, ()))] for d in range(rows.num_rows)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])))], names=["doc_id", "spans"])
+            out = {"doc_id": rows.column("doc_id"), "spans": pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])))}
+            if mask:
+                given = rows.column("row").field(text_col)
+                out["masked"] = pa.array([mask_secrets(text[d] if own else given[d].as_py(), own) for d, own in enumerate(spans)], pa.string())
+            yield arrays.result(rows, out)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrays.texts(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:int,stop:int>>")
+    docs = arrays.texts(df, id_col, text_col, mask)
+    return docs.mapInArrow(run, arrays.schema(f"doc_id {kind}, spans array<struct<kind:string,start:int,stop:int>>" + ", masked string" * mask, docs))
 
 
 def mask_secrets(text: str | None, spans: list | None, fill: str = "*") -> str | None:
