@@ -1,7 +1,7 @@
 """N-gram Jaccard join with T-occurrence search.
 
-Documents that can reach the threshold share the content of a part of their shingle sets (a pigeonhole over as many
-parts as may differ, and one more), so equal parts bring them into one block. In a block each document searches inverted
+Documents that can reach the threshold share the content of a part of their shingle sets (a pigeonhole over more
+parts than may differ), so equal parts bring them into one block, that of the least document with the part. In a block each document searches inverted
 lists: the short lists are merged, what occurs in enough of them is probed in the long lists (DivideSkip), and documents
 with the required overlap are links. Documents that are connected already are not searched for again.
 """
@@ -213,7 +213,7 @@ def _edge_batch(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.R
 
 
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) between documents that share a signature: each to the least document of its group."""
+    """(a, b, between): documents that share a signature, each with the least of its group within a run of documents, and those leaders with the least of all."""
     n = repeats.buckets(docs)
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +237,19 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         yield from repeats.rows_of(parts())
 
-    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held, rows = [], 0
+    def dealt(held: list[np.ndarray]) -> Iterator[tuple]:
+        own = np.unique(np.concatenate(held), axis=0)
+        for bucket, packed in arrays.deal(repeats.bucket_of(arrays.mix(own[:, 0].astype(_U)), n), [own[:, 0], own[:, 1], own[:, 2].astype(np.uint8)]):
+            yield bucket, None, packed
+
+    def led(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Who leads whom, by document: 0 within a run of documents, 1 between the leaders of runs."""
+
+        def found() -> Iterator[tuple]:
+            held = []
             for own in repeats.own_buckets(batches):
-                held += [np.frombuffer(packed, "<i8").reshape(-1, 2) for key, packed in own if key is not None]
+                local = [np.frombuffer(packed, "<i8").reshape(-1, 2) for key, packed in own if key is not None]
+                held += [np.concatenate([x, np.zeros((len(x), 1), np.int64)], 1) for x in local]
                 values = [packed for key, packed in own if key is None]
                 if values:
                     mark, key = arrays.joined(values, "u8", "i8")
@@ -249,19 +257,34 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     mark, key = mark[order], key[order]
                     first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
                     lead = np.repeat(key[first], np.diff(np.append(first, len(mark))))
-                    held.append(np.stack([key, lead], 1)[key != lead])
-                rows = sum(map(len, held))
-                if rows > 500_000:
-                    both = np.unique(np.concatenate(held), axis=0)
+                    other = key != lead
+                    held.append(np.stack([key[other], lead[other], np.ones(int(other.sum()), np.int64)], 1))
+                if sum(map(len, held)) > 500_000:
+                    yield from dealt(held)
                     held = []
-                    yield both[:, 0], both[:, 1]
-            if rows and held:
-                both = np.unique(np.concatenate(held), axis=0)
-                yield both[:, 0], both[:, 1]
+            if held:
+                yield from dealt(held)
 
-        yield from _edge_batch(found())
+        yield from repeats.rows_of(found())
+
+    def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in repeats.own_buckets(batches):
+            rows = np.unique(np.stack([c.astype(np.int64) for c in arrays.joined([packed for _, packed in own], "i8", "i8", "u1")], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "between"])
 
-    return arrays.by_bucket(docs.mapInArrow(sent, repeats.ENTRY)).mapInArrow(edges, _EDGES)
+    found = arrays.by_bucket(docs.mapInArrow(sent, repeats.ENTRY)).mapInArrow(led, repeats.ENTRY)
+    return arrays.by_bucket(found).mapInArrow(distinct, "a long, b long, between boolean")
+
+
+def blocks(led: DataFrame) -> DataFrame:
+    """(key, block): documents that share a signature have a block in common, that of the group's least document.
+
+    What a run's leader leads follows it into the blocks of the leaders between runs.
+    """
+    within, between = led.where("NOT between").select("a", "b"), led.where("between").select(F.col("a").alias("b"), F.col("b").alias("block"))
+    moved = within.join(between, "b", "left").select(F.col("a").alias("key"), F.coalesce("block", "b").alias("block"))
+    rows = moved.unionByName(between.select(F.col("b").alias("key"), "block")).distinct()
+    return rows.unionByName(rows.select("block").distinct().select(F.col("block").alias("key"), "block"))
 
 
 def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
@@ -273,8 +296,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     spark = df.sparkSession
     whole, shift = repeats.numbered(df, id_col, text_col, carry)
     docs = whole.select("key", "doc_id", "text")
-    block = components.components(candidates(docs, size, percent)).select(F.col("a").alias("key"), F.col("component").alias("block"))
-    block = storage.written(block, "blocks")
+    block = storage.written(blocks(storage.written(candidates(docs, size, percent), "led")), "blocks")
     n = arrays.partitions(spark)
     members = docs.repartition(n, "key").join(block.hint("shuffle_hash"), "key")
     members = storage.written(members.select("key", "block", "text"), "members")
@@ -330,10 +352,10 @@ def _heavy_edges(members: DataFrame, heavy: DataFrame, connect, by_block, size:
         return first
     few = outside.groupBy("block").agg(F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("m") / (block_docs / 2)).cast("int"))
     asked = outside.join(few, "block").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    texts = members.select("key", "text")
+    texts = members.select("key", "block", "text")
     parts = heavy.select("block", "parts")
-    asks = asked.join(parts, "block").join(texts, "key").select("key", "block", "label", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asked"))
-    others = labelled.join(few.select("block", "chunks"), "block").join(texts, "key").select("key", "block", "label", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", F.lit(False).alias("asked"))
+    asks = asked.join(parts, "block").join(texts, ["key", "block"]).select("key", "block", "label", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asked"))
+    others = labelled.join(few.select("block", "chunks"), "block").join(texts, ["key", "block"]).select("key", "block", "label", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", F.lit(False).alias("asked"))
     pairs = asks.unionByName(others).select("key", "label", "asked", F.concat_ws("/", *(F.col(c).cast("string") for c in ("block", "part", "chunk"))).alias("block"), "text")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
