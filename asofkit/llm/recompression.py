@@ -166,6 +166,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDO
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(cols)])
 
     shared = repeats.by_key(repeats.repeated(dealt.mapInArrow(find, repeats.ENTRY), ("u8",), ("u4", "u2")), "hits")
-    windows = dealt.join(shared.hint("shuffle_hash"), "key").mapInArrow(verify, repeats.ENTRY)
+    # left joins: an inner one would filter below the exchange, and the texts would move twice
+    windows = dealt.join(shared.hint("shuffle_hash"), "key", "left").mapInArrow(verify, repeats.ENTRY)
     found = repeats.by_key(repeats.repeated(windows, ("u8", "u4"), ("u4",)), "hits")
     return dealt.join(found.hint("shuffle_hash"), "key", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
