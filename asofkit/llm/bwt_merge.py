@@ -236,7 +236,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
 
     originals = marked.where("lead IS NULL").select("key", "doc_id", "text")
     shared = repeats.by_key(repeats.repeated(originals.mapInArrow(find, repeats.ENTRY), ("u8",), ("u4",)), "hits")
-    contexts = originals.join(shared.hint("shuffle_hash"), "key").mapInArrow(gather, repeats.ENTRY)
+    # a left join: an inner one would filter below the exchange, and the texts would move twice
+    contexts = originals.join(shared.hint("shuffle_hash"), "key", "left").mapInArrow(gather, repeats.ENTRY)
     found = repeats.by_key(arrays.by_bucket(contexts).mapInArrow(repeated, repeats.ENTRY).select("key", "packed"), "hits")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return marked.join(found.hint("shuffle_hash"), "key", "left").mapInArrow(remove, schema)
