@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import next_weekday
 from ..functions.windows import last_value
 
 _SIDE = "__side"
@@ -50,25 +51,20 @@ def asof_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str
     return out.withColumns(found).drop(valid_to)
 
 
-def next_row(left: DataFrame, calendar: DataFrame, on: str, day: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The first calendar day after the row's date, by key; without keys the calendar is one small list and is joined by month.
+def next_row(left: DataFrame, calendar: DataFrame, on: str, day: str, name: str, keys: Sequence[str] = (), weekdays_beyond: bool = False) -> DataFrame:
+    """The first calendar day after the row's date, by key if there are keys.
 
-    Dates beyond the calendar get null.
+    Only distinct dates are ordered, so even without keys the window holds no more rows than there are days. Beyond
+    the calendar stands null, or the next weekday.
     """
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(F.col(on), F.col(_SIDE).desc()).rowsBetween(1, Window.unboundedFollowing)
-        both = left.withColumn(_SIDE, F.lit(1)).unionByName(calendar.select(*keys, F.col(day).alias(on), F.col(day).alias("__day"), F.lit(0).alias(_SIDE)), True)
-        later = F.first(F.when((F.col(_SIDE) == 0), F.col("__day")), ignorenulls=True).over(w)
-        return both.withColumn(name, later).where(F.col(_SIDE) == 1).drop(_SIDE, "__day")
-    days = calendar.select(day).distinct()
-    following = days.groupBy(F.trunc(day, "month").alias("__month")).agg(F.sort_array(F.collect_set(day)).alias("__days"))
-    w = Window.partitionBy(F.year("__month")).orderBy("__month")
-    following = following.withColumn("__next", F.lead(F.element_at("__days", 1)).over(w))
-    firsts = days.groupBy(F.year(day).alias("__year")).agg(F.min(day).alias("__first"))
-    months = following.join(firsts.select((F.col("__year") - 1).alias("__before"), "__first"), F.year("__month") == F.col("__before"), "left")
-    out = left.withColumn("__month", F.trunc(on, "month")).join(months, "__month", "left")
-    own = F.try_element_at(F.filter("__days", lambda d: d > F.col(on)), F.lit(1))
-    return out.withColumn(name, F.coalesce(own, "__next", "__first")).select(*left.columns, name)
+    days = calendar.select(*keys, F.col(day).alias(on), F.col(day).alias("__day")).distinct()
+    asked = left.select(*keys, on).distinct().withColumn("__day", F.lit(None).cast("date")).withColumn(_SIDE, F.lit(1))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(on), F.col(_SIDE)).rowsBetween(1, Window.unboundedFollowing)
+    both = asked.unionByName(days.withColumn(_SIDE, F.lit(0)))
+    found = both.withColumn(name, F.first("__day", ignorenulls=True).over(w)).where(F.col(_SIDE) == 1).select(*keys, on, name)
+    if weekdays_beyond:
+        found = found.withColumn(name, F.coalesce(name, next_weekday(on)))
+    return left.join(found, [*keys, on], "left").select(*left.columns, name)
 
 
 def at_period_end(periods: DataFrame, prices: DataFrame, keys: Sequence[str], period_end: str, date: str, candidates: Sequence[str], name: str) -> DataFrame:

@@ -7,13 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN = F.lit("9999-12-31")
+#: Stands for an open end in comparisons.
+FOREVER = "9999-12-31"
 #: Actions that open and that close membership.
 OPENS, CLOSES = ("add", "seed"), ("remove",)
 
 
+def _forever() -> Column:
+    return F.lit(FOREVER).cast("date")
+
+
 def _end(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, OPEN.cast("date"))
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, _forever())
 
 
 def expand_events(events: DataFrame, ticker: str = "ticker", new: str = "ticker_new", action: str = "action") -> DataFrame:
@@ -88,7 +93,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_values: Sequ
     left = a.select(*keys, F.col(start).alias("__a"), _end(end).alias("__z"), *a_values)
     both = left.join(right, list(keys)).where((F.col("__z") >= F.col("__from")) & (F.col("__a") <= F.col("__to")))
     stop = F.least("__z", "__to")
-    return both.select(*keys, *a_values, *b_values, F.greatest("__a", "__from").alias(start), F.nullif(stop, OPEN.cast("date")).alias(end))
+    return both.select(*keys, *a_values, *b_values, F.greatest("__a", "__from").alias(start), F.nullif(stop, _forever()).alias(end))
 
 
 def active(intervals: DataFrame, key: str, first: Column, last: Column, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -107,7 +112,7 @@ def merged(intervals: DataFrame, keys: Sequence[str], start: str = "valid_from",
     w = Window.partitionBy(*keys).orderBy(start, _end(end))
     reach = F.max(_end(end)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reach.isNull() | (F.col(start) > F.date_add(F.least(reach, F.lit("9999-12-30").cast("date")), 1)), 1).otherwise(0)).over(w)
-    return intervals.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(start).alias(start), F.nullif(F.max(_end(end)), OPEN.cast("date")).alias(end)).drop("__i")
+    return intervals.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(start).alias(start), F.nullif(F.max(_end(end)), _forever()).alias(end)).drop("__i")
 
 
 def daily_counts(intervals: DataFrame, keys: Sequence[str], first: Column, last: Column) -> DataFrame:
@@ -131,15 +136,15 @@ def overlaps(intervals: DataFrame, keys: Sequence[str], start: str = "valid_from
 def with_overrides(base: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """The base with overrides cut in: atomic pieces between all bounds, the override's value first, equal neighbours joined again."""
     every = base.select(*keys, F.col(start).alias("s"), _end(end).alias("e"), F.col(value).alias("v"), F.lit(1).alias("p")).unionByName(overrides.select(*keys, F.col(start).alias("s"), _end(end).alias("e"), F.col(value).alias("v"), F.lit(0).alias("p")))
-    bounds = every.select(*keys, F.explode(F.array("s", F.date_add("e", F.when(F.col("e") < OPEN.cast("date"), 1).otherwise(0)))).alias("a")).distinct()
+    bounds = every.select(*keys, F.explode(F.array("s", F.date_add("e", F.when(F.col("e") < _forever(), 1).otherwise(0)))).alias("a")).distinct()
     w = Window.partitionBy(*keys).orderBy("a")
     pieces = bounds.withColumn("z", F.lead("a").over(w)).where("z IS NOT NULL")
-    pieces = pieces.withColumn("z", F.when(F.col("z") < OPEN.cast("date"), F.date_sub("z", 1)).otherwise(F.col("z")))
+    pieces = pieces.withColumn("z", F.when(F.col("z") < _forever(), F.date_sub("z", 1)).otherwise(F.col("z")))
     covered = pieces.join(every, list(keys)).where((F.col("s") <= F.col("a")) & (F.col("e") >= F.col("z")))
     best = covered.groupBy(*keys, "a", "z").agg(F.min_by("v", F.struct("p", F.negate(F.unix_date("s")), "v")).alias("v"))
     change = F.when((F.lag("v").over(w).eqNullSafe(F.col("v"))) & (F.date_add(F.lag("z").over(w), 1) == F.col("a")), 0).otherwise(1)
     islands = best.withColumn("__c", change).withColumn("__i", F.sum("__c").over(w))
-    return islands.groupBy(*keys, "__i", F.col("v").alias(value)).agg(F.min("a").alias(start), F.nullif(F.max("z"), OPEN.cast("date")).alias(end)).drop("__i")
+    return islands.groupBy(*keys, "__i", F.col("v").alias(value)).agg(F.min("a").alias(start), F.nullif(F.max("z"), _forever()).alias(end)).drop("__i")
 
 
 def issue_counts(issues: DataFrame, kind: str = "issue", severity: Mapping[str, str] | None = None) -> DataFrame:

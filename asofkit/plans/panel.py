@@ -27,7 +27,10 @@ class Metric:
     higher: bool = True
 
 
-_W = by("ticker")
+def _w():
+    return by("ticker")
+
+
 METRICS: dict[str, Metric] = {
     "per": Metric(lambda: safe_div(F.col("close") * F.col("shares"), "net_income_ttm", True), ("close", "shares", "net_income_ttm"), higher=False),
     "pbr": Metric(lambda: safe_div(F.col("close") * F.col("shares"), "equity", True), ("close", "shares", "equity"), higher=False),
@@ -37,17 +40,17 @@ METRICS: dict[str, Metric] = {
     "roe": Metric(lambda: safe_div("net_income_ttm", "equity", True), ("net_income_ttm", "equity"), "quality"),
     "roa": Metric(lambda: safe_div("net_income_ttm", "assets", True), ("net_income_ttm", "assets"), "quality"),
     "gross_margin": Metric(lambda: safe_div(F.col("revenue_ttm") - F.col("cogs_ttm"), "revenue_ttm", True), ("revenue_ttm", "cogs_ttm"), "quality"),
-    "dollar_volume_20d": Metric(lambda: F.avg(F.col("close") * F.col("volume")).over(rows(_W, 20)), ("close", "volume"), "liquidity"),
-    "momentum_252": Metric(lambda: momentum("close", _W, 252), ("close",), "momentum"),
-    "momentum_252_21": Metric(lambda: momentum("close", _W, 252, 21), ("close",), "momentum"),
-    "momentum_126": Metric(lambda: momentum("close", _W, 126), ("close",), "momentum"),
-    "momentum_63": Metric(lambda: momentum("close", _W, 63), ("close",), "momentum"),
-    "momentum_21": Metric(lambda: momentum("close", _W, 21), ("close",), "momentum"),
-    "sma_50": Metric(lambda: sma("close", _W, 50), ("close",), "trend"),
-    "sma_200": Metric(lambda: sma("close", _W, 200), ("close",), "trend"),
-    "volatility_20": Metric(lambda: volatility("ret", _W, 20), ("ret",), "risk", False),
-    "volatility_60": Metric(lambda: volatility("ret", _W, 60), ("ret",), "risk", False),
-    "above_sma_200": Metric(lambda: F.coalesce((F.col("close") > sma("close", _W, 200)).cast("double"), F.lit(0.0)), ("close",), "trend"),
+    "dollar_volume_20d": Metric(lambda: F.avg(F.col("close") * F.col("volume")).over(rows(_w(), 20)), ("close", "volume"), "liquidity"),
+    "momentum_252": Metric(lambda: momentum("close", _w(), 252), ("close",), "momentum"),
+    "momentum_252_21": Metric(lambda: momentum("close", _w(), 252, 21), ("close",), "momentum"),
+    "momentum_126": Metric(lambda: momentum("close", _w(), 126), ("close",), "momentum"),
+    "momentum_63": Metric(lambda: momentum("close", _w(), 63), ("close",), "momentum"),
+    "momentum_21": Metric(lambda: momentum("close", _w(), 21), ("close",), "momentum"),
+    "sma_50": Metric(lambda: sma("close", _w(), 50), ("close",), "trend"),
+    "sma_200": Metric(lambda: sma("close", _w(), 200), ("close",), "trend"),
+    "volatility_20": Metric(lambda: volatility("ret", _w(), 20), ("ret",), "risk", False),
+    "volatility_60": Metric(lambda: volatility("ret", _w(), 60), ("ret",), "risk", False),
+    "above_sma_200": Metric(lambda: F.coalesce((F.col("close") > sma("close", _w(), 200)).cast("double"), F.lit(0.0)), ("close",), "trend"),
 }
 
 
@@ -71,13 +74,13 @@ def daily_panel(prices: DataFrame, statements: DataFrame, on: str = "available_d
     known = ttm_statements(statements)
     values = [c for c in known.columns if c not in ("ticker", "period_end", "available_date")]
     panel = asof_columns(prices, known, ["ticker"], "date", on, values, "statement_date")
-    panel = panel.withColumn("ret", safe_div("close", F.lag("close").over(_W)) - 1)
+    panel = panel.withColumn("ret", safe_div("close", F.lag("close").over(_w())) - 1)
     return with_metrics(panel, names)
 
 
 def piotroski(panel: DataFrame, back: int = 252) -> Column:
     """Nine conditions against the row so many days before; a null counts as not met."""
-    old = lambda c: F.lag(c, back).over(_W)
+    old = lambda c: F.lag(c, back).over(_w())
     roa, margin, turnover = (safe_div("net_income_ttm", "assets", True), safe_div(F.col("revenue_ttm") - F.col("cogs_ttm"), "revenue_ttm", True), safe_div("revenue_ttm", "assets", True))
     conditions = [
         roa > 0, F.col("cfo_ttm") > 0, F.col("roa_now") > old("roa_now"), F.col("cfo_ttm") > F.col("net_income_ttm"), F.col("leverage_now") < old("leverage_now"),
@@ -108,4 +111,4 @@ def statement_growth(statements: DataFrame, metrics: Sequence[str], k: int = 4)
 
 
 def moving_average_cross(c: str, fast: int, slow: int) -> Column:
-    return F.coalesce(strict(F.avg, c, _W, fast, least_rows(fast)) > strict(F.avg, c, _W, slow, least_rows(slow)), F.lit(False))
+    return F.coalesce(strict(F.avg, c, _w(), fast, least_rows(fast)) > strict(F.avg, c, _w(), slow, least_rows(slow)), F.lit(False))

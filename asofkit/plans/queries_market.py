@@ -362,11 +362,11 @@ def topn_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.top_with_others(yearly, ["year"], "ticker", "volume", 5)
 
 
-@query(BARS, twin="SELECT ticker, date, n, x.date AS d, x.close AS close FROM (SELECT ticker, count(*) AS n, unnest(list(struct_pack(date := date, close := close) ORDER BY date)) AS x, NULL AS date FROM bars GROUP BY ticker)")
+@query(BARS, twin="SELECT ticker, count(*) OVER (PARTITION BY ticker) AS n, date, close FROM bars")
 def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = io.nested(ad.prices(spark, sf_dir), "ticker", "date", ["close"])
     rows = io.flat(own, "ticker", "date", ["close"]).join(own.select("ticker", F.size("date").cast("long").alias("n")), "ticker")
-    return rows.select("ticker", F.lit(None).cast("date").alias("date"), "n", F.col("date").alias("d"), "close")
+    return rows.select("ticker", "n", "date", "close")
 
 
 @query(STATEMENTS, twin="""SELECT ticker, period_end, round((revenue / lag(revenue, 4) OVER w - 1) * 100, 5) AS revenue_growth, (SELECT CASE WHEN p.net_income <> 0 THEN round((s.net_income / p.net_income - 1) * 100, 4) END FROM stmts p WHERE p.ticker = s.ticker AND p.fiscal_year * 4 + p.fiscal_quarter = s.fiscal_year * 4 + s.fiscal_quarter - 4) AS income_growth

@@ -18,7 +18,6 @@ from .registry import BARS, EVENTS, FILINGS, STATEMENTS, query
 
 _FACTS = "facts AS (SELECT ticker, period_end, fiscal_year, fiscal_quarter, metric, value FROM stmts UNPIVOT (value FOR metric IN (revenue, cogs, net_income)))"
 _INTERVALS = "iv AS (SELECT ticker, date AS valid_from, nxt - 1 AS valid_to FROM (SELECT *, lead(date) OVER (PARTITION BY ticker ORDER BY date, CASE action WHEN 'remove' THEN 0 ELSE 1 END, event_id) AS nxt FROM events_m) WHERE action = 'add' AND (nxt IS NULL OR nxt - 1 >= date))"
-_ROUND = 6
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +181,7 @@ def reconcile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("ticker", "period_end", "metric", "value", F.round("value_r", 3).alias("value_r"), F.round("pct_diff", 6).alias("pct_diff"), "sign_mismatch", "status")
 
 
-@query(STATEMENTS, _FACTS, _OTHER, _COMPARED, twin=f"SELECT metric, count(*) AS n, count_if(breached) AS breaches, count_if({_STATUS} = 'missing_left') AS missing_left, count_if({_STATUS} = 'missing_right') AS missing_right, count_if(sign_mismatch) AS sign_mismatches, round(avg(pct), 6) AS mean_pct, round(max(abs(value - value_r)), 3) AS max_abs FROM cmp GROUP BY metric")
+@query(STATEMENTS, _FACTS, _OTHER, _COMPARED, twin=f"SELECT metric, count(*) AS n, CAST(count_if(breached) AS BIGINT) AS breaches, CAST(count_if({_STATUS} = 'missing_left') AS BIGINT) AS missing_left, CAST(count_if({_STATUS} = 'missing_right') AS BIGINT) AS missing_right, CAST(count_if(sign_mismatch) AS BIGINT) AS sign_mismatches, round(avg(pct), 6) AS mean_pct, round(max(abs(value - value_r)), 3) AS max_abs FROM cmp GROUP BY metric")
 def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.report(_compared(spark, sf_dir), "metric").withColumns({"mean_pct": F.round("mean_pct", 6), "max_abs": F.round("max_abs", 3)})
 
@@ -209,7 +208,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.consensus(_both(spark, sf_dir), ["ticker", "period_end", "metric"], "source", "value")
 
 
-@query(STATEMENTS, _FACTS, _OTHER, _BOTH, twin="""SELECT ticker, count_if(source = 'first') AS rows_first, count_if(source = 'second') AS rows_second, count(DISTINCT CASE WHEN source = 'first' THEN period_end END) AS periods_first, count(DISTINCT CASE WHEN source = 'second' THEN period_end END) AS periods_second,
+@query(STATEMENTS, _FACTS, _OTHER, _BOTH, twin="""SELECT ticker, CAST(count_if(source = 'first') AS BIGINT) AS rows_first, CAST(count_if(source = 'second') AS BIGINT) AS rows_second, count(DISTINCT CASE WHEN source = 'first' THEN period_end END) AS periods_first, count(DISTINCT CASE WHEN source = 'second' THEN period_end END) AS periods_second,
  (SELECT count(*) FROM (SELECT DISTINCT period_end FROM facts f WHERE f.ticker = t.ticker INTERSECT SELECT DISTINCT period_end FROM src2 s WHERE s.ticker = t.ticker)) AS overlap, 'overlap' AS cluster FROM bth t GROUP BY ticker""")
 def coverage_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.clusters(reconcile.coverage(_both(spark, sf_dir), "ticker", "period_end", "source", ["first", "second"]), "first", "second")
@@ -239,7 +238,7 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "period_end", *(c.alias(n) for n, c in col.availability("accepted", "filed", "period_end", "form").items()))
 
 
-@query(STATEMENTS, _AVAILABLE, twin="SELECT fiscal_year, count(*) AS n, 1.0 AS available, round(avg(CAST(ticker % 3 = 0 AS INTEGER)), 6) AS fallback, 0.0 AS accepted FROM stmts GROUP BY fiscal_year")
+@query(STATEMENTS, _AVAILABLE, twin="SELECT fiscal_year, count(*) AS n, CAST(1 AS DOUBLE) AS available, round(avg(CAST(ticker % 3 = 0 AS INTEGER)), 6) AS fallback, CAST(0 AS DOUBLE) AS accepted FROM stmts GROUP BY fiscal_year")
 def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = availability(spark, sf_dir).withColumn("fiscal_year", F.year("period_end"))
     return quality.fill_rates(rows, ["fiscal_year"]).withColumn("fallback", F.round("fallback", 6))
@@ -274,7 +273,7 @@ def append_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.append_newest(*_old_new(spark, sf_dir), ["k"])
 
 
-@query(_SPANS, EVENTS, _INTERVALS, twin="""SELECT id, min(greatest(date_diff('day', s.valid_from, i.valid_from), date_diff('day', coalesce(i.valid_to, DATE '9999-12-31'), s.valid_from), 0)) AS days, count_if(i.valid_from <= s.valid_from AND coalesce(i.valid_to, DATE '9999-12-31') >= s.valid_from) AS covering,
+@query(_SPANS, EVENTS, _INTERVALS, twin="""SELECT id, CASE WHEN min(i.valid_from) IS NOT NULL THEN min(greatest(date_diff('day', s.valid_from, i.valid_from), date_diff('day', coalesce(i.valid_to, DATE '9999-12-31'), s.valid_from), 0)) END AS days, CAST(coalesce(count_if(i.valid_from <= s.valid_from AND coalesce(i.valid_to, DATE '9999-12-31') >= s.valid_from), 0) AS BIGINT) AS covering,
  CASE WHEN min(i.valid_from) IS NULL THEN 'missing' WHEN min(greatest(date_diff('day', s.valid_from, i.valid_from), date_diff('day', coalesce(i.valid_to, DATE '9999-12-31'), s.valid_from), 0)) <= 5 THEN 'pass' WHEN min(greatest(date_diff('day', s.valid_from, i.valid_from), date_diff('day', coalesce(i.valid_to, DATE '9999-12-31'), s.valid_from), 0)) <= 60 THEN 'warn' ELSE 'fail' END AS status
  FROM sp s LEFT JOIN iv i ON i.ticker = s.ticker GROUP BY id""")
 def trade_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +290,7 @@ def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     table = ad.table(spark, sf_dir, "events")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/asofkit-streams"
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = build(stream)
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
@@ -304,17 +303,17 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(twin="SELECT window_start, event_type, n, round(total, 4) AS total FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = ad.table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("mark"))
+    last = ad.table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("mark"))
     done = _streamed(spark, sf_dir, lambda e: streams.windowed(e, "6 hours"))
-    return done.join(F.broadcast(last), F.col("window_end") <= F.col("mark")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    return done.join(F.broadcast(last), F.col("window_end") <= F.col("mark")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS brk FROM events)", "s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)",
     twin="SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = ad.table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("mark"))
+    last = ad.table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("mark"))
     done = _streamed(spark, sf_dir, lambda e: streams.sessions(e, "2 hours"))
-    return done.join(F.broadcast(last), F.col("session_end") <= F.col("mark")).select("user_id", "session_start", "session_end", "n", F.round("total", 4).alias("total"))
+    return done.join(F.broadcast(last), F.col("session_end") <= F.col("mark")).select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n", F.round("total", 4).alias("total"))
 
 
 @query(twin="SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS digit, count(*) AS n FROM events GROUP BY 1, 2")

@@ -22,7 +22,7 @@ _QUARTER = "CAST(date_trunc('quarter', CAST(o_orderdate AS DATE)) + INTERVAL 3 M
 _DERIVED = """year(period_end) AS fiscal_year, quarter(period_end) AS fiscal_quarter, CASE WHEN quarter(period_end) = 4 THEN '10-K' ELSE '10-Q' END AS form,
   revenue, cogs, CASE WHEN (ticker + quarter(period_end)) % 7 = 0 THEN NULL ELSE opex0 END AS opex, interest, capex, receivables, inventory, payables, n_lines,
   revenue - cogs - opex0 AS operating_income, revenue - cogs - opex0 - interest AS net_income, revenue - cogs - opex0 + n_lines * 50 AS cfo,
-  revenue * 3 + inventory AS assets, revenue * 2 - payables AS equity, revenue + inventory + payables AS debt, n_lines * 1000 AS cash, 1000.0 + (ticker % 7) * 100 AS shares"""
+  revenue * 3 + inventory AS assets, revenue * 2 - payables AS equity, revenue + inventory + payables AS debt, n_lines * 1000 AS cash, CAST(1000 + (ticker % 7) * 100 AS DOUBLE) AS shares"""
 STATEMENTS = f"""stmts AS (
   SELECT ticker, period_end, {_DERIVED}, period_end + CAST(20 + ticker % 60 AS INTEGER) AS filing_date, period_end + CAST(20 + ticker % 60 AS INTEGER) AS available_date
   FROM (SELECT l_suppkey AS ticker, {_QUARTER} AS period_end, {_SUMS} FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2))"""
