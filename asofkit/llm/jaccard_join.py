@@ -22,6 +22,10 @@ SHINGLE, PERCENT = 4, 85
 BLOCK_DOCS, BLOCK_BYTES = 4000, 24 << 20
 #: DivideSkip's constant: with the required overlap T and the longest list of m documents, T / (LONG * ln m + 1) lists count as long.
 LONG = 0.0085
+#: A group of so many documents in one run sends its leader alone.
+HOT = 32
+#: Binary probes into long lists that are made at once.
+PROBES = 1 << 18
 _U = np.uint64
 
 
@@ -105,6 +109,7 @@ class Lists:
         order = np.argsort(element[own], kind="stable")
         self.docs = np.repeat(docs, sizes[docs])[order]
         self.edges = np.searchsorted(element[own][order], np.arange(int(element.max(initial=-1)) + 2))
+        self.keys = element[own][order] * len(sizes) + self.docs  # for probes: by element, then by document
         self.element, self.at, self.sizes = element, at, sizes
 
     def search(self, query: int, percent: int) -> np.ndarray:
@@ -125,13 +130,14 @@ class Lists:
         found, count = merged[edge[:-1]], np.diff(edge)
         keep = count >= needed - n_long
         found, count = found[keep], count[keep]
-        for k in long_:
-            if not len(found):
-                break
-            items = self.docs[low[k] : high[k]]
-            if len(items):
-                place = np.minimum(np.searchsorted(items, found), len(items) - 1)
-                count = count + (items[place] == found)
+        while len(long_) and len(found):  # the shortest of the long lists first; who cannot reach the overlap any more leaves
+            some = long_[: max(1, PROBES // len(found))]
+            wanted = own[some][:, None] * len(self.sizes) + found
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            count = count + (self.keys[place] == wanted).sum(0)
+            long_ = long_[len(some) :]
+            keep = count >= needed - len(long_)
+            found, count = found[keep], count[keep]
         return found[100 * count >= percent * (size + self.sizes[found] - count)]
 
 
@@ -213,7 +219,7 @@ def _edge_batch(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.R
 
 
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, between): documents that share a signature, each with the least of its group within a run of documents, and those leaders with the least of all."""
+    """(a, b, between): documents that share a signature, with the least of their group; members of groups that are large within a run of documents with that run's least."""
     n = repeats.buckets(docs)
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +233,14 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 order = np.lexsort((key, mark))
                 mark, key = mark[order], key[order]
                 first = np.flatnonzero(np.diff(mark, prepend=mark[0] ^ _U(1)) != 0)
-                lead = np.repeat(key[first], np.diff(np.append(first, len(mark))))
-                own = np.unique(np.stack([key, lead], 1)[key != lead], axis=0)
+                count = np.diff(np.append(first, len(mark)))
+                lead, big = np.repeat(key[first], count), np.repeat(count >= HOT, count)
+                own = np.unique(np.stack([key, lead], 1)[big & (key != lead)], axis=0)
                 for low in range(0, len(own), 2048):
                     part = own[low : low + 2048]
                     yield int(part[0, 0] % n), 1, part.astype("<i8").tobytes()
-                for bucket, packed in arrays.deal(repeats.bucket_of(mark[first], n), [mark[first], key[first]]):
+                send = ~big | (key == lead)
+                for bucket, packed in arrays.deal(repeats.bucket_of(mark[send], n), [mark[send], key[send]]):
                     yield bucket, None, packed
 
         yield from repeats.rows_of(parts())
