@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import queries_market, queries_records  # noqa: F401  they register themselves
+from . import queries_market, queries_more, queries_records  # noqa: F401  they register themselves
 from .registry import QUERIES, TWINS
 
 
