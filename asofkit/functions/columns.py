@@ -263,3 +263,88 @@ def cash_cycle(days: int = 365) -> dict[str, Column]:
 def available(df: DataFrame, *cols: str) -> DataFrame:
     """The columns that exist, in the order asked for."""
     return df.select(*(c for c in cols if c in df.columns))
+
+
+# policies and classifications
+
+
+def mapped(label: Column | str, table: Mapping[str, str], otherwise: str | None = None) -> Column:
+    """The code of a normalised label; otherwise the given code, or the label itself."""
+    label = F.upper(F.trim(_c(label)))
+    codes = F.create_map(*(F.lit(x) for k, v in table.items() for x in (k.upper(), v)))
+    return F.coalesce(F.try_element_at(codes, label), F.lit(otherwise) if otherwise else label)
+
+
+def exchange_and_sector(exchange: Column | str, sic: Column | str, name: Column | str) -> dict[str, Column]:
+    """exchange: NYSE, NASDAQ, AMEX or OTHER; is_finance by SIC 6000-6799 or by words of the name."""
+    ex, sic, name = F.upper(_c(exchange)), _c(sic).try_cast("int"), F.lower(_c(name))
+    finance = sic.between(6000, 6799) | name.rlike(r"\b(bank|bancorp|insurance|financial|capital|trust|reit)\b")
+    return {"exchange": ladder([(F.contains(ex, F.lit("NASDAQ")), "NASDAQ"), (F.contains(ex, F.lit("AMERICAN")) | F.contains(ex, F.lit("AMEX")), "AMEX"), (F.contains(ex, F.lit("NYSE")) | F.contains(ex, F.lit("NEW YORK")), "NYSE")], "OTHER"), "is_finance": F.coalesce(finance, F.lit(False))}
+
+
+def hidden_for(market: Column | str, hide: str, *cols: str) -> dict[str, Column]:
+    """Columns that one market does not show."""
+    return {c: F.when(_c(market) != hide, F.col(c)) for c in cols}
+
+
+def multiple(price: Column | str, per_share: Column | str, on_negative: str = "null") -> Column:
+    """price / per_share; a base of 0 or less gives null, or the negative multiple where that is allowed."""
+    return safe_div(price, per_share, on_negative == "null")
+
+
+def filled_totals(revenue: str, cogs: str, gross: str, pretax: str, tax: str, net: str) -> dict[str, Column]:
+    """revenue = cogs + gross, pretax = net + tax, tax = pretax - net where they lack."""
+    pre = F.coalesce(pretax, F.col(net) + F.col(tax))
+    return {revenue: F.coalesce(revenue, F.col(cogs) + F.col(gross)), pretax: pre, tax: F.coalesce(F.col(tax), pre - F.col(net))}
+
+
+def split_by_fit(total: Column | str, first: Column | str, second: Column | str, target: Column | str) -> Column:
+    """True where total already holds second: the residual against the target is smaller without adding it."""
+    total, first, second, target = map(_c, (total, first, second, target))
+    return F.abs(target - (first - total)) <= F.abs(target - (first - total - second))
+
+
+def normalised_value(metric: Column | str, values: Mapping[str, Column | str]) -> Column:
+    """struct(value, source): gross profit, pretax income and intangibles are rebuilt where the reported value lacks."""
+    metric, v = _c(metric), {k: _c(c) for k, c in values.items()}
+    pair = lambda value, source: F.struct(value.cast("double").alias("value"), F.lit(source).alias("source"))
+    rebuilt = {"gross_profit": v["revenue"] - v["cogs"], "pretax_income": v["net_income"] + v["tax"], "intangibles": null_sum(v["intangibles"], v["goodwill"])}
+    out = F.when(v["value"].isNotNull(), pair(v["value"], "reported"))
+    for name, c in rebuilt.items():
+        out = out.when((metric == name) & c.isNotNull(), pair(c, f"rebuilt_{name}"))
+    return out.when((metric == "dividends") & v["cash_flow_row"], pair(F.lit(0.0), "no_dividend"))
+
+
+def execution_price(open_: Column | str, close: Column | str, before: Column | str, kind: str = "open", offset_pct: float = 0.0) -> Column:
+    """The open, the close, or the close of the signal day, moved by a percentage."""
+    chosen = {"open": _c(open_), "close": _c(close), "previous_close": _c(before)}[kind]
+    return chosen * (1 + offset_pct / 100)
+
+
+def account_sign(name: Column | str, value: Column | str) -> Column:
+    """Losses by name are negative, gains positive; other accounts keep their sign."""
+    name, value = F.lower(_c(name)), _c(value)
+    return F.when(name.rlike(r"\bloss(es)?\b") & ~name.rlike(r"\bgain"), -F.abs(value)).when(name.rlike(r"\bgains?\b") & ~name.rlike(r"\bloss"), F.abs(value)).otherwise(value)
+
+
+def smaller_change(current: Column | str, raw: Column | str, converted: Column | str) -> Column:
+    """The smaller of both differences that is not negative; null if neither is."""
+    a, b = _c(current) - _c(raw), _c(current) - _c(converted)
+    return F.least(F.when(a >= 0, a), F.when(b >= 0, b))
+
+
+def current_debt(tag_and_lease: Cols, parts: Cols, base: Column | str) -> Column:
+    """The tagged total with its lease, else the sum of the parts, else the base."""
+    return F.coalesce(F.when(_c(tag_and_lease[0]).isNotNull(), null_sum(*tag_and_lease)), null_sum(*parts), _c(base))
+
+
+def capital_expenditure(ppe: Column | str, software: Cols, productive: Cols) -> Column:
+    """Plant and the largest of each further group."""
+    return null_sum(ppe, F.greatest(*map(_c, software)) if len(software) > 1 else _c(software[0]), F.greatest(*map(_c, productive)) if len(productive) > 1 else _c(productive[0]))
+
+
+def cost_of_sales(direct: Column | str, gross: Column | str, revenue: Column | str, expenses: Column | str) -> Column:
+    """The direct cost; the expenses stand in where cost and gross profit lack, or where the cost is a tenth of revenue or less and expenses exceed 102 % of it."""
+    direct, gross, revenue, expenses = map(_c, (direct, gross, revenue, expenses))
+    small = (direct <= 0.1 * revenue) & (expenses > 1.02 * revenue)
+    return F.when((direct.isNull() & gross.isNull()) | small, expenses).otherwise(F.coalesce(direct, revenue - gross))

@@ -94,3 +94,38 @@ def top_by_market_cap(prices: DataFrame, shares: DataFrame, n: int, most: float
     cap = close.join(held, key).select(key, (F.col("close") * F.col("shares")).alias("market_cap")).where((F.col("market_cap") > 0) & (F.col("market_cap") <= most))
     ranked = cap.orderBy(F.col("market_cap").desc(), key).limit(n)
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("market_cap").desc(), key)))
+
+
+def per_snapped_quarter(df: DataFrame, key: str, metrics: Sequence[str], latest: Sequence[str], days: int = 15) -> DataFrame:
+    """One row per quarter end within so many days: the most complete, then the latest."""
+    from ..functions.columns import snap_quarter_end
+
+    snapped = df.withColumn("period_end", snap_quarter_end("period_end", days))
+    return most_complete(snapped, [key, "period_end"], metrics, [F.col(c).desc_nulls_last() for c in latest])
+
+
+def overlay(df: DataFrame, derived: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the columns that df lacks; none is written over."""
+    fresh = [c for c in derived.columns if c not in df.columns]
+    return df.join(derived.select(*keys, *fresh), list(keys), "left")
+
+
+def united_maxima(relations: Sequence[DataFrame], key: str) -> DataFrame:
+    """Relations with different columns as one row per key with each column's largest value."""
+    both = relations[0]
+    for r in relations[1:]:
+        both = both.unionByName(r, allowMissingColumns=True)
+    return both.groupBy(key).agg(*(F.max(c).alias(c) for c in both.columns if c != key))
+
+
+def top_with_cascade(ranked: DataFrame, tables: dict[str, DataFrame], n: int, key: str = "ticker") -> dict[str, DataFrame]:
+    """Every table cut to the keys of rank n or better."""
+    kept = ranked.where(F.col("rank") <= n).select(key)
+    return {name: keep_keys(df, kept, [key]) for name, df in tables.items()}
+
+
+def merged_blocks(primary: DataFrame, supplement: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two blocks by label: the primary's values, else the supplement's; labels of both."""
+    cols = [c for c in primary.columns if c not in keys]
+    right = supplement.select(*keys, *(F.col(c).alias(f"__{c}") for c in cols))
+    return primary.join(right, list(keys), "full").select(*keys, *(F.coalesce(c, f"__{c}").alias(c) for c in cols))

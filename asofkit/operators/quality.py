@@ -84,3 +84,14 @@ def interval_quality(intervals: DataFrame, key: str, confidence: str, provenance
     many = per_key.agg(F.avg((F.col("n") > 1).cast("int")).alias("multi_interval_rate"))
     own = intervals.agg(F.count("*").alias("n"), F.avg((F.col(confidence) < 0.5).cast("int")).alias("low_confidence_rate"), F.avg(F.col(provenance).isNull().cast("int")).alias("missing_provenance_rate"), F.min(confidence).alias("least"), F.max(confidence).alias("most"), F.avg(confidence).alias("mean"), F.percentile(confidence, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
     return own.join(many).select("n", "low_confidence_rate", "missing_provenance_rate", "multi_interval_rate", "least", "most", "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
+
+
+def readiness(df: DataFrame, candidates: Sequence[str], key: str, period: str, other: DataFrame | None = None) -> DataFrame:
+    """Per candidate column: rows, keys with values, dates, and the key-periods that another source has too; `ready`: half of the rows or more have a value."""
+    long = df.select(key, period, *(F.col(c).cast("double").alias(c) for c in candidates)).unpivot([key, period], list(candidates), "candidate", "value")
+    present = F.col("value").isNotNull()
+    out = long.groupBy("candidate").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.count_distinct(F.when(present, F.col(key))).alias("keys"), F.min(F.when(present, F.col(period))).alias("first"), F.max(F.when(present, F.col(period))).alias("last"))
+    if other is not None:
+        common = long.where(present).join(other.select(key, period).distinct(), [key, period], "left_semi").groupBy("candidate").agg(F.count("*").alias("overlap"))
+        out = out.join(common, "candidate", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    return out.withColumn("ready", 2 * F.col("present") >= F.col("n"))

@@ -161,3 +161,24 @@ def best_mode(errors: DataFrame, key: str, metric: str, mode: str, error: str =
     best = medians.withColumns({"__a": F.min("m").over(w), "__z": F.max("m").over(w)})
     votes = best.where((F.col("m") == F.col("__a")) & (F.col("m") < most) & (F.col("m") < F.col("__z") / 2)).groupBy(key, mode).agg(F.count("*").alias("votes"))
     return votes.groupBy(key).agg(F.max_by(mode, F.struct("votes", mode)).alias(mode), F.max("votes").alias("votes"))
+
+
+def name_match(left: DataFrame, right: DataFrame, period: str, name: str, value: str, row_key: Sequence[str]) -> DataFrame:
+    """Each left row's value by the same name, else the same letters and digits, else a name that holds the other (both of three letters or more).
+
+    The first two are equi-joins; names are compared by containment within one period only.
+    """
+    from ..functions.columns import name_key
+
+    r = right.select(period, F.col(name).alias("__name"), name_key(name).alias("__key"), F.col(value).alias("__v"))
+    rows = left.withColumn("__k", name_key(name))
+    both = rows.join(r, period, "left")
+    rank = F.when(F.col(name) == F.col("__name"), 0).when(F.col("__k") == F.col("__key"), 1).when((F.length("__k") >= 3) & (F.length("__key") >= 3) & (F.contains("__k", F.col("__key")) | F.contains("__key", F.col("__k"))), 2)
+    best = both.where(rank.isNotNull()).groupBy(*row_key).agg(F.min_by(F.struct("__v", "__name"), F.struct(rank, "__name")).alias("m"))
+    return left.join(best, list(row_key), "left").select(*left.columns, F.col("m.__name").alias("match"), F.col("m.__v").alias("matched_value"))
+
+
+def capacity_hits(rows: DataFrame, value: str, matched: str, keys: Sequence[str], tolerances: Sequence[float] = (0.05, 0.1, 0.15)) -> DataFrame:
+    """How many matched values lie within each tolerance."""
+    error = F.abs(F.col(value) - F.col(matched)) / F.abs(F.nullif(F.col(value), F.lit(0.0)))
+    return rows.groupBy(*keys).agg(F.count(matched).alias("matched"), *(F.count_if(error <= t).alias(f"within_{round(t * 100)}") for t in tolerances))

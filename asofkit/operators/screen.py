@@ -116,3 +116,19 @@ def rank_columns(df: DataFrame, c: str, keys: Sequence[str] = ("date",)) -> Data
     from ..functions.windows import zscore
 
     return df.withColumns({"rank_asc": avg_rank(c, keys), "rank_desc": avg_rank(c, keys, True), "pct": pct_rank(c, keys), "z": zscore(c, keys)})
+
+
+def within_validity(panel: DataFrame, overrides: DataFrame | None = None, key: str = "ticker", date: str = "date") -> DataFrame:
+    """Rows between a key's first and last valid day: an override's bounds, else the observed ones."""
+    seen = panel.groupBy(key).agg(F.min(date).alias("__a"), F.max(date).alias("__z"))
+    if overrides is not None:
+        seen = seen.join(overrides.select(key, "first_valid", "last_valid"), key, "left").select(key, F.coalesce("first_valid", "__a").alias("__a"), F.coalesce("last_valid", "__z").alias("__z"))
+    return panel.join(seen, key).where(F.col(date).between(F.col("__a"), F.col("__z"))).drop("__a", "__z")
+
+
+def members_only(panel: DataFrame, intervals: DataFrame, evidence: Sequence[str] = (), key: str = "ticker", date: str = "date") -> DataFrame:
+    """The cross-sections' members with the columns that prove it; dates and keys join, bounds filter."""
+    right = intervals.select(key, F.col("valid_from").alias("__a"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("__z"), *evidence)
+    both = panel.join(right, key).where((F.col(date) >= F.col("__a")) & (F.col(date) <= F.col("__z")))
+    w = Window.partitionBy(key, date).orderBy(F.col("__a").desc(), "__z")
+    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__a", "__z")

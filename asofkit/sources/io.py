@@ -129,3 +129,31 @@ def export_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 def audited(df: DataFrame, relation: str, run: str) -> DataFrame:
     return df.withColumns({"source_relation": F.lit(relation), "run_id": F.lit(run), "collected_at": F.current_timestamp()})
+
+
+def with_optional(df: DataFrame, columns: Sequence[str], optional: Mapping[str, str]) -> DataFrame:
+    """Columns that must be there, and optional ones as typed nulls where the table lacks them."""
+    return df.select(*columns, *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()))
+
+
+def document_flags(documents: DataFrame, key: str = "ticker") -> DataFrame:
+    """has_prices, has_financials, latest positive market cap and number of periods of nested documents with `prices` and `financials`."""
+    caps = F.filter("prices.market_cap", lambda x: x > 0)
+    return documents.select(key, (F.coalesce(F.size("prices.date"), F.lit(0)) > 0).alias("has_prices"), (F.coalesce(F.size("financials.periods"), F.lit(0)) > 0).alias("has_financials"), F.try_element_at(caps, F.lit(-1)).alias("market_cap"), F.greatest(F.coalesce(F.size("financials.periods"), F.lit(0)), F.lit(0)).alias("n_periods"))
+
+
+def replace_keys(tables: Mapping[str, tuple[DataFrame, DataFrame]], keys: Sequence[str]) -> dict[str, DataFrame]:
+    """Per table (old, new): the old rows of the batch's keys go, in every table alike."""
+    batch = None
+    for _, new in tables.values():
+        own = new.select(*keys)
+        batch = own if batch is None else batch.unionByName(own)
+    batch = batch.distinct()
+    return {name: old.join(batch, list(keys), "left_anti").unionByName(new, allowMissingColumns=True) for name, (old, new) in tables.items()}
+
+
+def report_files(frames: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """Each frame below its own name."""
+    for name, df in frames.items():
+        writer = df.write.mode("overwrite")
+        writer.option("header", "true").csv(f"{path}/{name}") if kind == "csv" else writer.parquet(f"{path}/{name}")
