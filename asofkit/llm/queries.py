@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_merge, byte_bpe, decontaminate, jaccard_join, langid, matroska, recompression, secrets, storage, token_counts, zip_warc
+from . import bwt_merge, byte_bpe, decontaminate, jaccard_join, langid, matroska, recompression, secrets, storage, token_counts, twins, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": twins.JACCARD_JOIN, "op4_phrase_index": twins.PHRASE_INDEX, "op7_recompression": twins.RECOMPRESSION}
