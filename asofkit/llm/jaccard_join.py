@@ -247,7 +247,8 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def dealt(held: list[np.ndarray]) -> Iterator[tuple]:
         own = np.unique(np.concatenate(held), axis=0)
-        for bucket, packed in arrays.deal(repeats.bucket_of(arrays.mix(own[:, 0].astype(_U)), n), [own[:, 0], own[:, 1], own[:, 2].astype(np.uint8)]):
+        few = max(1, n // arrays.BUCKETS_PER_PARTITION)  # what is left is small: one bucket a partition
+        for bucket, packed in arrays.deal(repeats.bucket_of(arrays.mix(own[:, 0].astype(_U)), few), [own[:, 0], own[:, 1], own[:, 2].astype(np.uint8)]):
             yield bucket, None, packed
 
     def led(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
