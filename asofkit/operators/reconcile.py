@@ -90,7 +90,7 @@ def nearest_value(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], dates
     return rows.join(best, list(row_key), "left")
 
 
-def rule_lookup(rows: DataFrame, rules: DataFrame, code: str, text: str, row_key: str, fallback: str) -> DataFrame:
+def rule_lookup(rows: DataFrame, rules: DataFrame, code: str, text: str, fallback: str) -> DataFrame:
     """The rule of least priority whose exact code, range of codes, or any keyword fits; else the fallback.
 
     rules: (priority, code, low, high, keywords separated by |, label). The rule table is a dimension of bounded size.
