@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are held as numpy arrays at once; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (2 << 20) - 4096
 #: Rows in an Arrow batch: long texts must not pile up by the ten thousand in a Python worker.
 BATCH_ROWS = 512
 #: Buckets per shuffle partition, so that a task holds a part of its partition at a time.
@@ -77,6 +77,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
             yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
             low = high
+    pa.default_memory_pool().release_unused()  # the worker stays; its memory need not
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,9 @@ from . import arrays, components, repeats, storage
 
 SHINGLE, PERCENT = 4, 85
 #: Documents and bytes of text of a block; larger groups are split.
-BLOCK_DOCS, BLOCK_BYTES = 4000, 24 << 20
+BLOCK_DOCS, BLOCK_BYTES = 4000, 12 << 20
+#: Bytes of text whose sets are built at once.
+SLICE = (1 << 20) - 4096
 #: DivideSkip's constant: with the required overlap T and the longest list of m documents, T / (LONG * ln m + 1) lists count as long.
 LONG = 0.0085
 #: A group of so many documents in one run sends its leader alone.
@@ -186,7 +188,7 @@ def links(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT, known: np.
 def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     """The sets of one block after the other; rows come sorted by `block`."""
     now, held = None, []
-    for rows, data, at in arrays.slices(batches):
+    for rows, data, at in arrays.slices(batches, limit=SLICE):
         hashes, edge = shingles(data, at, size)
         names = rows.column("block").to_pylist()
         cols = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in rows.schema.names if c not in ("block", "text")}
@@ -224,7 +226,7 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
-            for rows, data, at in arrays.slices(batches):
+            for rows, data, at in arrays.slices(batches, limit=SLICE):
                 hashes, edge = shingles(data, at, size)
                 mark, doc = signatures(hashes, edge, percent)
                 if not len(mark):
@@ -330,7 +332,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     own = components.components(edges).select(F.col("a").alias("key"), "component")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in arrays.slices(batches):
+        for rows, data, at in arrays.slices(batches, limit=SLICE):
             yield arrays.result(rows, {"key": rows.column("key"), "doc_id": rows.column("doc_id"), "n_shingles": pa.array(np.diff(shingles(data, at, size)[1]), pa.int64())})
 
     counted = whole.mapInArrow(count, arrays.schema("key long, doc_id long, n_shingles long", whole)).join(own, "key", "left")

@@ -72,7 +72,7 @@ def fit(df: DataFrame, text_col: str, lang_col: str, smoothing: float = 0.5) ->
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for part, data, at in arrays.slices(batches):
+        for part, data, at in arrays.slices(batches, limit=arrays.SLICE_BYTES // 2):
             cell, start, end, row = cells(data, at)
             place = arrays.spans(start, end - start)
             langs, which = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
@@ -161,7 +161,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model, carry: boo
     whose only letters leave no word. Equal texts get equal results; repeated rows give repeated results. carry adds the input row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    limit = max(1 << 16, arrays.SLICE_BYTES * 2 // max(2, len(model.languages)))
+    limit = max(1 << 16, arrays.SLICE_BYTES // max(2, len(model.languages)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
