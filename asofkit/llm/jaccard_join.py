@@ -221,7 +221,10 @@ def _edge_batch(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.R
 
 
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, between): documents that share a signature, with the least of their group; members of groups that are large within a run of documents with that run's least."""
+    """(a, b, between): documents that share a signature, with the least of their group; members of groups that are large within a run of documents with that run's least.
+
+    A run's least that is the least of such a group everywhere stands between with itself, so that its members stay with it.
+    """
     n = repeats.buckets(docs)
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,7 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     part = own[low : low + 2048]
                     yield int(part[0, 0] % n), 1, part.astype("<i8").tobytes()
                 send = ~big | (key == lead)
-                for bucket, packed in arrays.deal(repeats.bucket_of(mark[send], n), [mark[send], key[send]]):
+                for bucket, packed in arrays.deal(repeats.bucket_of(mark[send], n), [mark[send], key[send], big[send].astype(np.uint8)]):
                     yield bucket, None, packed
 
         yield from repeats.rows_of(parts())
@@ -263,12 +266,12 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 held += [np.concatenate([x, np.zeros((len(x), 1), np.int64)], 1) for x in local]
                 values = [packed for key, packed in own if key is None]
                 if values:
-                    mark, key = arrays.joined(values, "u8", "i8")
+                    mark, key, big = arrays.joined(values, "u8", "i8", "u1")
                     order = np.lexsort((key, mark))
-                    mark, key = mark[order], key[order]
+                    mark, key, big = mark[order], key[order], big[order]
                     first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
                     lead = np.repeat(key[first], np.diff(np.append(first, len(mark))))
-                    other = key != lead
+                    other = (key != lead) | (big == 1)
                     held.append(np.stack([key[other], lead[other], np.ones(int(other.sum()), np.int64)], 1))
                 if sum(map(len, held)) > 500_000:
                     yield from dealt(held)
@@ -290,11 +293,11 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def blocks(led: DataFrame) -> DataFrame:
     """(key, block): documents that share a signature have a block in common, that of the group's least document.
 
-    What a run's leader leads follows it into the blocks of the leaders between runs.
+    What a run's leader leads follows it into the blocks of the leaders between runs, its own among them where it is one.
     """
     within, between = led.where("NOT between").select("a", "b"), led.where("between").select(F.col("a").alias("b"), F.col("b").alias("block"))
-    moved = within.join(between, "b", "left").select(F.col("a").alias("key"), F.coalesce("block", "b").alias("block"))
-    rows = moved.unionByName(between.select(F.col("b").alias("key"), "block")).distinct()
+    moved = within.join(between, "b").select(F.col("a").alias("key"), "block")
+    rows = moved.unionByName(between.where("b <> block").select(F.col("b").alias("key"), "block")).distinct()
     return rows.unionByName(rows.select("block").distinct().select(F.col("block").alias("key"), "block"))
 
 

@@ -142,6 +142,30 @@ def test_signatures_meet_for_all_linked_sets():
             assert np.intersect1d(mark[doc == 0], mark[doc == 1]).size
 
 
+def test_documents_with_a_common_signature_have_a_common_block(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    rng = np.random.default_rng(11)
+    groups = [[f"{g}w{k}" for k in range(40)] for g in range(3)]
+    texts = [list(groups[k % 3]) for k in range(90)]
+    for words in texts:
+        for k in rng.integers(0, 40, 3):
+            words[k] = f"new{rng.integers(0, 4)}"
+    texts = [" ".join(words) for words in texts]
+    ids = rng.permutation(90).tolist()
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "key long, text string").repartition(7)
+    led = jaccard_join.candidates(table, 4, 85).persist()
+    assert led.where("NOT between").count() and led.where("between").count()
+    found = rows(jaccard_join.blocks(led))
+    assert len(set(found)) == len(found)
+    own = {i: {b for k, b in found if k == i} for i in ids}
+    data = "".join(texts).encode()
+    hashes, at = jaccard_join.shingles(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+    mark, doc = jaccard_join.signatures(hashes, at)
+    marks = [set(mark[doc == k].tolist()) for k in range(90)]
+    lost = [(ids[a], ids[b]) for a in range(90) for b in range(a) if marks[a] & marks[b] and not own[ids[a]] & own[ids[b]]]
+    assert not lost
+
+
 def test_components_of_a_chain_and_a_star(spark, rows):
     edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = rows(components.components(spark.createDataFrame(edges, "a long, b long")), "a")
