@@ -27,3 +27,14 @@ def test_stages(spark, passage, tmp_path):
     assert text[3] == re.sub(re.escape(secret), "*" * len(secret), texts[3]) and text[0] == texts[0]
     assert not [r for r in secrets.find_secrets(kept, "doc_id", "text").collect() if r["spans"]]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 3, 7]
+
+
+def test_near_duplicates_are_five_word_shingles_at_four_fifths(spark, passage):
+    words = [passage(k, 50).split() for k in (0, 2000, 4000)]
+    near = [" ".join([*w[:25], *(f"new{k}" for k in range(n)), *w[25 + n :]]) for n, w in enumerate(words, 1)]
+    texts = [t for w, other in zip(words, near, strict=True) for t in (" ".join(w), other)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(46)} for t in texts]
+    expected = [a for a in range(6) if not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in range(a))]
+    assert expected == [0, 2, 3, 4, 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == expected
