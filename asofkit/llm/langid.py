@@ -22,11 +22,12 @@ ORDERS = (2, 3, 4)
 CELLS = 1 << 16
 #: The model is broadcast; it takes ORDERS * CELLS * 4 bytes a language, so this bounds it at 200 MB.
 MOST_LANGUAGES = 256
-STEPS, TOLERANCE = 12, 1e-4
+#: A document's proportions are found when a step moves none of them so far.
+TOLERANCE = 1e-4
 #: Log-likelihood that a further language must gain, times the log of the number of words.
 PENALTY = 3.0
-#: Languages in the largest set that is compared.
-LARGEST_SET = 4
+#: Log-likelihood a word by which proportions that are found may stay below the best ones.
+SLACK = 1e-3
 UNKNOWN = "und"
 
 _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -101,15 +102,17 @@ def fit(df: DataFrame, text_col: str, lang_col: str, smoothing: float = 0.5) ->
 
 def _maximise(likelihood: np.ndarray, doc: np.ndarray, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood by document; `start` has zeros where a language is not in the set."""
-    share, n = start, np.diff(np.append(first, len(doc)))[:, None]
-    for _ in range(STEPS):
-        joint = likelihood * share[doc]
+    share, n = start.copy(), np.diff(np.append(first, len(doc)))
+    live, words, own, at = np.arange(len(n)), likelihood, doc, first
+    while len(live):
+        joint = words * share[live][own]
         joint /= joint.sum(1, keepdims=True)
-        new = np.add.reduceat(joint, first, axis=0) / n
-        moved = np.abs(new - share).max(initial=0)
-        share = new
-        if moved < TOLERANCE:
-            break
+        new = np.add.reduceat(joint, at, axis=0) / n[live][:, None]
+        on = np.abs(new - share[live]).max(1) >= TOLERANCE
+        share[live] = new
+        if not on.all():  # documents that are done leave, each by itself
+            words, live = words[on[own]], live[on]
+            own, at = np.repeat(np.arange(len(live)), n[live]), np.cumsum(n[live]) - n[live]
     return share, np.add.reduceat(np.log((likelihood * share[doc]).sum(1)), first)
 
 
@@ -131,15 +134,15 @@ def infer(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     likelihood = np.exp(np.maximum(word - top, -200))
     ids, first, n = np.unique(row, return_index=True, return_counts=True)
     doc = np.repeat(np.arange(len(ids)), n)
-    full, _ = _maximise(likelihood, doc, first, np.full((len(ids), len(model.languages)), 1 / len(model.languages)))
+    full, most = _maximise(likelihood, doc, first, np.full((len(ids), len(model.languages)), 1 / len(model.languages)))
     order = np.argsort(-full, axis=1, kind="stable")
     single = np.add.reduceat(word - top, first, axis=0)
     best = single.argmax(1)
     share, value = np.zeros_like(full), single[np.arange(len(ids)), best]
     share[np.arange(len(ids)), best] = 1
-    for k in range(2, min(LARGEST_SET, len(model.languages)) + 1):
-        # only documents whose k-th language has any weight can gain by it
-        use = np.flatnonzero(np.take_along_axis(full, order[:, k - 1 : k], 1)[:, 0] > 0.01)
+    for k in range(2, len(model.languages) + 1):
+        # no set is likelier than all languages: only documents that these would lift over the best set so far can gain
+        use = np.flatnonzero(most + SLACK * n - PENALTY * (k - 1) * np.log(n + 1) > value)
         if not len(use):
             break
         keep = np.isin(doc, use)

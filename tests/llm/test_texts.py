@@ -134,6 +134,20 @@ def test_languages_are_told_apart(docs, rows, spark):
     assert rows(langid.identify(docs(texts[:1]), "doc_id", "text", empty).select("lang_pred")) == [("und",)]
 
 
+def test_mixtures_of_many_languages_keep_them_all(docs, rows, spark):
+    r = random.Random(5)
+    letters = {f"l{k}": "abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4] for k in range(6)}
+    text = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(6)) for _ in range(n))
+    model = langid.fit(spark.createDataFrame([(text(lang, 300), lang) for lang in letters], "text string, lang string"), "text", "lang")
+    texts = [" ".join(text(lang, 40 + 10 * k) for k, lang in enumerate(letters)), text("l2", 60)]
+    got = rows(langid.identify(docs(texts), "doc_id", "text", model).select("doc_id", "languages", "shares", "score"), "doc_id")
+    assert list(got[0][1]) == sorted(letters, reverse=True)
+    assert all(abs(share - n / 390) < 0.01 for share, n in zip(got[0][2], range(90, 30, -10), strict=True)) and abs(got[0][3] - 90 / 390) < 0.01
+    assert list(got[1][1]) == ["l2"] and got[1][3] == 1.0
+    alone = rows(langid.identify(docs(texts[:1]), "doc_id", "text", model).select("doc_id", "languages", "shares", "score"), "doc_id")
+    assert alone == got[:1]
+
+
 def test_secrets_against_plain_regexes(docs, rows):
     texts = [*AWKWARD, 'Password: "hunter22" and API_KEY=abc, token = deadbeef0123456789abcdef', "ſecret: abcdefg", "f" * 24 + " " + "f" * 23, "https://me:pw@host/x ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "AKIA123 AKIA" + "B" * 30, "é" * 5 + "secret=abcdef"]
     got = rows(secrets.find_secrets(docs(texts), "doc_id", "text"), "doc_id")
