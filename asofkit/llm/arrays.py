@@ -5,6 +5,7 @@ Spark partitions and shuffles; these functions only work on the rows of one Arro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = (2 << 20) - 4096
 #: Rows in an Arrow batch: long texts must not pile up by the ten thousand in a Python worker.
 BATCH_ROWS = 512
-#: Buckets per shuffle partition, so that a task holds a part of its partition at a time.
-BUCKETS_PER_PARTITION = 8
+#: Bytes of text whose keys fall into one bucket on average; a task holds one bucket at a time.
+BUCKET_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,54 +88,92 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Rolling:
-    """Hashes of all substrings of a symbol array by one running sum modulo 2**64.
-
-    hash(i, j) depends only on the symbols from i to j, so equal substrings have equal hashes anywhere.
-    """
-
-    _up = np.ones(1, _U)
-    _down = np.ones(1, _U)
-
-    @classmethod
-    def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("_up", _BASE), ("_down", inverse)):
-                steps = np.full(size, base, _U)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps, dtype=_U))
-        return cls._up, cls._down
-
-    def __init__(self, symbols: np.ndarray, salt: int = 0):
-        n = len(symbols)
-        up, self.down = self._powers(n + 1)
-        if symbols.dtype == np.uint8:
-            values = mix(np.arange(1, 257, dtype=_U) * _U(_BASE) + _U(salt))[symbols]
-        else:
-            values = mix(symbols.astype(_U, copy=False) + _U(salt))
-        values = values * up[:n]
-        self.sums = np.zeros(n + 1, _U)
-        np.cumsum(values, out=self.sums[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def windows(self, width: int) -> np.ndarray:
-        """hash(i, i + width) of every i."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, _U)
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
-
-
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of values[i:i + width] of every i, by doubling."""
-    out, have = values, 1
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The name of two names in order; for a given left one, different right ones never share it."""
+    return mix(mix(left) * _U(3) + right)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number (a view); zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+#: Words of more bytes are named by a digest of their own.
+LONG_WORD = 64
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit names of byte strings: 8 bytes after the other pass through mix(), so up to 8 bytes never clash at equal length."""
+    size, eight = end - start, eights(data)
+    out = mix(size.astype(_U) * _U(_BASE) + _U(salt))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = start[live], size[live]
+    while len(live):
+        # all 64 bits of eight bytes; at the end of a word only the low ones
+        part = eight[at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * (_U(8) - np.minimum(left, 8).astype(_U))))
+        out[live] = pair(out[live], part)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def _equal(one: np.ndarray, at: np.ndarray, other: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from one[at] and from other[place] are the same, by string; sizes are positive."""
+    if not len(size):
+        return np.zeros(0, bool)
+    return np.logical_and.reduceat(one[spans(at, size)] == other[spans(place, size)], np.cumsum(size) - size)
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, own): one word for each distinct one, and every word's number among these. Words of one name are compared by their bytes."""
+    _, first, own = np.unique(word_names(data, start, end), return_index=True, return_inverse=True)
+    size, lead = end - start, first[own]
+    if len(own) and not ((size == size[lead]).all() and _equal(data, start, data, start[lead], size).all()):
+        seen: dict[bytes, int] = {}
+        own = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(start, end, strict=True)], np.int64)
+        first = np.unique(own, return_index=True)[1]
+    return first, own
+
+
+def same_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each of some distinct words, which of other distinct words it is, or -1; equal names are checked by their bytes."""
+    out = np.full(len(start), -1, np.int64)
+    if not len(start) or not len(begin):
+        return out
+    names, theirs = word_names(data, start, end), word_names(other, begin, stop)
+    order = np.argsort(theirs, kind="stable")
+    at = order[np.minimum(np.searchsorted(theirs[order], names), len(order) - 1)]
+    met = np.flatnonzero((theirs[at] == names) & (end - start == (stop - begin)[at]))
+    same = met[_equal(data, start[met], other, begin[at[met]], (end - start)[met])]
+    out[same] = at[same]
+    return out
+
+
+def windows(symbols: np.ndarray, width: int, have: int = 1) -> np.ndarray:
+    """Names of all windows of `width` symbols, by doubling; symbols[i] names `have` of them already."""
+    out = symbols
+    while have < width:
+        step = min(have, width - have)
+        out = pair(out[: max(0, len(out) - step)], out[step:])
+        have += step
+    return out
+
+
+def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """Names of all windows of `width` bytes, 8 at least."""
+    return windows(eights(data)[: max(0, len(data) - 7)].copy(), width, 8)
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of values[i:i + width] stands for every i, the leftmost of equals, by doubling."""
+    out, have = np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        left, right = out[: max(0, len(out) - step)], out[step:]
+        out = np.where(values[right] < values[left], right, left)
         have += step
     return out
 
@@ -167,7 +206,7 @@ _squeeze = zstandard.ZstdCompressor(level=1)
 
 def pack(*columns: np.ndarray) -> bytes:
     """Arrays of equal length as one compressed value, each by byte planes."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.nbytes // max(1, len(c))).T.tobytes() for c in columns]
     return _squeeze.compress(b"".join(planes))
 
 

@@ -23,9 +23,10 @@ from . import arrays, repeats
 LENGTH, GRAM = 50, 24
 #: Contexts of one shard.
 SHARD = 2048
+#: Places of contexts that are judged at once.
+OCCURRENCES = 1 << 16
 #: No UTF-8 text has this byte: it stands beyond the ends of a document.
 PAD = 0xFF
-_PLACE = 28
 _U = np.uint64
 
 
@@ -86,13 +87,30 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def _line_names(lines: np.ndarray) -> np.ndarray:
+    """Names of equally long rows of bytes."""
+    n, width = lines.shape
+    at = np.arange(n) * width
+    data, out = np.ascontiguousarray(lines).ravel(), np.zeros(n, _U)
+    for low in range(0, width, arrays.LONG_WORD):
+        high = min(width, low + arrays.LONG_WORD)
+        out = arrays.pair(out, arrays.word_names(data, at + low, at + high))
+    return out
+
+
+def distinct(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, own): one index for each distinct row of bytes, and the number of every row's own. Rows of one name are compared byte by byte."""
+    _, first, own = np.unique(_line_names(lines), return_index=True, return_inverse=True)
+    if not (lines == lines[first[own]]).all():  # two rows share a name: tell them apart by their bytes
+        _, first, own = np.unique(np.ascontiguousarray(lines).view(f"V{lines.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, own
+
+
 def first_owners(contexts: np.ndarray, owner: np.ndarray, length: int, gram: int, shard: int = SHARD) -> np.ndarray:
     """(contexts, length - gram + 1): the least owner of any context with the same `length` bytes from each column."""
     starts = length - gram + 1
     out = np.repeat(owner[:, None], starts, axis=1)
-    core = arrays.Rolling(np.ascontiguousarray(contexts[:, starts - 1 : starts - 1 + gram]).ravel())
-    at = np.arange(len(contexts)) * gram
-    order, first, size = repeats.in_groups([core.hash(at, at + gram)])
+    order, first, size = repeats.in_groups([_line_names(contexts[:, starts - 1 : starts - 1 + gram])])
     many = order[np.repeat(size > 1, size)]
     if not len(many):
         return out
@@ -107,17 +125,13 @@ def first_owners(contexts: np.ndarray, owner: np.ndarray, length: int, gram: int
 
 def least_grams(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the least k-gram of every `length`-byte window within a document, and their hashes."""
-    hashes = arrays.Rolling(data).windows(gram)
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    low = _U((1 << _PLACE) - 1)
-    if len(hashes) >= 1 << _PLACE:
-        raise ValueError("a text of over 256 MB")
-    least = arrays.sliding_min(hashes & ~low | np.arange(len(hashes), dtype=_U), length - gram + 1)[:n]
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = row[:n] == row[length - 1 :]
-    place = (least[inside] & low).astype(np.int64)
+    hashes = arrays.byte_windows(data, gram)
+    least = arrays.sliding_argmin(hashes, length - gram + 1)[:n]
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    place = least[row[:n] == row[length - 1 :]]
     place = place[np.diff(place, prepend=-1) != 0]
     return place, hashes[place]
 
@@ -131,12 +145,12 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     if not 0 <= length - gram < 32:
         raise ValueError("gram must be at most length, and length - gram below 32")
     docs, shift = repeats.numbered(df, id_col, text_col)
-    n, starts, width = repeats.buckets(df), length - gram + 1, 2 * length - gram
+    n, starts, width = repeats.buckets(docs), length - gram + 1, 2 * length - gram
     reach = length - gram
     order = lambda c: F.shiftright(c, shift)
-    copies = docs.select("key", F.md5("text").alias("digest"))
-    leads = copies.groupBy("digest").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    copies = copies.join(leads, "digest").where(order("key") > order("lead")).select("key", "lead")
+    # whole copies of an earlier text lose all their bytes; the transforms look at the first of them alone
+    copies = docs.where(F.octet_length("text") > 0).select("key", F.unhex(F.sha2("text", 256)).alias("digest"))
+    copies = repeats.with_least(copies, "digest", "key", "key").where(order("key") > order("least")).select("key", F.col("least").alias("lead"))
     dealt = docs.repartition(arrays.partitions(df.sparkSession), "key")
     marked = dealt.join(copies.hint("shuffle_hash"), "key", "left")
 
@@ -163,10 +177,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
                 outside = (grid < at[doc][:, None]) | (grid >= at[doc + 1][:, None])
                 contexts = data[np.clip(grid, 0, len(data) - 1)]
                 contexts[outside] = PAD
-                print_ = arrays.Rolling(contexts.ravel(), 5)
-                line = np.arange(len(place)) * width
-                first, own = np.unique(print_.hash(line, line + width), return_index=True, return_inverse=True)[1:]
-                bucket = repeats.bucket_of(arrays.Rolling(data).hash(place, place + gram), n)
+                first, own = distinct(contexts)
+                bucket = repeats.bucket_of(arrays.byte_windows(data, gram)[place], n)
                 key = rows.column("key").to_numpy()[doc]
                 order = np.lexsort((own, bucket))
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -193,20 +205,21 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
                     place.append(parts[2])
                     base += len(contexts[-1])
                 contexts, which, key, place = (np.concatenate(x) for x in (contexts, which, key, place))
-                line = np.arange(len(contexts)) * width
-                _, first, merged = np.unique(arrays.Rolling(np.ascontiguousarray(contexts).ravel(), 5).hash(line, line + width), return_index=True, return_inverse=True)
+                first, merged = distinct(contexts)
                 which, contexts = merged[which], contexts[first]
                 owner = np.full(len(contexts), np.iinfo(np.int64).max)
                 np.minimum.at(owner, which, key)
                 least = first_owners(contexts, owner, length, gram)
-                earlier = (least[which] >> shift) < (key >> shift)[:, None]
                 # strings that reach beyond the document are none
                 padded = np.concatenate([np.zeros((len(contexts), 1), np.int16), np.cumsum(contexts == PAD, axis=1, dtype=np.int16)], axis=1)
-                earlier &= (padded[:, length : length + starts] == padded[:, :starts])[which]
-                mask = (earlier << np.arange(starts)).sum(1).astype(np.uint32)
-                hit = np.flatnonzero(mask)
-                for k, packed in arrays.per_doc(key[hit], [place[hit], mask[hit]]):
-                    yield None, k, packed
+                within = padded[:, length : length + starts] == padded[:, :starts]
+                for low in range(0, len(which), OCCURRENCES):  # a frequent context stands in many places
+                    own_, key_, place_ = (x[low : low + OCCURRENCES] for x in (which, key, place))
+                    earlier = ((least[own_] >> shift) < (key_ >> shift)[:, None]) & within[own_]
+                    mask = (earlier << np.arange(starts)).sum(1).astype(np.uint32)
+                    hit = np.flatnonzero(mask)
+                    for k, packed in arrays.per_doc(key_[hit], [place_[hit], mask[hit]]):
+                        yield None, k, packed
 
         yield from repeats.rows_of(found())
 

@@ -2,12 +2,14 @@
 
 Documents that can reach the threshold share the content of a part of their shingle sets (a pigeonhole over more
 parts than may differ), so equal parts bring them into one block, that of the least document with the part. In a block each document searches inverted
-lists: the short lists are merged, what occurs in enough of them is probed in the long lists (DivideSkip), and documents
+lists: a heap merges the short lists and skips what cannot occur often enough, the rest is probed in the long lists (DivideSkip), and documents
 with the required overlap are links. Documents that are connected already are not searched for again.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,13 +39,16 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
     start, end, row = arrays.words(data, at, arrays.NOT_SPACE)
     if not len(start):
         return np.zeros(0, _U), np.zeros(len(at), np.int64)
-    word = arrays.Rolling(data).hash(start, end)
+    word = arrays.word_names(data, start, end)
     first = np.searchsorted(row, np.arange(len(at)))
-    rolling = arrays.Rolling(word, 3)
     n = np.diff(first)
     short = np.flatnonzero((n > 0) & (n < size))
     place = np.flatnonzero(row[: max(0, len(word) - size + 1)] == row[size - 1 :])
-    hashes = np.concatenate([rolling.hash(place, place + size), rolling.hash(first[short], first[short + 1])])
+    hashes = [arrays.windows(word, size)[place]]
+    few = n[short].astype(_U)  # a short text is one shingle, whose name holds the number of its words
+    for k in range(int(n[short].max(initial=0))):
+        few = np.where(k < n[short], arrays.pair(few, word[np.minimum(first[short] + k, len(word) - 1)]), few)
+    hashes = np.concatenate([*hashes, few])
     doc = np.concatenate([row[place], short])
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
@@ -101,6 +106,33 @@ def signatures(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tu
     return np.concatenate(out), np.concatenate(owners)
 
 
+def merge_skip(lists: list[list[int]], needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that stand in at least `needed` of the sorted lists, and in how many: a heap holds the next document of every list.
+
+    Where the least one stands in too few, the lists skip to the first document that `needed` heads can still reach.
+    """
+    heap = [(own[0], k) for k, own in enumerate(lists)]
+    heapq.heapify(heap)
+    at, found, counts = [0] * len(lists), [], []
+    while len(heap) >= needed:
+        doc, taken = heap[0][0], []
+        while heap and heap[0][0] == doc:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= needed:
+            found.append(doc)
+            counts.append(len(taken))
+            goal = doc + 1
+        else:
+            while len(taken) < needed - 1:
+                taken.append(heapq.heappop(heap)[1])
+            goal = heap[0][0]
+        for k in taken:
+            at[k] = bisect_left(lists[k], goal, at[k])
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
+    return np.array(found, np.int64), np.array(counts, np.int64)
+
+
 class Lists:
     """Inverted lists over the sets of a block: for each element the documents that have it, in order."""
 
@@ -127,11 +159,7 @@ class Lists:
         n_long = min(needed - 1, int(needed / (LONG * np.log(length.max()) + 1)))
         order = np.argsort(length, kind="stable")
         short, long_ = order[: size - n_long], order[size - n_long :]
-        merged = np.sort(self.docs[arrays.spans(low[short], length[short])], kind="stable")  # sorted runs are merged
-        edge = np.flatnonzero(np.diff(merged, prepend=-1, append=-1))
-        found, count = merged[edge[:-1]], np.diff(edge)
-        keep = count >= needed - n_long
-        found, count = found[keep], count[keep]
+        found, count = merge_skip([self.docs[a:b].tolist() for a, b in zip(low[short].tolist(), high[short].tolist(), strict=True) if a < b], needed - n_long)
         while len(long_) and len(found):  # the shortest of the long lists first; who cannot reach the overlap any more leaves
             some = long_[: max(1, PROBES // len(found))]
             wanted = own[some][:, None] * len(self.sizes) + found
@@ -149,19 +177,15 @@ def links(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT, known: np.
     known: documents with equal labels are connected already. queries: only these are searched for, each against
     all others.
     """
-    n = len(at) - 1
-    total = np.zeros(n, _U)
-    doc = np.repeat(np.arange(n), np.diff(at))
-    np.add.at(total, doc, arrays.mix(hashes + _U(5)))
-    sizes = np.diff(at)
-    _, lead, group = np.unique(total ^ sizes.astype(_U), return_index=True, return_inverse=True)
-    edges = [(int(lead[g]), k) for k, g in enumerate(group.tolist()) if lead[g] != k and sizes[k]]
-    leads = np.flatnonzero((lead[group] == np.arange(n)) & (sizes > 0))
+    n, sizes, same = len(at) - 1, np.diff(at), {}
+    of = np.array([same.setdefault(hashes[a:b].tobytes(), k) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))], np.int64)  # the first document with an equal set
+    edges = [(d, k) for k, d in enumerate(of.tolist()) if d != k and sizes[k]]
+    leads = np.flatnonzero((of == np.arange(n)) & (sizes > 0))
     if len(leads) < 2:
         return edges
     element = np.unique(hashes, return_inverse=True)[1]
     if queries is not None:
-        lists, asked = Lists(element, at, leads), lead[group[queries]]
+        lists, asked = Lists(element, at, leads), of[queries]
         return edges + [(int(q), int(d)) for q in np.unique(asked) if sizes[q] for d in lists.search(int(q), percent) if d != q and known[d] != known[q]]
     free = np.zeros(n, bool)
     free[leads] = True
@@ -225,7 +249,7 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     A run's least that is the least of such a group everywhere stands between with itself, so that its members stay with it.
     """
-    n = repeats.buckets(docs)
+    n, few = repeats.buckets(docs), arrays.partitions(docs.sparkSession)
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
@@ -252,7 +276,6 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def dealt(held: list[np.ndarray]) -> Iterator[tuple]:
         own = np.unique(np.concatenate(held), axis=0)
-        few = max(1, n // arrays.BUCKETS_PER_PARTITION)  # what is left is small: one bucket a partition
         for bucket, packed in arrays.deal(repeats.bucket_of(arrays.mix(own[:, 0].astype(_U)), few), [own[:, 0], own[:, 1], own[:, 2].astype(np.uint8)]):
             yield bucket, None, packed
 

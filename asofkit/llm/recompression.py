@@ -2,8 +2,9 @@
 
 Rounds name runs and pairs of word symbols by their content, so the names are the same in every document and no
 dictionary is shared. Whether two symbols are joined depends on their direct neighbours only: away from its ends
-a repeated passage has the same symbols everywhere. Spark gathers the high-level symbol triples that occur more than
-once, and the passages around them are verified window by window.
+a repeated passage has the same symbols everywhere. A first Spark round finds the high-level symbol triples that occur more
+than once; a second one compares the windows around them by what their symbols spell: the words before the inner symbols,
+these symbols, and the words after them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from . import arrays, repeats
 WINDOW = 35
 #: After a run round and two pair rounds a symbol spans 8 words at most, and symbols that touch words at least 8 from a passage's ends are the same in all its copies.
 MARGIN = 8
-_PLACE = 28
 _U = np.uint64
 
 
@@ -77,28 +77,48 @@ def anchors(word: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray,
     of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
     low, count = of_word[window + MARGIN], of_word[window + width - 1 - MARGIN] - of_word[window + MARGIN] - 1
     # the least of triple[low:low + count], the leftmost of equals, by two overlapping powers of two
-    place = _U((1 << _PLACE) - 1)
-    if len(triple) >= 1 << _PLACE:
-        raise ValueError("a text of too many words")
     power = np.log2(np.maximum(count, 1)).astype(np.int64)
-    least, table = np.zeros(len(window), _U), triple & ~place | np.arange(len(triple), dtype=_U)
+    chosen, table = np.zeros(len(window), np.int64), np.arange(len(triple))
     for k in range(int(power.max(initial=0)) + 1):
-        use = power == k
-        least[use] = np.minimum(table[low[use]], table[low[use] + count[use] - (1 << k)])
-        if len(table) > 1 << k:
-            table = np.minimum(table[: -(1 << k)], table[1 << k :])
-    chosen = (least & place).astype(np.int64)
+        use = np.flatnonzero(power == k)
+        left, right = table[low[use]], table[low[use] + count[use] - (1 << k)]
+        chosen[use] = np.where(triple[right] < triple[left], right, left)
+        left, right = table[: -(1 << k)], table[1 << k :]
+        table = np.where(triple[right] < triple[left], right, left)
     change = np.ones(len(window), bool)
     change[1:] = (chosen[1:] != chosen[:-1]) | (np.diff(window) != 1)
     at = np.flatnonzero(change)
     return triple[chosen[at]], window[at], np.diff(np.append(at, len(window)))
 
 
+def _spelled(names: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Names of the runs names[start:start + count], by two overlapping powers of two each."""
+    power = np.log2(count).astype(np.int64)
+    out, table = np.zeros(len(start), _U), names
+    for k in range(int(power.max(initial=0)) + 1):
+        use = np.flatnonzero(power == k)
+        out[use] = arrays.pair(arrays.pair(table[start[use]], table[start[use] + count[use] - (1 << k)]), count[use].astype(_U))
+        table = arrays.pair(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+def prints(word: np.ndarray, row: np.ndarray, window: np.ndarray, width: int) -> np.ndarray:
+    """Names of the windows that start at `window`, from the symbols: words up to the inner symbols, these, words after them.
+
+    Inner symbols are the same in all copies of a window, and so is where they begin and end.
+    """
+    symbol, first, _ = parse(word, row)
+    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+    first = np.append(first, len(word))
+    low, high = of_word[window + MARGIN], of_word[window + width - 1 - MARGIN] + 1
+    before, after = first[low] - window, window + width - first[high]
+    return arrays.pair(arrays.pair(_spelled(word, window, before), _spelled(symbol, low, high - low)), _spelled(word, first[high], after))
+
+
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the words, their hashes, and each document's first word."""
     start, end, row = arrays.words(data, at, arrays.NOT_SPACE)
-    word = arrays.Rolling(data).hash(start, end) if len(start) else np.zeros(0, _U)
-    return start, end, row, word, np.searchsorted(row, np.arange(len(at)))
+    return start, end, row, arrays.word_names(data, start, end), np.searchsorted(row, np.arange(len(at)))
 
 
 def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -110,7 +130,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDO
     if width < 2 * MARGIN + 19:
         raise ValueError(f"windows of at least {2 * MARGIN + 19} words are needed")
     docs, _ = repeats.numbered(df, id_col, text_col)
-    n = repeats.buckets(df)
+    n = repeats.buckets(docs)
     dealt = docs.repartition(arrays.partitions(df.sparkSession), "key")
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +146,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDO
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple]:
             for rows, data, at in arrays.slices(batches):
-                _, _, row, word, first = _words(data, at)
+                start, end, row, word, first = _words(data, at)
                 if len(word) < width:
                     continue
                 starts = []
@@ -135,9 +155,10 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDO
                     starts.append(arrays.spans(low.astype(np.int64) + first[d], count.astype(np.int64)))
                 window = np.concatenate(starts) if starts else np.zeros(0, np.int64)
                 if len(window):
-                    prints = [arrays.Rolling(word, salt).hash(window, window + width) for salt in (11, 12)]
+                    # besides the symbols, names of another hash of the words: 128 bits decide
+                    other = arrays.windows(arrays.word_names(data, start, end, 1), width)
                     doc = row[window]
-                    yield from repeats.entries([prints[0], (prints[1] >> _U(32)).astype(np.uint32)], rows.column("key").to_numpy()[doc], [(window - first[doc]).astype(np.uint32)], n)
+                    yield from repeats.entries([prints(word, row, window, width), other[window]], rows.column("key").to_numpy()[doc], [(window - first[doc]).astype(np.uint32)], n)
 
         yield from repeats.rows_of(sent())
 
@@ -168,5 +189,5 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, width: int = WINDO
     shared = repeats.by_key(repeats.repeated(dealt.mapInArrow(find, repeats.ENTRY), ("u8",), ("u4", "u2")), "hits")
     # left joins: an inner one would filter below the exchange, and the texts would move twice
     windows = dealt.join(shared.hint("shuffle_hash"), "key", "left").mapInArrow(verify, repeats.ENTRY)
-    found = repeats.by_key(repeats.repeated(windows, ("u8", "u4"), ("u4",)), "hits")
+    found = repeats.by_key(repeats.repeated(windows, ("u8", "u8"), ("u4",)), "hits")
     return dealt.join(found.hint("shuffle_hash"), "key", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

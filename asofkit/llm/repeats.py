@@ -36,8 +36,24 @@ def numbered(df: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
     return docs.select((F.shiftleft(F.coalesce("doc_id", F.lit((last or 0) + 1)), shift) + number).alias("key"), *rest), shift
 
 
-def buckets(df: DataFrame) -> int:
-    return arrays.BUCKETS_PER_PARTITION * arrays.partitions(df.sparkSession)
+#: Parts that the rows of one key are dealt to.
+SALTS = 32
+
+
+def with_least(df: DataFrame, key: str, value: str, spread: str) -> DataFrame:
+    """The rows with the least `value` of their key as `least`. A frequent key is dealt to SALTS parts by `spread`, in the aggregation and in the join."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    some = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
+    least = some.groupBy(key).agg(F.min("_part").alias("least"))
+    # a key has SALTS rows in `some` at most, so this join has no frequent key
+    by_salt = some.select(F.col(key), "_salt").join(least, key)
+    return salted.join(by_salt, [key, "_salt"]).drop("_salt")
+
+
+def buckets(docs: DataFrame) -> int:
+    """So many that each has the keys of some BUCKET_BYTES of text, whatever the number of shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(arrays.partitions(docs.sparkSession), -(-total // arrays.BUCKET_BYTES))
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:

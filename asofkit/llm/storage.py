@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints: spark.checkpoint.dir of the session, or a local one where that is unset."""
+    """A new folder below spark.checkpoint.dir of the session; where that is unset, below the warehouse, which a cluster shares too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/asofkit-shared"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/asofkit-intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -21,3 +19,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table from written() that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        own = path(folder)
+        own.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(own, True)

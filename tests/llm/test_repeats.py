@@ -1,13 +1,14 @@
 """Substring and passage removal, and the Jaccard join, against brute force on awkward tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from asofkit.llm import bwt_merge, components, jaccard_join, recompression
+from asofkit.llm import arrays, bwt_merge, components, decontaminate, jaccard_join, recompression
 
 
 def cut_bytes(rows, length=50):
@@ -170,3 +171,64 @@ def test_components_of_a_chain_and_a_star(spark, rows):
     edges = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = rows(components.components(spark.createDataFrame(edges, "a long, b long")), "a")
     assert got == [(k, 0) for k in range(21)] + [(k, 100) for k in range(100, 130)]
+
+
+def thue_morse(n, swap=False):
+    """Two words of n letters that any polynomial hash modulo 2**64 takes for one from n = 1,024 on."""
+    return "".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 4096])
+def test_words_that_collide_under_polynomials_are_different(docs, rows, spark, n):
+    fill = [f"w{k}" for k in range(34)]
+    texts = [" ".join([*fill[:17], thue_morse(n, s), *fill[17:]]) for s in (False, True)] + [thue_morse(n), thue_morse(n, True)]
+    got = rows(recompression.remove_repeats(docs(texts), "doc_id", "text"), "doc_id")
+    assert got == cut_words(list(enumerate(texts))) and [g[2] for g in got] == [0, 0, 0, 0]
+    assert rows(jaccard_join.similar(docs(texts), "doc_id", "text").select("doc_id", "n_shingles", "component_id"), "doc_id") == groups(texts)
+    assert rows(bwt_merge.remove_repeats(docs(texts), "doc_id", "text"), "doc_id") == cut_bytes(list(enumerate(texts)))
+    bench = spark.createDataFrame([(1, thue_morse(n))], "item_id long, text string")
+    assert rows(decontaminate.contamination(docs(texts), bench).select("n_hit"), "doc_id") == [(1,), (0,), (1,), (0,)]
+
+
+def test_names_that_clash_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(arrays, "word_names", lambda data, start, end, salt=0: (end - start).astype(np.uint64))
+    data = np.frombuffer(b"one two six one three two", np.uint8)
+    start, end, _ = arrays.words(data, np.array([0, len(data)]), arrays.NOT_SPACE)
+    first, own = arrays.distinct_words(data, start, end)
+    assert own.tolist() == [0, 1, 2, 0, 3, 1] and first.tolist() == [0, 1, 2, 4]
+    lines = np.array([[1, 2], [3, 4], [1, 2], [3, 5]], np.uint8)
+    first, own = bwt_merge.distinct(lines)
+    assert (lines[first[own]] == lines).all() and len(first) == 3
+
+
+def test_lists_are_merged_with_skips():
+    rng = np.random.default_rng(2)
+    for needed in (1, 2, 3, 5):
+        lists = [sorted(rng.choice(60, rng.integers(1, 30), replace=False).tolist()) for _ in range(9)]
+        many = Counter(d for own in lists for d in own)
+        found, count = jaccard_join.merge_skip(lists, needed)
+        assert dict(zip(found.tolist(), count.tolist(), strict=True)) == {d: n for d, n in many.items() if n >= needed}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_over_many_files_of_hot_groups(spark, rows, tmp_path, monkeypatch, seed):
+    """Groups that are hot in single files, whose leaders are led elsewhere by other parts of their sets."""
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 6)
+    r = random.Random(seed)
+    base = [[f"g{g}w{k}" for k in range(16)] for g in range(4)]
+    texts = []
+    for k in range(160):
+        words = list(base[r.randrange(4)])
+        for _ in range(r.randrange(3)):
+            words[r.choice((0, 15, r.randrange(16)))] = f"x{r.randrange(6)}"
+        if not k % 5:  # halves of two groups: parts of a set with other leaders
+            words = base[r.randrange(4)][:8] + base[r.randrange(4)][8:]
+        texts.append(" ".join(words))
+    ids = r.sample(range(1000), len(texts))
+    for k in range(8):
+        spark.createDataFrame(list(zip(ids, texts, strict=True))[k::8], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+    got = rows(jaccard_join.similar(spark.read.parquet(*(f"{tmp_path}/part{k}" for k in range(8))), "doc_id", "text", block_docs=6).select("doc_id", "n_shingles", "component_id"), "doc_id")
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    own = [ids[k] for k in order]
+    assert got == [(own[k], n, own[lead]) for k, n, lead in groups([texts[k] for k in order])]

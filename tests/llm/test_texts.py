@@ -110,8 +110,10 @@ def test_contamination_against_brute_force(docs, rows, spark, passage):
                     hit |= set(range(k, k + len(win)))
                     found |= ids
         expected.append((d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
-    for per_pass in (100, 2):
-        assert rows(decontaminate.contamination(docs(texts), bench, per_pass=per_pass), "doc_id") == expected
+    for block_bytes in (1 << 20, 500):
+        assert rows(decontaminate.contamination(docs(texts), bench, block_bytes=block_bytes).drop("digest"), "doc_id") == expected
+    kept = decontaminate.clean(docs(texts), bench)
+    assert kept.columns == docs(texts).columns and [r[0] for r in rows(kept, "doc_id")] == [d for d, *_, bad in expected if not bad]
     assert rows(decontaminate.contamination(docs(texts), bench.limit(0)).select("n_hit").distinct()) == [(0,)]
     exact = decontaminate.phrase_matches(docs(texts), bench)
     assert {r["doc_id"] for r in exact.collect()} == {d for d, *_, items_, _ in expected if items_}
