@@ -2,11 +2,12 @@
 
 Hashed byte n-grams give every word a likelihood under every language. Expectation-maximisation estimates
 a document's proportions; the set of languages is the one of highest likelihood less a penalty for each further language.
+A word's likelihood depends on the word alone, so it is found once for each distinct word of a run of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from . import arrays
 
 ORDERS = (2, 3, 4)
-#: Cells of each order's table.
-CELLS = 1 << 16
-#: The model is broadcast; it takes ORDERS * CELLS * 4 bytes a language, so this bounds it at 200 MB.
-MOST_LANGUAGES = 256
+#: Bits of a cell's number in each order's table, and bytes of the whole model, which is broadcast: more languages than fit take smaller tables.
+BITS, MODEL_BYTES = 16, 200 << 20
+#: Cells whose counts travel together.
+BLOCK = 4096
+#: Words that are worked on at once.
+CHUNK = 1 << 16
 #: A document's proportions are found when a step moves none of them so far.
 TOLERANCE = 1e-4
 #: Log-likelihood that a further language must gain, times the log of the number of words.
@@ -32,7 +35,6 @@ UNKNOWN = "und"
 
 _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 _ANY_LETTER = regex.compile(r"\p{L}")
-_GAP = max(ORDERS)
 
 
 @dataclass
@@ -40,25 +42,38 @@ class Model:
     """Languages by name and log-probabilities, a row for each cell."""
 
     languages: list[str]
-    table: np.ndarray  # (ORDERS * CELLS, languages), float32
+    table: np.ndarray  # (ORDERS * 2**bits, languages), float32
+    bits: int
 
 
-def cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(orders, places) cells of the n-grams that start at each byte, and start, end and row of the words among these places."""
-    sizes = np.diff(at)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+def bits_for(languages: int) -> int:
+    """Bits of a cell's number, so that the model stays below MODEL_BYTES."""
+    most = MODEL_BYTES // (4 * len(ORDERS) * max(1, languages))
+    return max(4, min(BITS, most.bit_length() - 1))
+
+
+def distinct_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, start and end of each distinct word, and of all words the number among these and the row."""
     low = arrays.LOWER[data]
-    padded = np.full(len(data) + _GAP * len(sizes) + _GAP, 32, np.uint8)
-    padded[np.arange(len(data)) + _GAP * row] = np.where(_LETTER[low], low, 32)
-    own = at + _GAP * np.arange(len(at))
-    start, end, row = arrays.words(padded[: own[-1]], own, _LETTER)
-    wide = padded.astype(np.uint32)
-    n, gram, out = int(own[-1]), np.zeros(int(own[-1]), np.uint32), []
-    for k in range(_GAP):
-        gram = gram << 8 | wide[k : k + n]
+    start, end, row = arrays.words(low, at, _LETTER)
+    first, own = arrays.distinct_words(low, start, end)
+    return low, start[first], end[first], own, row
+
+
+def cells(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(orders, places) cells of the n-grams of words, each with a space before it and spaces after, and where each word's places begin."""
+    size = end - start + 1  # n-grams begin at the space before a word and at each of its bytes
+    wide = size + max(ORDERS)
+    at = np.cumsum(wide) - wide
+    text = np.full(int(wide.sum()), 32, np.uint8)
+    text[arrays.spans(at + 1, size - 1)] = data[arrays.spans(start, size - 1)]
+    place, out = arrays.spans(at, size), []
+    gram = np.zeros(len(place), np.uint32)
+    for k in range(max(ORDERS)):
+        gram = gram << np.uint32(8) | text[place + k]
         if k + 1 in ORDERS:
-            out.append((gram * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int32) + len(out) * CELLS)
-    return np.stack(out), start, end, row
+            out.append((gram * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int64) + (len(out) << bits))
+    return np.stack(out), np.cumsum(size) - size
 
 
 def is_training(id_col: str) -> Column:
@@ -67,76 +82,116 @@ def is_training(id_col: str) -> Column:
 
 
 def fit(df: DataFrame, text_col: str, lang_col: str, smoothing: float = 0.5) -> Model:
-    """Counts the n-grams of every whole text that has a language. Without such texts the model knows no language."""
+    """Counts the n-grams of every whole text that has a language. Without such texts the model knows no language.
+
+    Tasks send their counts by language and block of cells; the sums of a block are added up row by row.
+    """
     arrays.bounded_batches(df.sparkSession)
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    bits = bits_for(rows.select("lang").distinct().count())
+    total, schema = len(ORDERS) << bits, "lang string, block int, counts binary"
+
+    def sent(held: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (lang, block), counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block], pa.int32()), pa.array([arrays.pack(counts)], pa.binary())], names=["lang", "block", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for part, data, at in arrays.slices(batches, limit=arrays.SLICE_BYTES // 2):
-            cell, start, end, row = cells(data, at)
-            place = arrays.spans(start, end - start)
+            low, start, end, own, row = distinct_words(data, at)
             langs, which = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            owner = np.repeat(which[row], end - start)
             for k, lang in enumerate(langs.tolist()):
-                own = place[owner == k]
-                counts = np.bincount(cell[:, own].ravel(), minlength=len(ORDERS) * CELLS)
-                held[lang] = held[lang] + counts if lang in held else counts
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([arrays.pack(counts.astype(np.int64))], pa.binary())], names=["lang", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(arrays.unpack(v, "i8")[0] for v in table.column("counts").to_pylist())
-        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([arrays.pack(total)], pa.binary())})
-
-    schema = "lang string, counts binary"
-    found = rows.mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.zeros((len(ORDERS) * CELLS, len(found)), np.float32)
-    for k, r in enumerate(found):
-        counts = arrays.unpack(r["counts"], "i8")[0].reshape(len(ORDERS), CELLS) + smoothing
-        table[:, k] = (np.log(counts / counts.sum(1, keepdims=True)) / len(ORDERS)).ravel()
-    return Model([r["lang"] for r in found], table)
-
-
-def _maximise(likelihood: np.ndarray, doc: np.ndarray, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood by document; `start` has zeros where a language is not in the set."""
-    share, n = start.copy(), np.diff(np.append(first, len(doc)))
-    live, words, own, at = np.arange(len(n)), likelihood, doc, first
+                times = np.bincount(own[which[row] == k], minlength=len(start))
+                used = np.flatnonzero(times)
+                counts = held.setdefault(lang, np.zeros(total))
+                for at_ in range(0, len(used), CHUNK):
+                    some = used[at_ : at_ + CHUNK]
+                    cell, _ = cells(low, start[some], end[some], bits)
+                    weight = np.repeat(times[some], end[some] - start[some] + 1)
+                    counts += np.bincount(cell.ravel(), np.tile(weight, len(ORDERS)), total)
+        yield from sent({(lang, low): counts[low : low + BLOCK].astype(np.int64) for lang, counts in held.items() for low in range(0, total, BLOCK) if counts[low : low + BLOCK].any()})
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            for lang, block, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
+                if (lang, block) != now:
+                    if now:
+                        yield from sent({now: held})
+                    now, held = (lang, block), 0
+                held = held + arrays.unpack(counts, "i8")[0]
+        if now:
+            yield from sent({now: held})
+
+    added = rows.mapInArrow(count, schema).repartition(arrays.partitions(df.sparkSession), "lang", "block").sortWithinPartitions("lang", "block").mapInArrow(add, schema)
+    found = added.collect()  # MODEL_BYTES bounds it
+    languages = sorted({r["lang"] for r in found})
+    table = np.full((total, len(languages)), smoothing, np.float32)
+    for r in found:
+        counts = arrays.unpack(r["counts"], "i8")[0]
+        table[r["block"] : r["block"] + len(counts), languages.index(r["lang"])] += counts
+    for k in range(len(ORDERS)):
+        own = table[k << bits : (k + 1) << bits]
+        own[:] = (np.log(own) - np.log(own.sum(0, dtype=np.float64))) / len(ORDERS)
+    return Model(languages, table, bits)
+
+
+def _by_doc(values: Callable[[slice], np.ndarray], doc: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Sums of values by document, chunk by chunk; doc is sorted."""
+    out = np.zeros((n, width))
+    for low in range(0, len(doc), CHUNK):
+        part = slice(low, low + CHUNK)
+        begin = np.flatnonzero(np.diff(doc[part], prepend=-1))
+        out[doc[part][begin]] += np.add.reduceat(values(part), begin, axis=0)
+    return out
+
+
+def maximise(likelihood: np.ndarray, times: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood by document, from its distinct words and how often each occurs; `start` has zeros where a language is not in the set."""
+    share, width = start.copy(), likelihood.shape[1]
+    n = np.bincount(doc, times, len(share))
+    live, words, own, often = np.arange(len(n)), likelihood, doc, times
     while len(live):
-        joint = words * share[live][own]
-        joint /= joint.sum(1, keepdims=True)
-        new = np.add.reduceat(joint, at, axis=0) / n[live][:, None]
-        on = np.abs(new - share[live]).max(1) >= TOLERANCE
+        now = share[live]
+
+        def given(part: slice, words=words, now=now, own=own, often=often) -> np.ndarray:
+            joint = words[part] * now[own[part]]
+            return joint * (often[part] / joint.sum(1))[:, None]
+
+        new = _by_doc(given, own, len(live), width) / n[live][:, None]
+        on = np.abs(new - now).max(1) >= TOLERANCE
         share[live] = new
         if not on.all():  # documents that are done leave, each by itself
-            words, live = words[on[own]], live[on]
-            own, at = np.repeat(np.arange(len(live)), n[live]), np.cumsum(n[live]) - n[live]
-    return share, np.add.reduceat(np.log((likelihood * share[doc]).sum(1)), first)
+            keep = on[own]
+            words, often, own, live = words[keep], often[keep], (np.cumsum(on) - 1)[own[keep]], live[on]
+    return share, _by_doc(lambda part: (np.log((likelihood[part] * share[doc[part]]).sum(1)) * times[part])[:, None], doc, len(share), 1)[:, 0]
+
+
+def word_logs(model: Model, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(words, languages) log-likelihoods."""
+    out = np.zeros((len(start), len(model.languages)), np.float32)
+    for k in range(0, len(start), CHUNK // 8):
+        part = slice(k, k + CHUNK // 8)
+        cell, at = cells(low, start[part], end[part], model.bits)
+        out[part] = sum(np.add.reduceat(model.table[own], at, axis=0) for own in cell)
+    return out
 
 
 def infer(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(documents, languages) proportions; a document without words has zeros."""
     out = np.zeros((len(at) - 1, len(model.languages)))
-    if not len(model.languages):
-        return out
-    cell, start, end, row = cells(data, at)
-    if not len(start):
+    low, start, end, own, row = distinct_words(data, at)
+    if not len(model.languages) or not len(own):
         return out
-    logs = np.zeros((cell.shape[1] + 1, len(model.languages)))
-    each = model.table[cell[0]].astype(np.float64)
-    for more in cell[1:]:
-        each += model.table[more]
-    np.cumsum(each, axis=0, out=logs[1:])
-    word = logs[end] - logs[start]
-    top = word.max(1, keepdims=True)
-    likelihood = np.exp(np.maximum(word - top, -200))
-    ids, first, n = np.unique(row, return_index=True, return_counts=True)
-    doc = np.repeat(np.arange(len(ids)), n)
-    full, most = _maximise(likelihood, doc, first, np.full((len(ids), len(model.languages)), 1 / len(model.languages)))
+    logs = word_logs(model, low, start, end)
+    pairs, times = np.unique(row * len(start) + own, return_counts=True)
+    ids, doc = np.unique(pairs // len(start), return_inverse=True)
+    word, n = pairs % len(start), np.bincount(doc, times)
+    logs -= logs.max(1, keepdims=True)
+    likelihood = np.exp(np.maximum(logs, -80))[word]
+    full, most = maximise(likelihood, times, doc, np.full((len(ids), len(model.languages)), 1 / len(model.languages)))
     order = np.argsort(-full, axis=1, kind="stable")
-    single = np.add.reduceat(word - top, first, axis=0)
+    single = _by_doc(lambda part: logs[word[part]] * times[part][:, None].astype(np.float64), doc, len(ids), len(model.languages))
     best = single.argmax(1)
     share, value = np.zeros_like(full), single[np.arange(len(ids)), best]
     share[np.arange(len(ids)), best] = 1
@@ -146,14 +201,13 @@ def infer(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not len(use):
             break
         keep = np.isin(doc, use)
-        own = np.searchsorted(use, doc[keep])
         allowed = np.zeros((len(use), len(model.languages)))
         np.put_along_axis(allowed, order[use, :k], 1 / k, 1)
-        fresh, gained = _maximise(likelihood[keep], own, np.searchsorted(own, np.arange(len(use))), allowed)
+        fresh, gained = maximise(likelihood[keep], times[keep], np.searchsorted(use, doc[keep]), allowed)
         gained -= PENALTY * (k - 1) * np.log(n[use] + 1)
         better = gained > value[use]
         share[use[better]], value[use[better]] = fresh[better], gained[better]
-    out[ids] = share
+    out[ids] = np.round(share, 9)
     return out
 
 
@@ -161,7 +215,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model, carry: boo
     """Per row: doc_id, lang_pred, score (the predicted language's proportion), languages, shares (of the selected set, largest first).
 
     A null text, a text without letters, and any text under an empty model are `und` with score 0; so are texts
-    whose only letters leave no word. Equal texts get equal results; repeated rows give repeated results. carry adds the input row.
+    whose only letters leave no word. A text's memory grows with its distinct words times the languages. Equal texts get equal results; repeated rows give repeated results. carry adds the input row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     limit = max(1 << 16, arrays.SLICE_BYTES // max(2, len(model.languages)))
