@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 Long texts are cut into overlapping chunks that are pre-tokenised in parallel. Two neighbours' pre-token
-bounds agree from the first place where both have one, so each chunk is used from there on; without such a
-place the stretch is pre-tokenised again from the last sure bound. The pieces are then merged by rank.
+bounds agree from the first place where both have one, so each chunk is used from there to where the next one takes over,
+and is merged by rank where it lies; the ids of a text's chunks are then joined. A text with neighbours that never agree is
+pre-tokenised again from the last sure bound.
 """
 
 from __future__ import annotations
@@ -143,30 +144,67 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, k
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch.column("text")[k].as_py()
-                digest = hashlib.sha256(text.encode()).digest()
                 starts = list(range(0, len(text), chunk))
                 for low in range(0, len(starts), 64):
                     own = starts[low : low + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[k].as_py()] * len(own), batch.schema.field("doc_id").type), pa.array([digest] * len(own), pa.binary()), pa.array(own, pa.int64()), pa.array([text[s : s + chunk + overlap] for s in own])], names=["doc_id", "digest", "start", "text"])
+                    same = pa.array([k] * len(own))
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(same), batch.column("doc_id").take(same), pa.array(own, pa.int64()), pa.array([text[s : s + chunk + overlap] for s in own])], names=["key", "doc_id", "start", "text"])
 
     def bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where pre-tokens end in what a chunk shares with the one before and with the one after."""
         tokens = codec(path, pattern)
         for batch in batches:
-            ends = [tokens.ends(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
-            yield batch.append_column("ends", pa.array(ends, pa.binary()))
-
-    def stitched(table: pa.Table) -> pa.Table:
+            heads, tails = [], []
+            for text in batch.column("text").to_pylist():
+                ends = tokens.ends(text)
+                heads.append(np.concatenate([[0], ends[ends <= overlap]]).astype("<i4").tobytes())
+                tails.append((ends[(ends >= chunk) & (ends <= len(text) - LOOK)] - chunk).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], names=["key", "start", "heads", "tails"])
+
+    def agreed(table: pa.Table) -> pa.Table:
+        """From where to where each chunk of a text counts; sure: all neighbours agree somewhere."""
+        starts, first = np.unique(table.column("start").to_numpy(), return_index=True)  # repeated rows have the same chunks
+        heads, tails = ([np.frombuffer(v, "<i4") for v in table.column(c).take(pa.array(first)).to_pylist()] for c in ("heads", "tails"))
+        common = [np.intersect1d(a, b) for a, b in zip(tails[:-1], heads[1:], strict=True)]
+        meet = [int(c[0]) if len(c) else -1 for c in common]
+        n = len(starts)
+        return pa.table({"key": table.column("key").take(pa.array([0] * n)), "start": pa.array(starts, pa.int64()), "low": pa.array([0, *meet], pa.int64()), "high": pa.array([*(m + chunk for m in meet), 1 << 40], pa.int64()), "sure": pa.array([-1 not in meet] * n)})
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of a chunk's own stretch; a chunk of a text that is not sure keeps its text."""
+        tokens = codec(path, pattern)
+        for batch in batches:
+            ids, rest = [], []
+            for text, low, high, sure in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high", "sure")), strict=True):
+                rest.append(None if sure else text)
+                if not sure:
+                    ids.append(b"")
+                    continue
+                ends = tokens.ends(text)
+                ends = np.concatenate([[low], ends[(ends > low) & (ends <= high)]]).tolist()
+                ids.append(tokens.encode([text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "start")), pa.array(ids, pa.binary()), pa.array(rest, pa.string())], names=["key", "doc_id", "start", "ids", "text"])
+
+    def finished(table: pa.Table) -> pa.Table:
         tokens = codec(path, pattern)
         table = table.sort_by("start")
         copies = table.column("start").to_pylist().count(0)
-        rows = [(s, t, np.frombuffer(e, "<i4").astype(np.int64)) for s, t, e in zip(*(table.column(c).to_pylist() for c in ("start", "text", "ends")), strict=True)][::copies]
-        ids = tokens.encode(stitch(rows, tokens))
+        texts = table.column("text").to_pylist()[::copies]
+        if texts[0] is None:
+            ids = b"".join(table.column("ids").to_pylist()[::copies])
+        else:
+            ids = tokens.encode(stitch([(s, t, tokens.ends(t)) for s, t in zip(table.column("start").to_pylist()[::copies], texts, strict=True)], tokens))
         return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks().slice(0, 1), [ids], tokens, keep_ids)] * copies)
 
+    if not 0 < overlap <= chunk:
+        raise ValueError("an overlap must be as long as a chunk at most")
     long_text = F.length("text") > chunk + overlap
-    pieces = docs.where(long_text).mapInArrow(cut, f"doc_id {kind}, digest binary, start long, text string")
-    pieces = pieces.repartition(arrays.partitions(df.sparkSession), "doc_id", "start").mapInArrow(bounds, f"doc_id {kind}, digest binary, start long, text string, ends binary")
-    return docs.where(~long_text).mapInArrow(whole, schema).unionByName(pieces.groupBy("doc_id", "digest").applyInArrow(stitched, schema))
+    # an id and its text name a row; rows that repeat both are counted apart at the end
+    keyed = docs.where(long_text).select(F.unhex(F.sha2(F.concat(F.to_json(F.struct("doc_id")), "text"), 256)).alias("key"), "doc_id", "text")
+    pieces = keyed.mapInArrow(cut, f"key binary, doc_id {kind}, start long, text string").repartition(arrays.partitions(df.sparkSession), "key", "start")
+    cuts = pieces.mapInArrow(bounds, "key binary, start long, heads binary, tails binary").groupBy("key").applyInArrow(agreed, "key binary, start long, low long, high long, sure boolean")
+    ids = pieces.join(cuts.hint("shuffle_hash"), ["key", "start"], "left").mapInArrow(merged, f"key binary, doc_id {kind}, start long, ids binary, text string")
+    return docs.where(~long_text).mapInArrow(whole, schema).unionByName(ids.groupBy("key").applyInArrow(finished, schema))
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
