@@ -50,8 +50,9 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = storage.shared_folder(spark, "archives")
-    zip_warc.build_archives(_table(spark, sf_dir, "pages"), "page_id", "url", "html").write.parquet(folder)
-    return zip_warc.read_archives(spark.read.parquet(folder)).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages")
+    zip_warc.build_archives(pages, "page_id", "url", "html").write.parquet(folder)
+    return zip_warc.read_archives(spark.read.parquet(folder), id_kind=dict(pages.dtypes)["page_id"]).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

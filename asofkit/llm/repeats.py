@@ -40,9 +40,9 @@ def numbered(df: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
 SALTS = 32
 
 
-def with_least(df: DataFrame, key: str, value: str, spread: str) -> DataFrame:
+def with_least(df: DataFrame, key: str, value: str, *spread: str) -> DataFrame:
     """The rows with the least `value` of their key as `least`. A frequent key is dealt to SALTS parts by `spread`, in the aggregation and in the join."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     some = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
     least = some.groupBy(key).agg(F.min("_part").alias("least"))
     # a key has SALTS rows in `some` at most, so this join has no frequent key

@@ -2,6 +2,7 @@
 
 The reader needs only a function read(offset, length): it takes the end record (with its ZIP64 form), the central
 directory, the local headers and the stored index, then reads each WARC record by its byte range. Nothing is extracted.
+Archives in files are read in two steps: their indexes give a table of byte ranges, and Spark deals these to tasks.
 """
 
 from __future__ import annotations
@@ -10,15 +11,18 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, repeats
 
 Read = Callable[[int, int], bytes]
 ARCHIVE_BYTES = 2 << 20
@@ -93,6 +97,17 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _urn(id_: object) -> str:
+    """An id with its type, as JSON; what JSON lacks (dates, decimals) as a string."""
+    return f"<urn:page:{quote(json.dumps(id_, default=str), safe='')}>"
+
+
+def _id_of(urn: str | None) -> str | None:
+    """The id of an urn as a string that Spark can cast back, None for null."""
+    found = None if urn is None else json.loads(unquote(urn.removeprefix("<urn:page:").removesuffix(">")))
+    return found if found is None or isinstance(found, str) else json.dumps(found)
+
+
 def warc_record(page_id: object, url: str, payload: bytes, refers_to: object | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -100,11 +115,11 @@ def warc_record(page_id: object, url: str, payload: bytes, refers_to: object | N
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]),
+        *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -122,44 +137,39 @@ def read_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, {k.lower(): v.strip() for k, v in (line.split(":", 1) for line in http.decode().split("\r\n")[1:])}, payload
 
 
-def refers(df: DataFrame, id_col: str, body_col: str, least: int = 0) -> DataFrame:
-    """(id, refers_to) of the rows whose payload, of `least` bytes or more, a row with a smaller id has too.
-
-    Digests are reduced to their smallest id before and after the shuffle; the payloads do not move.
-    """
-    body = F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary")
-    keys = df.select(F.col(id_col).alias("id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= least).select("id", "digest")
-    first = keys.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(first, "digest").where("id > refers_to").select("id", "refers_to").distinct()
-
-
 def build_archives(df: DataFrame, id_col: str, url_col: str, body_col: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
     """(name, content): ZIP archives of WARC records with a stored index. Null urls and bodies count as empty.
 
-    Of rows with equal payloads the smallest id is the response; rows that repeat its id are responses too.
+    Of rows with equal payloads of `least` bytes or more the smallest id is the response, the others revisit it; rows that repeat its
+    id are responses too. A null id counts as larger than all others; payloads that only null ids have are responses.
     """
     arrays.bounded_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
-    pages = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("text"))
-    pages = pages.join(refers(df, id_col, body_col, least), "id", "left").select("id", "url", "text", "refers_to")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pages = df.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(body_col).alias("text")).withColumn("digest", F.unhex(F.sha1(F.col("text").cast("binary"))))
+    pages = repeats.with_least(pages, "digest", "id", "id", "url")
+    revisits = (F.col("id").isNull() | (F.col("id") > F.col("least"))) & (F.octet_length("text") >= least)
+    pages = pages.select("id", "url", "text", F.when(revisits, F.col("least")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in arrays.slices(batches, limit=archive_bytes):
             warc, index = bytearray(), []
             for k, (page, url, first) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("id", "url", "refers_to")), strict=True)):
                 record = warc_record(page, url, data[at[k] : at[k + 1]].tobytes(), first)
-                index.append(json.dumps({"id": page, "offset": len(warc), "length": len(record), "filename": WARC}))
+                index.append(json.dumps({"offset": len(warc), "length": len(record), "filename": WARC}))
                 warc += record
             body = zip_stored([(WARC, bytes(warc)), (INDEX, "\n".join(index).encode()), ("datapackage.json", b'{"profile":"data-package"}')], zip64)
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(body).hexdigest() + ".wacz"]), pa.array([body], pa.binary())], names=["name", "content"])
 
-    return pages.mapInArrow(run, "name string, content binary").withColumn("kind", F.lit(kind))
+    return pages.mapInArrow(run, "name string, content binary")
 
 
-RECORD = "payload_bytes long, payload_digest string, record_type string, refers_to {0}, url string"
+_RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
+_NAMES = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
 
 
-def _rows(read: Read, size: int, id_type: Callable) -> Iterator[tuple]:
+def ranges(read: Read, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of every indexed record of an archive."""
     found = members(read, size)
     for name, (method, at, length) in found.items():
         if not name.startswith("indexes/"):
@@ -171,30 +181,82 @@ def _rows(read: Read, size: int, id_type: Callable) -> Iterator[tuple]:
             method, base, _ = found[entry["filename"]]
             if method:
                 raise ValueError("an archive must be a stored member")
-            warc, http, payload = read_record(read(base + int(entry["offset"]), int(entry["length"])))
-            revisit = warc["warc-type"] == "revisit"
-            own, first = (id_type(warc[k].rpartition(":")[2].rstrip(">")) if k in warc else None for k in ("warc-record-id", "warc-refers-to"))
-            digest = warc["warc-payload-digest"].removeprefix("sha1:") if revisit else digest_of(payload)
-            yield own, int(http["content-length"]) if revisit else len(payload), digest, warc["warc-type"], first, warc["warc-target-uri"]
+            yield base + int(entry["offset"]), int(entry["length"])
+
+
+def _row(raw: bytes) -> tuple:
+    warc, http, payload = read_record(raw)
+    revisit = warc["warc-type"] == "revisit"
+    digest = warc["warc-payload-digest"].removeprefix("sha1:") if revisit else digest_of(payload)
+    return _id_of(warc["warc-record-id"]), int(http["content-length"]) if revisit else len(payload), digest, warc["warc-type"], _id_of(warc.get("warc-refers-to")), warc["warc-target-uri"]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+
+def _typed(records: DataFrame, id_kind: str) -> DataFrame:
+    return records.select(*(F.col(c).cast(id_kind).alias(c) if c in ("id", "refers_to") else F.col(c) for c in _NAMES))
 
 
 def read_archives(df: DataFrame, content_col: str = "content", id_kind: str = "bigint") -> DataFrame:
     """A row per indexed record: id, payload_bytes, payload_digest (base32 SHA-1 of what was read; a revisit's as stored), record_type, refers_to, url."""
-    as_id, arrow = (str, pa.string()) if id_kind == "string" else (int, pa.int64())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [arrow, pa.int64(), pa.string(), pa.string(), arrow, pa.string()]
         for batch in batches:
             for value in batch.column(0):
                 view = memoryview(value.as_buffer())
-                rows = list(_rows(lambda at, n, view=view: bytes(view[at : at + n]), len(view), as_id))
+                read = lambda at, n, view=view: bytes(view[at : at + n])
+                rows = [_row(read(at, n)) for at, n in ranges(read, len(view))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                    yield _batch(rows)
 
     arrays.bounded_batches(df.sparkSession)
-    return df.select(content_col).mapInArrow(run, f"id {id_kind}, " + RECORD.format(id_kind))
+    return _typed(df.select(content_col).mapInArrow(run, _RECORD), id_kind)
+
+
+def _opened(path: str) -> pa.NativeFile:
+    store, own = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(own)
 
 
 def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
-    """read_archives() over the ZIP files at a path."""
-    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.[wz][ai][cp]*").load(path), "content", id_kind)
+    """read_archives() over the ZIP files at a path, without reading them whole.
+
+    The first step reads end records, directories and indexes; the second deals the records' byte ranges to tasks, and each
+    reads its own. Stores that pyarrow cannot open are read whole through Spark instead, with the same rows.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wz][ai][cp]*").load(path)
+    arrays.bounded_batches(spark)
+    try:
+        pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return read_archives(files, "content", id_kind)
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                with _opened(own) as f:
+                    found = list(ranges(lambda at, n, f=f: f.read_at(n, at), size))
+                for low in range(0, len(found), 4096):
+                    part = found[low : low + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(part)), pa.array([at for at, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["path", "at", "size"])
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            now, f, rows = None, None, []
+            for own, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
+                if own != now:
+                    if f:
+                        f.close()
+                    now, f = own, _opened(own)
+                rows.append(_row(f.read_at(size, at)))
+            if f:
+                f.close()
+            if rows:
+                yield _batch(rows)
+
+    # runs of neighbouring records stay together, so a task opens few files
+    wanted = files.select("path", "length").mapInArrow(index, "path string, at long, size long")
+    wanted = wanted.repartition(arrays.partitions(spark), "path", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("path", "at")
+    return _typed(wanted.mapInArrow(read, _RECORD), id_kind)
