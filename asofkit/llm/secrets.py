@@ -23,13 +23,17 @@ from . import arrays
 
 @dataclass(frozen=True)
 class Rule:
-    """kind, regex, and the least length of `group`; shorter matches are dropped. base: counted by kind."""
+    """kind, regex, and the least length of `group`; shorter matches are dropped. base: counted by kind.
+
+    linear: a regex whose group 1 has the same matches and that looks at no run of characters twice, where `regex` would.
+    """
 
     kind: str
     regex: str
     group: int = 0
     least: int = 0
     base: bool = False
+    linear: str = ""
 
 
 #: The base rules, then the more specific ones that the method adds. Fixed values.
@@ -38,11 +42,13 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # only the first eyJ of a run can match, or none of the run
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", linear=r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})"),
     Rule("hosted", r"(?:ghp|gho|ghs|ghr)_[A-Za-z0-9]{30,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("live", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@"),
+    # only the first letter of the run before :// can begin a match
+    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@", linear=r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s:/@]++:[^\s:/@]++@)"),
 )
 
 #: A query is True (any document), ("and", ...) or ("or", ...) over queries and trigrams of three lower-cased bytes.
@@ -185,6 +191,9 @@ def matcher(rule: Rule) -> Callable[[str], Iterator[tuple[int, int]]]:
     if re.fullmatch(r"\[[^]]+\]\+", rule.regex) and rule.least > 1:  # a run of one class: only runs long enough can count
         found = re.compile(f"{rule.regex[:-1]}{{{rule.least},}}")
         return lambda text: (m.span() for m in found.finditer(text))
+    if rule.linear:
+        found = re.compile(rule.linear)
+        return lambda text: (m.span(1) for m in found.finditer(text) if len(m[1]) >= rule.least)
     found = re.compile(rule.regex)
     return lambda text: (m.span() for m in found.finditer(text) if len(m[rule.group]) >= rule.least)
 
