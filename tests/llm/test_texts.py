@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import struct
+import time
 
 import numpy as np
 import pytest
@@ -150,6 +153,53 @@ def test_mixtures_of_many_languages_keep_them_all(docs, rows, spark):
     assert alone == got[:1]
 
 
+def plain_mixture(logs, subset, steps=4000):
+    """EM word by word over a set of languages: proportions and log-likelihood."""
+    p = np.exp(logs[:, subset])
+    share = np.full(len(subset), 1 / len(subset))
+    for _ in range(steps):
+        joint = p * share
+        share = (joint / joint.sum(1, keepdims=True)).mean(0)
+    return share, float(np.log((p * share).sum(1)).sum())
+
+
+def test_mixtures_against_plain_em_over_all_sets(spark):
+    """The set and its proportions against EM word by word over every set of languages."""
+    r = random.Random(8)
+    letters = {"a": "abcdef", "b": "defghi", "c": "ghijkl", "d": "jklabc"}
+    text = lambda lang, n: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randrange(1, 7))) for _ in range(n))
+    model = langid.fit(spark.createDataFrame([(text(lang, 400), lang) for lang in letters], "text string, lang string"), "text", "lang")
+    for parts in ({"a": 40}, {"a": 60, "c": 30}, {"b": 30, "d": 50}, {"a": 50, "b": 40, "c": 45}, {"a": 40, "b": 50, "c": 60, "d": 70}, {"c": 1}):
+        data = np.frombuffer(" ".join(text(lang, n) for lang, n in parts.items()).encode(), np.uint8)
+        low, start, end, own, _ = langid.distinct_words(data, np.array([0, len(data)]))
+        logs = langid.word_logs(model, low, start, end)[own].astype(np.float64)
+        best = max((plain_mixture(logs, list(c), 400)[1] - langid.PENALTY * (k - 1) * np.log(len(own) + 1), c) for k in range(1, 5) for c in itertools.combinations(range(4), k))
+        share = langid.infer(model, data, np.array([0, len(data)]))[0]
+        assert np.flatnonzero(share).tolist() == list(best[1])
+        assert np.abs(share[list(best[1])] - plain_mixture(logs, list(best[1]))[0]).max() < 0.01
+
+
+def test_held_out_accuracy(spark):
+    """Predicted against given languages of the documents that training leaves out; junk and mixed texts are among them."""
+    from asofkit.llm import queries
+
+    found = queries.op5_language_mixture(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = found.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert n > 150 and right >= 0.98 * n
+
+
+def test_few_chunks_and_small_models(docs, rows, spark, monkeypatch):
+    """Results do not depend on how many words are worked on at once, and many languages take smaller tables."""
+    one = spark.createDataFrame([("der hund und die katze im garten am abend", "de"), ("the dog and the cat in the garden at night", "en")], "text string, lang string")
+    texts = ["the dog in the garden und die katze am abend", None, "", "hund " * 5000]
+    found = []
+    for chunk in (langid.CHUNK, 8):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        found.append(rows(langid.identify(docs(texts), "doc_id", "text", langid.fit(one, "text", "lang")), "doc_id"))
+    assert found[0] == found[1] and found[0][3][1] == "de"
+    assert langid.bits_for(3) == langid.BITS and 4 * len(langid.ORDERS) * 5000 << langid.bits_for(5000) <= langid.MODEL_BYTES
+
+
 def test_secrets_against_plain_regexes(docs, rows):
     texts = [*AWKWARD, 'Password: "hunter22" and API_KEY=abc, token = deadbeef0123456789abcdef', "ſecret: abcdefg", "f" * 24 + " " + "f" * 23, "https://me:pw@host/x ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "AKIA123 AKIA" + "B" * 30, "é" * 5 + "secret=abcdef"]
     got = rows(secrets.find_secrets(docs(texts), "doc_id", "text"), "doc_id")
@@ -160,6 +210,26 @@ def test_secrets_against_plain_regexes(docs, rows):
     assert masked == [("x ************ y",), (None,)]
 
 
+@pytest.mark.parametrize("rule", [r for r in secrets.RULES if r.linear], ids=lambda r: r.kind)
+def test_linear_regexes_match_the_same(rule):
+    r = random.Random(3)
+    parts = ["eyJ", "a", "Z-_", "abcdefgh", ".", ".", "://", ":", "@", "/", " ", "+", "9", "x.y", "b" * 9]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 24)))
+        assert list(secrets.matcher(rule)(text)) == [m.span() for m in re.finditer(rule.regex, text)], text
+
+
+def test_rules_take_linear_time_on_long_runs(docs, rows):
+    runs = ["a", "A", "0", "-", " ", "eyJ", "ghp_", "xoxb-", "://", "AKIA", "password", "password ", "sk_live_", "-----BEGIN ", "PRIVATE KEY ", "a.", "a:", "x@"]
+    texts = ["://eyJ.-----BEGIN " + run * (1_000_000 // len(run)) + " PRIVATE KEY-----" for run in runs]
+    for text in texts:
+        for rule in secrets.RULES:
+            began = time.process_time()
+            for _ in secrets.matcher(rule)(text):
+                pass
+            assert time.process_time() - began < 3, (rule.kind, text[:40])
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", b"aki", b"kia")
@@ -181,6 +251,40 @@ def test_archives(spark, rows, wide):
     assert zip_warc.build_archives(pages.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_ids_of_any_kind_come_back(spark, rows):
+    texts = spark.createDataFrame([("a:1", "u", "x"), ("b:1", "u", "x"), (None, "u", "x"), ("a:1", "v", "x"), ("1", "u", "y"), ("<%> é", "u", None), (None, "u", "z"), (None, "v", "z")], "page_id string, url string, html string")
+    got = sorted((tuple(r) for r in zip_warc.read_archives(zip_warc.build_archives(texts, "page_id", "url", "html"), id_kind="string").select("id", "record_type", "refers_to").collect()), key=repr)
+    assert got == sorted([("a:1", "response", None), ("a:1", "response", None), ("b:1", "revisit", "a:1"), (None, "revisit", "a:1"), ("1", "response", None), ("<%> é", "response", None), (None, "response", None), (None, "response", None)], key=repr)
+    numbers = spark.createDataFrame([(None, "u", "x"), (-3, "u", "x"), (7, "u", "x")], "page_id int, url string, html string")
+    back = zip_warc.read_archives(zip_warc.build_archives(numbers, "page_id", "url", "html", least=2), id_kind="int")
+    assert dict(back.dtypes)["id"] == "int" and sorted(map(tuple, back.select("id", "record_type").collect()), key=repr) == sorted([(None, "response"), (-3, "response"), (7, "response")], key=repr)
+
+
+def test_files_are_read_by_ranges(spark, rows, tmp_path):
+    """A ZIP64 archive whose records lie beyond 4 GB of a file with a hole: only ranges can be read."""
+    records = [zip_warc.warc_record(k, "u", b"body%d" % k, None) for k in range(3)]
+    hole = 5 << 30
+    body, index, at = b"".join(records), [], 0
+    for record in records:
+        index.append('{"offset": %d, "length": %d, "filename": "%s"}' % (at, len(record), zip_warc.WARC))
+        at += len(record)
+    members = [("hole", None), (zip_warc.WARC, body), (zip_warc.INDEX, "\n".join(index).encode())]
+    with open(tmp_path / "big.wacz", "wb") as f:
+        directory = b""
+        for name, data in members:
+            place, size = f.tell(), hole if data is None else len(data)
+            f.write(struct.pack("<4s5H3I2H", b"PK\3\4", 45, 0x800, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name.encode() + struct.pack("<HHQQ", 1, 16, size, size))
+            f.seek(hole, 1) if data is None else f.write(data)
+            directory += struct.pack("<4s6H3I5H2I", b"PK\1\2", 45, 45, 0x800, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 28, 0, 0, 0, 0, 0xFFFFFFFF) + name.encode() + struct.pack("<HHQQQ", 1, 24, size, size, place)
+        start = f.tell()
+        f.write(directory)
+        end = f.tell()
+        f.write(struct.pack("<4sQ2H2I4Q", b"PK\6\6", 44, 45, 45, 0, 0, 3, 3, len(directory), start) + struct.pack("<4sIQI", b"PK\6\7", 0, end, 1) + struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    (tmp_path / "small.zip").write_bytes(zip_warc.zip_stored([(zip_warc.WARC, body), (zip_warc.INDEX, index[1].encode())]))
+    got = rows(zip_warc.read_files(spark, str(tmp_path)).select("id", "payload_bytes", "record_type"), "id")
+    assert got == [(0, 5, "response"), (1, 5, "response"), (1, 5, "response"), (2, 5, "response")]
+
+
 def test_archives_open_with_the_standard_library(tmp_path):
     import io
     import zipfile
