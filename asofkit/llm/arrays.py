@@ -20,7 +20,7 @@ SLICE_BYTES = (2 << 20) - 4096
 #: Rows in an Arrow batch: long texts must not pile up by the ten thousand in a Python worker.
 BATCH_ROWS = 512
 #: Bytes of text whose keys fall into one bucket on average; a task holds one bucket at a time.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
