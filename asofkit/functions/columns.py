@@ -348,3 +348,74 @@ def cost_of_sales(direct: Column | str, gross: Column | str, revenue: Column | s
     direct, gross, revenue, expenses = map(_c, (direct, gross, revenue, expenses))
     small = (direct <= 0.1 * revenue) & (expenses > 1.02 * revenue)
     return F.when((direct.isNull() & gross.isNull()) | small, expenses).otherwise(F.coalesce(direct, revenue - gross))
+
+
+def noncurrent_debt(noncurrent: Column | str, bundled: Column | str, total: Column | str, base: Column | str, operating_leases: Column | str, finance_leases: Column | str) -> Column:
+    """The first of noncurrent, bundled (with finance leases), total and base; then the leases that it does not hold yet."""
+    first = F.coalesce(*map(_c, (noncurrent, bundled, total, base)))
+    holds = _c(noncurrent).isNull() & _c(bundled).isNotNull()
+    return null_sum(first, operating_leases, F.when(~holds, _c(finance_leases)))
+
+
+def selling_expenses(direct: Column | str, base: Column | str, selling: Column | str, general: Column | str) -> Column:
+    """The tagged amount, the base, or the sum of both halves if both are there."""
+    return F.coalesce(_c(direct), _c(base), _c(selling) + _c(general))
+
+
+def with_operating_income(df: DataFrame, name: str, value: str, revenue: str, total_cost: str, gross: str, opex: str, sga: str, rnd: str, finance: str) -> DataFrame:
+    """Operating income against revenue - total cost (unless above 102 % of the gross profit), gross - opex, and gross - SG&A - R&D, in turn; finance issuers only fill what lacks.
+
+    A column per step, so that no step is written out again in the next one.
+    """
+    whole = F.col(revenue) - F.col(total_cost)
+    steps = [F.when(F.coalesce(whole <= 1.02 * F.col(gross), F.lit(True)), whole), F.col(gross) - F.col(opex), F.col(gross) - F.col(sga) - F.coalesce(rnd, F.lit(0.0))]
+    out = df.withColumn("__0", F.col(value))
+    for k, rebuilt in enumerate(steps):
+        now = F.col(f"__{k}")
+        # without a rebuilt value the value stays
+        out = out.withColumn("__r", rebuilt).withColumn(f"__{k + 1}", F.when(F.col(finance), F.coalesce(now, "__r")).otherwise(F.coalesce(reconcile_signed(now, "__r"), now))).drop("__r")
+    return out.withColumn(name, F.col(f"__{len(steps)}")).drop(*(f"__{k}" for k in range(len(steps) + 1)))
+
+
+def net_income_chain(value: Column | str, pretax: Column | str, tax: Column | str, revenue: Column | str) -> Column:
+    """Net income against pretax - tax; where revenue is a million or less, it takes the sign of the pretax income."""
+    own = F.coalesce(reconcile_signed(value, _c(pretax) - _c(tax)), _c(value))
+    tiny = (_c(revenue) <= 1e6) & (F.signum(_c(pretax)) * F.signum(own) < 0)
+    return F.when(tiny, -own).otherwise(own)
+
+
+def depreciation(base: Column | str, combined: Column | str, with_costs: Column | str) -> Column:
+    """The combined tag where it is more than 1.1 times the base, then the tag with cost of goods where it is more than twice that."""
+    return larger_of(larger_of(base, combined, 1.1), with_costs, 2.0)
+
+
+def by_coverage(value: Column | str, annual: Column | str, key: str = "ticker", least: float = 0.4) -> Column:
+    """A quarter of the year's value for keys of which less than two fifths of the rows have one."""
+    have = F.avg(_c(value).isNotNull().cast("int")).over(Window.partitionBy(key))
+    return F.when(have < least, F.coalesce(_c(value), _c(annual) / 4)).otherwise(_c(value))
+
+
+def both_or_null(a: Column | str, b: Column | str) -> Column:
+    """a less b where a missing one counts as 0; null only where both are missing."""
+    return F.when(F.coalesce(_c(a), _c(b)).isNotNull(), F.coalesce(_c(a), F.lit(0.0)) - F.coalesce(_c(b), F.lit(0.0)))
+
+
+def regime(d: Column | str, cut: str, before: str = "before", after: str = "after") -> Column:
+    """Which side of a cut-off date a day lies on; the cut itself is after."""
+    return F.when(_c(d) < F.lit(cut).cast("date"), before).when(_c(d).isNotNull(), after)
+
+
+def clipped(c: Column | str, low: float, high: float) -> Column:
+    """Between both bounds; null stays null, unlike in least() and greatest()."""
+    return F.when(_c(c).isNotNull(), F.least(F.greatest(_c(c), F.lit(low)), F.lit(high)))
+
+
+def magnitude(c: Column | str) -> Column:
+    """floor(log10 |x|), null for 0."""
+    return F.floor(F.log10(F.nullif(F.abs(_c(c)), F.lit(0.0)))).cast("int")
+
+
+def remainder(a: Column | str, b: Column | str) -> Column:
+    """a % b with the divisor's sign; null where b is 0."""
+    a, b = _c(a), F.nullif(_c(b), F.lit(0.0))
+    return a - F.floor(a / b) * b

@@ -29,6 +29,78 @@ def quarter_facts(facts: DataFrame, keys: Sequence[str], value: str = "value", s
     return picked.select(*keys, end, F.col("__v").alias(value), "how")
 
 
+def quarters_from_facts(facts: DataFrame, keys: Sequence[str], rank: Sequence[Column | str] = (), value: str = "value", start: str = "period_start", end: str = "period_end", filed: str = "filed", keep: float = 0.85) -> DataFrame:
+    """(keys, period_end, value, how): quarters of flows by all rules of the filings.
+
+    direct: the best fact of 70 to 130 days, by `rank`, then the last filed, then the larger. difference: the chain of facts with one start, if it has
+    three ends or more and a fact of 131 to 320 days; each end less the one before. Where the best fact of an end
+    falls below 0.85 of the total before, the best one that does not stands in. The first end counts only if it is a quarter. Of
+    chains with several starts the latest start wins, and a direct fact wins over all.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in rank]
+    days = F.datediff(end, start)
+    rows = facts.where(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(value).isNotNull()).withColumn("__days", days)
+    best = Window.partitionBy(*keys, end).orderBy(*order, F.col(filed).desc_nulls_last(), F.col(value).desc())
+    direct = rows.where("__days BETWEEN 70 AND 130").withColumn("__n", F.row_number().over(best)).where("__n = 1").select(*keys, end, F.col(value).alias("__v"), F.lit(0).alias("__how"), F.lit(None).cast("date").alias("__s"))
+    # the facts of one end, the best first; an end has a handful
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, start, end).orderBy(*order, F.col(filed).desc_nulls_last(), F.col(value).desc())))
+    ends = numbered.groupBy(*keys, start, end).agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", value))), lambda x: x[value]).alias("__c"), F.first("__days").alias("__days"))
+    chains = ends.groupBy(*keys, start).agg(F.sort_array(F.collect_list(F.struct(end, "__days", "__c"))).alias("__e")).where((F.size("__e") >= 3) & F.exists("__e", lambda e: e["__days"].between(131, 320)))
+    none = F.struct(F.lit(None).cast("double").alias("total"), F.array().cast(f"array<struct<`{end}`:date,`__v`:double>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        first = F.element_at(e["__c"], 1)
+        falls = F.coalesce(first < keep * acc["total"], F.lit(False))
+        picked = F.when(falls, F.coalesce(F.try_element_at(F.filter(e["__c"], lambda x: x >= keep * acc["total"]), F.lit(1)), first)).otherwise(first)
+        own = F.when(acc["total"].isNull(), F.when(e["__days"].between(70, 130), picked)).otherwise(picked - acc["total"])
+        return F.struct(picked.alias("total"), F.concat(acc["out"], F.array(F.struct(e[end].alias(end), own.alias("__v")))).alias("out"))
+
+    steps = chains.select(*keys, F.col(start).alias("__s"), F.explode(F.aggregate("__e", none, step)["out"]).alias("o"))
+    derived = steps.where("o.__v IS NOT NULL").select(*keys, F.col(f"o.{end}").alias(end), F.col("o.__v").alias("__v"), F.lit(1).alias("__how"), "__s")
+    pick = Window.partitionBy(*keys, end).orderBy("__how", F.col("__s").desc())
+    out = direct.unionByName(derived).withColumn("__n", F.row_number().over(pick)).where("__n = 1")
+    return out.select(*keys, end, F.col("__v").alias(value), F.when(F.col("__how") == 0, "direct").otherwise("difference").alias("how"))
+
+
+def filing_events(raw: DataFrame, keys: Sequence[str], end: str = "period_end", form: str = "form", filed: str = "filed", accepted: str = "accepted", accession: str = "accession") -> tuple[DataFrame, DataFrame]:
+    """Distinct filings of each period (events), and the last of them with amendment and late-notice flags over all (latest).
+
+    Events are ordered by filing date, acceptance and accession; notices of late filing (NT forms) count for the flags alone.
+    """
+    from ..functions.columns import form_flags
+
+    events = raw.where(F.col(end).isNotNull()).select(*keys, end, form, filed, accepted, accession).distinct()
+    order = F.struct(filed, accepted, accession, form)
+    flags = form_flags(form)
+    own = events.withColumns({"is_amendment": F.coalesce(flags["is_amendment"], F.lit(False)), "is_nt": F.coalesce(flags["is_nt"], F.lit(False))})
+    latest = own.groupBy(*keys, end).agg(F.max_by(F.struct(form, filed, accepted, accession), F.when(~F.col("is_nt"), order)).alias("e"), F.count("*").alias("n_events"), F.bool_or("is_amendment").alias("is_amendment"), F.bool_or("is_nt").alias("is_nt"))
+    return events, latest.select(*keys, end, *(F.col(f"e.{c}").alias(c) for c in (form, filed, accepted, accession)), "n_events", "is_amendment", "is_nt")
+
+
+def anchored_quarters(periods: DataFrame, key: str = "ticker", end: str = "period_end", annual: str = "is_annual", most_days: int = 380) -> DataFrame:
+    """fiscal_year, fiscal_quarter, anchored and shifted: periods numbered from their annual ends.
+
+    The last four ends of a cycle (after the annual end before, at most so many days before its own) are numbered backwards
+    from Q4; up to three ends after the last annual end forwards from Q1. A year that ends from January to the seventh of June bears the year before. Other rows keep their labels.
+    """
+    w = by(key, order=end)
+    rows = periods.withColumns({
+        "__next": F.first(F.when(F.col(annual), F.col(end)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "__last": F.last(F.when(F.col(annual), F.col(end)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    back = F.row_number().over(Window.partitionBy(key, "__next").orderBy(F.col(end).desc()))
+    ahead = F.row_number().over(Window.partitionBy(key, "__last", F.col("__next").isNull()).orderBy(end))
+    early = lambda d: (F.month(d) <= 5) | ((F.month(d) == 6) & (F.dayofmonth(d) <= 7))
+    year = lambda d: F.year(d) - F.when(early(d), 1).otherwise(0)
+    closed = F.col("__next").isNotNull() & (F.datediff("__next", end) <= most_days) & (F.col("__b") <= 4)
+    open_ = F.col("__next").isNull() & F.col("__last").isNotNull() & (F.datediff(end, "__last") <= most_days) & (F.col("__a") <= 3)
+    rows = rows.withColumns({"__b": back, "__a": ahead}).withColumns({
+        "__y": F.when(closed, year("__next")).when(open_, year("__last") + 1), "__q": F.when(closed, 5 - F.col("__b")).when(open_, F.col("__a")),
+    })
+    kept = [c for c in periods.columns if c not in ("fiscal_year", "fiscal_quarter")]
+    return rows.select(*kept, F.coalesce("__y", "fiscal_year").alias("fiscal_year"), F.coalesce("__q", "fiscal_quarter").alias("fiscal_quarter"), F.col("__y").isNotNull().alias("anchored"), F.coalesce((F.col("__y") != F.col("fiscal_year")) | (F.col("__q") != F.col("fiscal_quarter")), F.lit(False)).alias("shifted"))
+
+
 def balance_facts(facts: DataFrame, keys: Sequence[str], order: Sequence[Column | str], end: str = "period_end") -> DataFrame:
     """The best instant fact of each period by order."""
     w = Window.partitionBy(*keys, end).orderBy(*order)

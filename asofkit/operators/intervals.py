@@ -147,6 +147,18 @@ def with_overrides(base: DataFrame, overrides: DataFrame, keys: Sequence[str], v
     return islands.groupBy(*keys, "__i", F.col("v").alias(value)).agg(F.min("a").alias(start), F.nullif(F.max("z"), _forever()).alias(end)).drop("__i")
 
 
+def unified_memberships(exchanges: DataFrame, indexes: DataFrame) -> DataFrame:
+    """(member, kind, code, valid_from, valid_to, source) of two shapes of membership rows.
+
+    exchanges: (security_id, ticker, exchange, first_date, last_date); indexes: (index_code, ticker, company_id, start, end). A member is named by
+    the first identifier that it has. Rows without one, without a start, or that end before it go; repeated rows count once.
+    """
+    named = lambda *cols: F.coalesce(*(F.concat(F.lit(f"{c}:"), F.nullif(F.upper(F.trim(F.col(c).cast("string"))), F.lit(""))) for c in cols))
+    one = exchanges.select(named("security_id", "ticker").alias("member"), F.lit("exchange").alias("kind"), F.col("exchange").alias("code"), F.col("first_date").alias("valid_from"), F.col("last_date").alias("valid_to"), F.lit("exchanges").alias("source"))
+    two = indexes.select(named("company_id", "ticker").alias("member"), F.lit("index").alias("kind"), F.col("index_code").alias("code"), F.col("start").alias("valid_from"), F.col("end").alias("valid_to"), F.lit("indexes").alias("source"))
+    return one.unionByName(two).where(F.col("member").isNotNull() & F.col("valid_from").isNotNull() & (_end("valid_to") >= F.col("valid_from"))).distinct()
+
+
 def issue_counts(issues: DataFrame, kind: str = "issue", severity: Mapping[str, str] | None = None) -> DataFrame:
     """(kind, severity, n)."""
     levels = F.create_map(*(F.lit(x) for p in (severity or {"": ""}).items() for x in p))

@@ -136,6 +136,15 @@ def band(score: str | Column) -> Column:
     return F.when(score >= 90, "very_high").when(score >= 75, "high").when(score >= 50, "medium").when(score >= 25, "low").otherwise("very_low")
 
 
+def recovery(rules: Sequence[tuple[Column, str, int]], otherwise: tuple[str, int]) -> Column:
+    """struct(lane, priority) of the first rule that holds."""
+    pair = lambda lane, priority: F.struct(F.lit(lane).alias("lane"), F.lit(priority).alias("priority"))
+    out = F.when(rules[0][0], pair(*rules[0][1:]))
+    for condition, lane, priority in rules[1:]:
+        out = out.when(condition, pair(lane, priority))
+    return out.otherwise(pair(*otherwise))
+
+
 def best_match(left: DataFrame, right: DataFrame, key: str, period: str, name: str, value: str, near: float = 0.15, least: int = 3) -> DataFrame:
     """(key, name, match, score): for each left name the right one whose values agree most, over at least three common periods.
 

@@ -113,22 +113,33 @@ def working_capital_change(w, receivables: str = "receivables", inventory: str =
     return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
 
 
-def repaired(values: Column, step) -> Column:
-    """An ordered array rebuilt from left to right: step(previous result, value) gives each next value."""
-    add = lambda acc, x: F.concat(acc, F.array(step(F.try_element_at(acc, F.lit(-1)), x)))
-    return F.aggregate(values, F.array().cast("array<double>"), add)
+#: Split factors that a jump of shares is taken for. Fixed values.
+SPLITS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 25, 28)
 
 
-def mend_split_jumps(values: Column, factors: Sequence[float] = (2, 3, 4, 5, 7, 10, 15, 20, 25, 50, 100)) -> Column:
-    """Shares that jump by about a split factor against the value before go back to its level. Arrays hold quarters, some hundreds at most."""
+def mend_split_jumps(values: Column, splits: Column | None = None, factors: Sequence[float] = SPLITS) -> Column:
+    """Shares that jump by about a split factor (12 %) against the mended value before go back to its level; the first factor that fits counts.
 
-    def step(before: Column, x: Column) -> Column:
-        ratio, out = x / before, x
-        for f in factors:
-            out = F.when(F.abs(ratio - f) <= 0.12 * f, x / f).when(F.abs(ratio * f - 1) <= 0.12, x * f).otherwise(out)
-        return F.when(before.isNull() | x.isNull() | (before == 0) | ratio.between(0.5, 2), x).otherwise(out)
+    splits: for each value the product of the known splits since the one before; a jump within 25 % of it, either way, stays.
+    Arrays hold quarters, some hundreds at most.
+    """
+    pairs = F.arrays_zip(values.alias("v"), splits.alias("s")) if splits is not None else F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(1.0).alias("s")))
+
+    def mended(before: Column, p: Column) -> Column:
+        x, known, ratio = p["v"], F.coalesce(p["s"], F.lit(1.0)), p["v"] / F.nullif(before, F.lit(0.0))
+        explained = (known > 1) & ((F.abs(ratio - known) <= 0.25 * known) | (F.abs(1 / F.nullif(ratio, F.lit(0.0)) - known) <= 0.25 * known))
+        out = x
+        for f in reversed(factors):
+            out = F.when(F.abs(ratio - f) <= 0.12 * f, x / f).when(F.abs(ratio - 1 / f) <= 0.12 / f, x * f).otherwise(out)
+        return F.when(F.coalesce((before <= 0) | (x <= 0), F.lit(True)) | ratio.between(0.5, 2) | F.coalesce(explained, F.lit(False)), x).otherwise(out)
+
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        own = mended(acc["last"], p)
+        return F.struct(own.alias("last"), F.concat(acc["out"], F.array(own)).alias("out"))
 
-    return repaired(values, step)
+    return F.aggregate(pairs, start, step)["out"]
 
 
 def split_factor(w: Window, ratio: str) -> Column:
