@@ -50,8 +50,9 @@ def merge(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def newest_batch(batches: DataFrame, keys: Sequence[str], batch: str) -> DataFrame:
-    """Insert-or-replace: the row of the newest batch for each key."""
-    return first_per_key(batches, keys, [F.col(batch).desc()])
+    """Insert-or-replace: the row of the newest batch for each key; of several in one batch the one with the largest other columns."""
+    rest = [c for c, t in batches.dtypes if c not in (*keys, batch) and not t.startswith("map")]
+    return first_per_key(batches, keys, [F.col(c).desc() for c in (batch, *rest)])
 
 
 def set_latest(df: DataFrame, key: str, date: str, column: str, value: Column) -> DataFrame:
@@ -124,6 +125,19 @@ def top_with_cascade(ranked: DataFrame, tables: dict[str, DataFrame], n: int, ke
     return {name: keep_keys(df, kept, [key]) for name, df in tables.items()}
 
 
+def left_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: Sequence[str], cols: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Columns of the first right row by order for each key; the null_safe keys match when both are null too."""
+    every = [*keys, *null_safe]
+    one = first_per_key(right, every, order).select(*(F.col(k).alias(f"__{k}") for k in every), *cols)
+    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in null_safe]
+    return left.join(one, on, "left").select(*left.columns, *cols)
+
+
+def pruned(tables: dict[str, DataFrame], keep: DataFrame, key: str = "ticker") -> dict[str, DataFrame]:
+    """Every table without the rows whose key is not in the set."""
+    return {name: keep_keys(df, keep, [key]) for name, df in tables.items()}
+
+
 def merged_blocks(primary: DataFrame, supplement: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two blocks by label: the primary's values, else the supplement's; labels of both."""
     cols = [c for c in primary.columns if c not in keys]

@@ -78,6 +78,40 @@ def missing_rows(expected: DataFrame, found: DataFrame, keys: Sequence[str]) ->
     return a.unionByName(found.join(expected, list(keys), "left_anti").select(*keys, F.lit("found").alias("side")))
 
 
+def classification_audit(trades: DataFrame, intervals: DataFrame, key: str, date: str, value: str, by_cols: Sequence[str] = (), unclassified: Sequence[str] = ("unknown",)) -> DataFrame:
+    """Per group: trades, and the rates without a covering interval, with an unclassified value, and with more than one value.
+
+    Intervals meet the distinct dates of their key, not each trade.
+    """
+    days = trades.select(key, date).distinct()
+    right = intervals.select(key, F.col("valid_from").alias("__a"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("__z"), F.col(value).alias("__v"))
+    found = days.join(right, key, "left").groupBy(key, date).agg(F.collect_set(F.when((F.col("__a") <= F.col(date)) & (F.col("__z") >= F.col(date)), F.col("__v"))).alias("__s"))
+    rows = trades.join(found, [key, date])
+    rate = lambda c: F.avg(c.cast("int"))
+    odd = F.exists("__s", lambda v: v.isin(*unclassified))
+    return rows.groupBy(*by_cols).agg(F.count("*").alias("n"), rate(F.size("__s") == 0).alias("missing_rate"), rate(odd).alias("unclassified_rate"), rate(F.size("__s") > 1).alias("conflict_rate"))
+
+
+def event_statistics(events: DataFrame, *cols: str) -> DataFrame:
+    """(dimension, value, n): counts of each column's values, in one pass."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in cols)))
+    return events.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+
+
+def temporal_consistency(values: DataFrame, keys: Sequence[str], period: str, source: str) -> DataFrame:
+    """Distinct periods and sources of each key."""
+    return values.groupBy(*keys).agg(F.count_distinct(period).alias("periods"), F.count_distinct(source).alias("sources"))
+
+
+def snapshot_audit(snapshots: DataFrame, log: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Per key: rows of the snapshots and of the log, required columns with nulls, and fail (only one side, or a count that differs), warn (nulls) or pass."""
+    lacking = [c for c in required if c not in snapshots.columns]
+    nulls = [F.max(F.col(c).isNull()).cast("int") for c in required if c not in lacking]
+    own = snapshots.groupBy(*keys).agg(F.count("*").alias("n_snapshot"), (reduce(lambda a, b: a + b, nulls) if nulls else F.lit(0)).alias("columns_with_nulls"))
+    both = own.join(log.groupBy(*keys).agg(F.count("*").alias("n_log")), list(keys), "full").fillna(0, ["n_snapshot", "n_log", "columns_with_nulls"])
+    return both.withColumns({"missing_columns": F.lit(len(lacking)), "status": status((F.col("n_snapshot") != F.col("n_log")).cast("int") + len(lacking), F.col("columns_with_nulls"))})
+
+
 def interval_quality(intervals: DataFrame, key: str, confidence: str, provenance: str) -> DataFrame:
     """Rates of low confidence, of missing provenance and of keys with several intervals; quantiles of confidence."""
     per_key = intervals.groupBy(key).agg(F.count("*").alias("n"))

@@ -107,6 +107,12 @@ def execution_days(signals: DataFrame, calendar: DataFrame, shift: int = 1, day:
     return at.join(target, "__t").select(F.col(day).alias("signal_date"), "exec_date")
 
 
+def target_periods(df: DataFrame, pairs: Sequence[tuple[int, int]], year: str = "fiscal_year", quarter: str = "fiscal_quarter") -> DataFrame:
+    """Rows of a list of (year, quarter) pairs."""
+    wanted = df.sparkSession.createDataFrame(sorted(set(pairs)), f"{year} int, {quarter} int")
+    return df.join(wanted, [year, quarter], "left_semi")
+
+
 def without_look_ahead(df: DataFrame, signal: str, as_of: Sequence[str]) -> DataFrame:
     """Adds look_ahead_ok: no as-of date lies after the signal date."""
     return df.withColumn("look_ahead_ok", reduce(lambda a, b: a & b, (F.coalesce(F.col(c) <= F.col(signal), F.lit(True)) for c in as_of)))

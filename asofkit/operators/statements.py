@@ -87,6 +87,23 @@ def december_to_quarter(df: DataFrame, value: str, name: str, key: str = "ticker
     return df.withColumn(name, F.when(annual, F.col(value) - earlier).otherwise(F.col(value)))
 
 
+def smoothed_twice(values: Column) -> Column:
+    """Two passes from left to right over an ordered array: a value outside half and twice the mean of its neighbours becomes that mean."""
+
+    def once(v: Column) -> Column:
+        n = F.size(v)
+
+        def step(acc: Column, i: Column) -> Column:
+            x, after = F.get(v, i), F.get(v, i + 1)
+            mean = (F.try_element_at(acc, F.lit(-1)) + after) / 2
+            odd = (i > 0) & (i < n - 1) & (mean != 0) & ~(x / mean).between(0.5, 2)
+            return F.concat(acc, F.array(F.when(F.coalesce(odd, F.lit(False)), mean).otherwise(x)))
+
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<double>"), step)).otherwise(v)
+
+    return once(once(values))
+
+
 def drop_leading_annual(df: DataFrame, key: str = "ticker") -> DataFrame:
     """Rows that hold a year as a fourth quarter go while no genuine quarter came before."""
     w = by(key, order="period_end")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import queries_jobs, queries_market, queries_more, queries_records, queries_rules  # noqa: F401  they register themselves
+from . import queries_jobs, queries_market, queries_more, queries_records, queries_rules, queries_tables  # noqa: F401  they register themselves
 from .registry import QUERIES, TWINS
 
 

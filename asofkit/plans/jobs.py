@@ -8,19 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as win
-from ..functions.columns import availability, multiple
-from ..operators import asof, dedupe, facts, intervals
+from ..functions.columns import availability, filled_totals, mapped, multiple, null_sum
+from ..operators import asof, dedupe, facts, intervals, quality, reconcile
 from ..operators import statements as st
 
 
 def facts_to_quarters(raw: DataFrame, flows: Mapping[str, str], stocks: Mapping[str, str], key: str = "ticker") -> DataFrame:
     """Raw facts (ticker, concept, period_start, period_end, value, form, filed) to one row per quarter with availability.
 
-    flows and stocks map concepts to columns. Flows are picked by duration, stocks are the first filed instant.
+    flows and stocks map concepts to columns. Flows follow all rules of quarters_from_facts(), stocks are the first filed instant.
     """
     named = lambda m: F.create_map(*(F.lit(x) for p in m.items() for x in p))
     rows = raw.withColumn("metric", F.coalesce(F.try_element_at(named(flows), F.col("concept")), F.try_element_at(named(stocks), F.col("concept")))).where("metric IS NOT NULL")
-    own = facts.quarter_facts(rows.where(F.col("metric").isin(*flows.values())), [key, "metric"]).select(key, "metric", "period_end", "value")
+    own = facts.quarters_from_facts(rows.where(F.col("metric").isin(*flows.values())), [key, "metric"]).select(key, "metric", "period_end", "value")
     held = facts.balance_facts(rows.where(F.col("metric").isin(*stocks.values())), [key, "metric"], ["filed", "value"]).select(key, "metric", "period_end", "value")
     wide = st.wide(own.unionByName(held), [key, "period_end"], [*flows.values(), *stocks.values()], ["period_end"])
     filed = raw.groupBy(key, "period_end").agg(F.min("filed").alias("filed"), F.min_by("form", "filed").alias("form"))
@@ -81,3 +81,42 @@ def statement_view(statements: DataFrame, metrics: Sequence[str], ratios: Mappin
 def kpi_rows(statements: DataFrame, metrics: Sequence[str], n: int = 5) -> DataFrame:
     """The last n periods of some metrics with their yearly growth."""
     return statement_view(statements, metrics, {}, "quarter", 10_000).join(st.last_years(statements.select("ticker", "period_end"), n, 1), ["ticker", "period_end"], "left_semi")
+
+
+def base_frame(statements: DataFrame, names: Mapping[str, Sequence[str]], prices: DataFrame | None = None) -> DataFrame:
+    """Canonical columns from the first candidate that a row has, and what follows from them.
+
+    names maps revenue, cogs, gross, operating_income, pretax, tax, net_income, cfo, capex, short_debt, long_debt, other_1, other_2 to candidates. Adds filled totals,
+    non_operating (pretax - operating income, else the sum of its parts), fcf = cfo - |capex|, debt (a missing part is 0) and, with prices, the last close.
+    """
+    rows = statements.select("ticker", "period_end", *(F.coalesce(*(F.col(c) for c in cs if c in statements.columns), F.lit(None).cast("double")).alias(n) for n, cs in names.items()))
+    rows = rows.withColumns(filled_totals("revenue", "cogs", "gross", "pretax", "tax", "net_income")).withColumn("gross", F.coalesce("gross", F.col("revenue") - F.col("cogs")))
+    rows = rows.withColumns({
+        "non_operating": F.coalesce(F.col("pretax") - F.col("operating_income"), null_sum("other_1", "other_2")),
+        "fcf": F.col("cfo") - F.abs("capex"),
+        "debt": F.coalesce("short_debt", F.lit(0.0)) + F.coalesce("long_debt", F.lit(0.0)),
+    })
+    return rows if prices is None else asof.at_period_end(rows, prices, ["ticker"], "period_end", "date", ["adj_close", "close"], "price")
+
+
+def segment_reconciliation(rows: DataFrame, sources: Sequence[str], keys: Sequence[str] = ("ticker", "segment"), period: str = "period_end", source: str = "source", value: str = "value", rank: str = "rank") -> DataFrame:
+    """Per segment: its best rows by source collapsed, both sources' coverage, agreement over the periods that both have, the cluster and the status."""
+    best = dedupe.first_per_key(rows, [*keys, period, source], [rank, F.col(value).desc()])
+    covered = reconcile.clusters(reconcile.coverage(best.withColumn("__k", F.struct(*keys)), "__k", period, source, list(sources)), *sources)
+    agreed = reconcile.consensus(best, [*keys, period], source, value).where("sources > 1").groupBy(*keys).agg(F.count("*").alias("compared"), F.count_if("agree").alias("agreeing"))
+    steady = quality.temporal_consistency(best, keys, period, source)
+    out = covered.select(*(F.col(f"__k.{k}").alias(k) for k in keys), *(f"rows_{s}" for s in sources), "overlap", "cluster").join(steady, list(keys)).join(agreed, list(keys), "left").fillna(0, ["compared", "agreeing"])
+    return out.withColumn("status", F.when(F.col("compared") == 0, "not_compared").when(F.col("agreeing") == F.col("compared"), "match").otherwise("breach"))
+
+
+def second_market_tables(master: DataFrame, reported: DataFrame, tiers: Mapping[str, str], currency: str) -> dict[str, DataFrame]:
+    """master (isin, name, tier) with its code from the ISIN, and reported totals (isin, fiscal_year, fiscal_quarter, currency, ytd, quarter) as quarters and years.
+
+    A quarter is the total less the one before, or as reported where that lacks; rows in other currencies go.
+    """
+    code = F.substring("isin", 4, 6)
+    companies = master.select(code.alias("ticker"), "name", mapped("tier", tiers, "other").alias("tier"))
+    rows = reported.where(F.col("currency") == currency).select(code.alias("ticker"), "fiscal_year", "fiscal_quarter", "ytd", "quarter")
+    quarterly = rows.withColumn("value", F.coalesce(st.decumulate(rows, "ytd"), "quarter")).select("ticker", "fiscal_year", "fiscal_quarter", "value")
+    annual = rows.where("fiscal_quarter = 4 AND ytd IS NOT NULL").select("ticker", "fiscal_year", F.col("ytd").alias("value"))
+    return {"companies": companies, "quarterly": quarterly, "annual": annual}

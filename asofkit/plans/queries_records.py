@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..functions import windows as win
 from ..operators import dedupe, intervals, quality, reconcile
 from ..operators import statements as st
 from ..sources import adapters as ad
-from ..sources import io
+from ..sources import io, shared
 from ..streaming import streams
 from .registry import BARS, EVENTS, FILINGS, STATEMENTS, query
 
@@ -288,8 +286,7 @@ def trade_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """A stream over the events table, written as Parquet in a folder that the cluster shares, read back."""
     table = ad.table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/asofkit-streams"
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared.folder(spark, "stream")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = build(stream)
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longer lists of keys are joined instead of being written into the plan.
 LONGEST_LIST = 500
@@ -29,13 +31,16 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A directory of key=value folders; keys keep their text, so that 005930 stays a string."""
+    """A directory of key=value folders; keys keep their text, so that 005930 stays a string. schema: the types of all columns, read as they are given."""
     reader = spark.read.option("mergeSchema", "true")
     if schema:
-        reader = reader.schema(schema)
-    else:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return reader.parquet(path)
+        return reader.schema(schema).parquet(path)
+    found = reader.parquet(path)
+    keys = {k for file in found.inputFiles()[:1] for k in re.findall(r"/([^/=]+)=", file)}
+    if not keys:
+        return found
+    typed = T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType, f.nullable) for f in found.schema])
+    return spark.read.schema(typed).parquet(path)
 
 
 def read_keys(df: DataFrame, key: str, keys: Sequence[object]) -> DataFrame:
@@ -50,6 +55,30 @@ def bulk_prices(df: DataFrame, keys: Sequence[object], first: str, last: str, co
     return read_keys(df, "ticker", keys).where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select(*columns)
 
 
+def bulk_financials(df: DataFrame, keys: Sequence[object], dates: Sequence[str] = ("period_end", "filing_date"), market: str | None = None, columns: Sequence[str] | None = None, order: Sequence[str] = ("ticker", "period_end")) -> DataFrame:
+    """Statements of a list of keys (and a market), dates cast, null where they are none, in order within partitions."""
+    out = read_keys(df, "ticker", keys)
+    out = out if market is None else out.where(F.col("market") == market)
+    out = out.withColumns({d: F.col(d).try_cast("date") for d in dates if d in out.columns})
+    return (out if columns is None else out.select(*columns)).sortWithinPartitions(*order)
+
+
+def filtered_scan(df: DataFrame, columns: Sequence[str], date: str | None = None, first: str | None = None, last: str | None = None, **equal: object) -> DataFrame:
+    """A scan of one table: equal values, a closed date range, and the columns that exist."""
+    out = df.where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in equal.items()))) if equal else df
+    out = out if first is None else out.where(F.col(date) >= F.lit(first).cast("date"))
+    out = out if last is None else out.where(F.col(date) <= F.lit(last).cast("date"))
+    return out.select(*(c for c in columns if c in out.columns))
+
+
+def chunk_scan(df: DataFrame, date: str, first: str, last: str, where: str, casts: Mapping[str, str], events: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One window of an external relation: fixed filters, casts, and the columns of its key's last event at or after the window's start, if any."""
+    rows = df.where(F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).where(where)
+    rows = rows.withColumns({c: F.col(c).try_cast(t) for c, t in casts.items()})
+    latest = events.where(F.col("event_date") >= F.lit(first).cast("date")).groupBy(key).agg(F.max_by(F.struct("event_date", *columns), F.struct("event_date", *columns)).alias("__e"))
+    return rows.join(latest, key, "left").select(*rows.columns, "__e.event_date", *(f"__e.{c}" for c in columns))
+
+
 def read_files(spark: SparkSession, path: str, kind: str, casts: Mapping[str, str], sort: Sequence[str] = ()) -> DataFrame:
     """Many CSV or Parquet files with drifting columns as one typed table; bad values are null."""
     if kind == "csv":
@@ -105,9 +134,10 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
 
 
 def append_newest(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert-or-replace by key: the new row wins."""
+    """Insert-or-replace by key: the new row wins; of several rows of one side the one with the largest other columns."""
     both = old.withColumn("__b", F.lit(0)).unionByName(new.withColumn("__b", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("__b").desc())
+    rest = [c for c, t in both.dtypes if c not in (*keys, "__b") and not t.startswith("map")]
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in ("__b", *rest)))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__b")
 
 

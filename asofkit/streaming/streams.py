@@ -21,7 +21,10 @@ def load(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], N
 
 
 def upsert_into(path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A batch function: the newest row of each key replaces the stored one. Versions alternate, so a repeated batch is safe."""
+    """A batch function: the newest row of each key replaces the stored one.
+
+    Each batch writes the version of its number from the one before, so a repeated batch is safe; older ones are deleted.
+    """
     from ..operators.dedupe import first_per_key
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -30,10 +33,19 @@ def upsert_into(path: str, keys: Sequence[str], order: str) -> Callable[[DataFra
         before = f"{path}/v={number - 1}"
         old = spark.read.parquet(before) if number else fresh.limit(0)
         upsert(old, fresh, keys).write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return apply
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of an upsert_into() table."""
+    every = spark.read.parquet(path)
+    return every.join(every.agg(F.max("v").alias("v")), "v", "left_semi").drop("v")
+
+
 def changed_keys(filings: DataFrame, universe: DataFrame, key: str, keyword: str, column: str = "report") -> DataFrame:
     """Filings of the universe whose report name has a keyword: a stream against a static table."""
     return filings.where(F.contains(F.lower(column), F.lit(keyword.lower()))).join(universe.select(key).distinct(), key, "left_semi")
