@@ -150,7 +150,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     order = lambda c: F.shiftright(c, shift)
     # whole copies of an earlier text lose all their bytes; the transforms look at the first of them alone
     copies = docs.where(F.octet_length("text") > 0).select("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("digest"))
-    copies = repeats.with_least(copies, "digest", "key", "key").where(order("key") > order("least")).select("key", F.col("least").alias("lead"))
+    copies = repeats.with_least(copies, "digest", "key").where(order("key") > order("least")).select("key", F.col("least").alias("lead"))
     dealt = docs.repartition(arrays.partitions(df.sparkSession), "key")
     marked = dealt.join(copies.hint("shuffle_hash"), "key", "left")
 

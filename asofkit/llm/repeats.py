@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, storage
 
 ENTRY = "bucket int, key long, packed binary"
 
@@ -36,18 +36,14 @@ def numbered(df: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
     return docs.select((F.shiftleft(F.coalesce("doc_id", F.lit((last or 0) + 1)), shift) + number).alias("key"), *rest), shift
 
 
-#: Parts that the rows of one key are dealt to.
-SALTS = 32
+def with_least(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows with the least `value` of their key as `least` (null where there is none).
 
-
-def with_least(df: DataFrame, key: str, value: str, *spread: str) -> DataFrame:
-    """The rows with the least `value` of their key as `least`. A frequent key is dealt to SALTS parts by `spread`, in the aggregation and in the join."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    some = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
-    least = some.groupBy(key).agg(F.min("_part").alias("least"))
-    # a key has SALTS rows in `some` at most, so this join has no frequent key
-    by_salt = some.select(F.col(key), "_salt").join(least, key)
-    return salted.join(by_salt, [key, "_salt"]).drop("_salt")
+    The least values of keys with several rows are a table of their own. Spark broadcasts it up to its threshold; beyond that it is a sort-merge join
+    of two plain shuffles, whose frequent keys adaptive execution splits. One without this table could not be split.
+    """
+    least = df.groupBy(key).agg(F.min(value).alias("least"), F.count("*").alias("n")).where("n > 1").select(key, "least")
+    return df.join(storage.written(least, "least"), key, "left").withColumn("least", F.coalesce("least", value))
 
 
 def buckets(docs: DataFrame) -> int:

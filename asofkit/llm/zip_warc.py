@@ -146,7 +146,7 @@ def build_archives(df: DataFrame, id_col: str, url_col: str, body_col: str, leas
     arrays.bounded_batches(df.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pages = df.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(body_col).alias("text")).withColumn("digest", F.unhex(F.sha1(F.col("text").cast("binary"))))
-    pages = repeats.with_least(pages, "digest", "id", "id", "url")
+    pages = repeats.with_least(pages, "digest", "id")
     revisits = (F.col("id").isNull() | (F.col("id") > F.col("least"))) & (F.octet_length("text") >= least)
     pages = pages.select("id", "url", "text", F.when(revisits, F.col("least")).alias("refers_to"))
 
