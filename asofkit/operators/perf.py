@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..functions.windows import by, drawdown, running_product
+from .asof import asof_row
 
 DAYS, YEAR = 252.0, 365.25
 
@@ -119,7 +120,11 @@ def held_returns(weights: DataFrame, prices: DataFrame, date: str = "date", pric
     weights: (exec_date, next_date, ticker, weight). What is not invested is cash.
     """
     bought = weights.join(prices.select("ticker", F.col(date).alias("exec_date"), F.col(price).alias("__p0")), ["ticker", "exec_date"])
-    held = bought.join(prices.select("ticker", date, price), "ticker").where((F.col(date) >= F.col("exec_date")) & (F.col(date) <= F.col("next_date")))
+    # each price row meets the last purchase of its ticker alone; the closing day of a period belongs to the next one too
+    last = asof_row(prices.select("ticker", date, price), bought.withColumn("__from", F.col("exec_date")), ["ticker"], date, "__from", ["exec_date", "next_date", "weight", "__p0"])
+    closing = bought.join(prices.select("ticker", F.col(date), F.col(date).alias("next_date"), price), ["ticker", "next_date"])
+    cols = ["exec_date", "next_date", "weight", "__p0", "ticker", date, price]
+    held = last.where((F.col(date) >= F.col("exec_date")) & (F.col(date) < F.col("next_date"))).select(*cols).unionByName(closing.where(F.col("exec_date") <= F.col("next_date")).select(*cols))
     value = F.sum(F.col("weight") * (F.col(price) / F.col("__p0") - 1)) + 1
     days = held.groupBy("exec_date", "next_date", date).agg(value.alias("value"))
     ends = days.groupBy("exec_date").agg(F.max_by("value", date).alias("__end"))

@@ -41,7 +41,7 @@ def enriched(master: DataFrame, other: DataFrame, on: Sequence[str], cols: Seque
 def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], policy: DataFrame) -> DataFrame:
     """Facts (keys, metric, value) of two sources under a policy (metric, kind, tolerance, sign_rule, scale): values, differences, status."""
     both = aligned(left.select(*keys, "metric", "value"), right.select(*keys, "metric", "value"), [*keys, "metric"])
-    both = both.join(F.broadcast(policy), "metric", "left")
+    both = both.join(policy, "metric", "left")
     value = signed(F.col("value_r") * F.coalesce("scale", F.lit(1.0)), F.coalesce("sign_rule", F.lit("as_is")))
     both = both.withColumn("value_r", value)
     over = F.coalesce(breach("value", "value_r", F.coalesce("kind", F.lit("relative")), F.coalesce("tolerance", F.lit(0.0))), F.lit(False))
@@ -175,16 +175,25 @@ def best_mode(errors: DataFrame, key: str, metric: str, mode: str, error: str =
 def name_match(left: DataFrame, right: DataFrame, period: str, name: str, value: str, row_key: Sequence[str]) -> DataFrame:
     """Each left row's value by the same name, else the same letters and digits, else a name that holds the other (both of three letters or more).
 
-    The first two are equi-joins; names are compared by containment within one period only.
+    Two equi-joins; what is left meets the names of its period that share a trigram: the first one of the shorter
+    name with all of the longer one. Of several names of one kind the least counts.
     """
     from ..functions.columns import name_key
 
-    r = right.select(period, F.col(name).alias("__name"), name_key(name).alias("__key"), F.col(value).alias("__v"))
-    rows = left.withColumn("__k", name_key(name))
-    both = rows.join(r, period, "left")
-    rank = F.when(F.col(name) == F.col("__name"), 0).when(F.col("__k") == F.col("__key"), 1).when((F.length("__k") >= 3) & (F.length("__key") >= 3) & (F.contains("__k", F.col("__key")) | F.contains("__key", F.col("__k"))), 2)
-    best = both.where(rank.isNotNull()).groupBy(*row_key).agg(F.min_by(F.struct("__v", "__name"), F.struct(rank, "__name")).alias("m"))
-    return left.join(best, list(row_key), "left").select(*left.columns, F.col("m.__name").alias("match"), F.col("m.__v").alias("matched_value"))
+    r = right.groupBy(period, F.col(name).alias("__name")).agg(F.max(value).alias("__v")).withColumn("__key", name_key("__name"))
+    rows = left.select(*row_key, period, name).withColumn("__k", name_key(name))
+    found = lambda rank: F.struct(F.lit(rank).alias("rank"), F.col("__name").alias("name"), F.col("__v").alias("v")).alias("__m")
+    same = rows.join(r, (rows[period] == r[period]) & (rows[name] == r["__name"])).select(*row_key, found(0))
+    alike = rows.join(r, (rows[period] == r[period]) & (rows["__k"] == r["__key"])).select(*row_key, found(1))
+    first = same.unionByName(alike).groupBy(*row_key).agg(F.min("__m").alias("__m"))
+    rest = rows.join(first.select(*row_key), list(row_key), "left_anti").where(F.length("__k") >= 3)
+    long_enough = r.where(F.length("__key") >= 3)
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(F.col(c), k, 3))))
+    within = rest.withColumn("__g", grams("__k")).join(long_enough.withColumn("__g", F.substring("__key", 1, 3)), [period, "__g"]).where(F.contains("__k", F.col("__key")))
+    around = rest.withColumn("__g", F.substring("__k", 1, 3)).join(long_enough.withColumn("__g", grams("__key")), [period, "__g"]).where(F.contains("__key", F.col("__k")))
+    held = within.select(*row_key, found(2)).unionByName(around.select(*row_key, found(2))).groupBy(*row_key).agg(F.min("__m").alias("__m"))
+    best = first.unionByName(held)
+    return left.join(best, list(row_key), "left").select(*left.columns, F.col("__m.name").alias("match"), F.col("__m.v").alias("matched_value"))
 
 
 def capacity_hits(rows: DataFrame, value: str, matched: str, keys: Sequence[str], tolerances: Sequence[float] = (0.05, 0.1, 0.15)) -> DataFrame:

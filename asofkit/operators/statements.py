@@ -187,14 +187,20 @@ def fiscal_gaps(df: DataFrame, key: str = "ticker") -> DataFrame:
 def revision_panel(filings: DataFrame, metrics: Sequence[str], key: str = "ticker", quarters: int = 4) -> DataFrame:
     """What was known at each availability date: the newest filing of every period, TTM sums over the last four periods, for the latest period.
 
-    Events meet the filings of their key alone; a later filing replaces an earlier one from its own date on, never before.
+    A later filing replaces an earlier one from its own date on, never before. Each filing stands until a newer one of its period, or until four
+    later periods are known, so every event meets its last four filings and no others.
     """
     newest = filings.groupBy(key, "available_date", "period_end").agg(F.max_by(F.struct(*metrics), F.struct("filing_date", "version")).alias("r"), F.max("filing_date").alias("filed"))
+    own = Window.partitionBy(key, "period_end").orderBy("available_date")
+    order = F.struct("filed", "available_date")
+    before = F.max(order).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = newest.withColumns({"__b": before, "__first": F.min("available_date").over(Window.partitionBy(key, "period_end"))}).where(F.col("__b").isNull() | (order > F.col("__b")))
+    # a date per period: when the fourth later one was first known
+    later = Window.partitionBy(key).orderBy(F.col("period_end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    periods = rows.select(key, "period_end", "__first").distinct().withColumn("__cut", F.try_element_at(F.sort_array(F.collect_list("__first").over(later)), F.lit(quarters))).drop("__first")
+    rows = rows.join(periods, [key, "period_end"]).withColumn("__until", F.least(F.lead("available_date").over(own), "__cut"))
     events = filings.select(F.col(key).alias("k"), F.col("available_date").alias("event_date")).distinct()
-    known = events.join(newest, (F.col("k") == F.col(key)) & (F.col("available_date") <= F.col("event_date")))
-    state = known.groupBy(key, "event_date", "period_end").agg(F.max_by("r", F.struct("filed", "available_date")).alias("r"))
-    rank = F.row_number().over(Window.partitionBy(key, "event_date").orderBy(F.col("period_end").desc()))
-    last = state.withColumn("__n", rank).where(F.col("__n") <= quarters)
+    last = events.join(rows, (F.col("k") == F.col(key)) & (F.col("available_date") <= F.col("event_date")) & (F.col("__until").isNull() | (F.col("event_date") < F.col("__until"))))
     return last.groupBy(key, "event_date").agg(F.max("period_end").alias("period_end"), *(F.when(F.count(f"r.{m}") == quarters, F.sum(f"r.{m}")).alias(f"{m}_ttm") for m in metrics))
 
 

@@ -295,7 +295,7 @@ def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
 
 @query(twin="SELECT DISTINCT ON (event_id) event_id, user_id, event_type FROM events ORDER BY event_id")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: streams.deduplicated(e).select("event_id", "user_id", "event_type"))
+    return _streamed(spark, sf_dir, lambda e: streams.deduplicated(e.unionByName(e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")))).select("event_id", "user_id", "event_type"))
 
 
 @query(twin="SELECT window_start, event_type, n, round(total, 4) AS total FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

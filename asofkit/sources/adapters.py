@@ -79,7 +79,8 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
     """Statements as (ticker, period_end, fiscal_year, fiscal_quarter, metric, value)."""
     out = statements(spark, sf_dir).select("ticker", "period_end", "fiscal_year", "fiscal_quarter", *metrics)
-    return out.unpivot(["ticker", "period_end", "fiscal_year", "fiscal_quarter"], list(metrics), "metric", "value")
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics)))
+    return out.select("ticker", "period_end", "fiscal_year", "fiscal_quarter", pairs.alias("p")).select("ticker", "period_end", "fiscal_year", "fiscal_quarter", "p.metric", "p.value")
 
 
 def year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
