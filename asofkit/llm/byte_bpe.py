@@ -25,8 +25,8 @@ from . import arrays
 CHUNK, OVERLAP = 16_384, 512
 #: A pre-token can depend on so many characters after its start or end ('re, and the look-ahead after white space).
 LOOK = 3
-#: Pieces whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Pieces whose ids a Python worker remembers, and characters of texts whose results it remembers.
+REMEMBERED, REMEMBERED_TEXT = 400_000, 8 << 20
 
 
 class Codec(dict):
@@ -115,14 +115,18 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], tokens: Codec) -> Iterator
         low = e
 
 
-_OUT = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+_OUT = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 
-def _result(doc_ids: pa.Array, ids: list[bytes], tokens: Codec, keep_ids: bool) -> pa.RecordBatch:
-    cols = [doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(tokens.decode(x)).hexdigest() for x in ids])]
-    if keep_ids:
+def _columns(ids: bytes, tokens: Codec) -> tuple[int, str, str]:
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tokens.decode(ids)).hexdigest()
+
+
+def _result(name: str, names: pa.Array, rows: list[tuple[int, str, str]], ids: list[bytes] | None) -> pa.RecordBatch:
+    cols = [names, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))]
+    if ids is not None:
         cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-    return pa.RecordBatch.from_arrays(cols, names=_OUT[: len(cols)])
+    return pa.RecordBatch.from_arrays(cols, names=[name, *_OUT[: len(cols) - 1]])
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -133,27 +137,50 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, k
     """
     docs = arrays.texts(df, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    found = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = codec(path, pattern)
+        tokens, known, held = codec(path, pattern), {}, 0
         for rows, _, _ in arrays.slices(batches):
-            yield _result(rows.column("doc_id"), [tokens.encode(tokens.pattern.findall(t.as_py())) for t in rows.column("text")], tokens, keep_ids)
+            out = []
+            for text in rows.column("text").to_pylist():
+                if text not in known:  # copies are encoded once
+                    held += len(text)
+                    if held > REMEMBERED_TEXT:
+                        known, held = {}, len(text)
+                    ids = tokens.encode(tokens.pattern.findall(text))
+                    known[text] = (_columns(ids, tokens), ids if keep_ids else b"")
+                out.append(known[text])
+            yield _result("doc_id", rows.column("doc_id"), [o[0] for o in out], [o[1] for o in out] if keep_ids else None)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for k in range(batch.num_rows):
+            for k, key in enumerate(batch.column("key").to_pylist()):
+                if key in seen:
+                    continue
+                seen.add(key)
                 text = batch.column("text")[k].as_py()
                 starts = list(range(0, len(text), chunk))
                 for low in range(0, len(starts), 64):
                     own = starts[low : low + 64]
-                    same = pa.array([k] * len(own))
-                    yield pa.RecordBatch.from_arrays([batch.column("key").take(same), batch.column("doc_id").take(same), pa.array(own, pa.int64()), pa.array([text[s : s + chunk + overlap] for s in own])], names=["key", "doc_id", "start", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.binary()), pa.array(own, pa.int64()), pa.array([text[s : s + chunk + overlap] for s in own])], names=["key", "start", "text"])
+
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks that several tasks have cut from copies of one text count once."""
+        seen = set()
+        for batch in batches:
+            keep = []
+            for k, name in enumerate(zip(batch.column("key").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+                if name not in seen:
+                    seen.add(name)
+                    keep.append(k)
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
 
     def bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where pre-tokens end in what a chunk shares with the one before and with the one after."""
         tokens = codec(path, pattern)
-        for batch in batches:
+        for batch in once(batches):
             heads, tails = [], []
             for text in batch.column("text").to_pylist():
                 ends = tokens.ends(text)
@@ -163,17 +190,16 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, k
 
     def agreed(table: pa.Table) -> pa.Table:
         """From where to where each chunk of a text counts; sure: all neighbours agree somewhere."""
-        starts, first = np.unique(table.column("start").to_numpy(), return_index=True)  # repeated rows have the same chunks
-        heads, tails = ([np.frombuffer(v, "<i4") for v in table.column(c).take(pa.array(first)).to_pylist()] for c in ("heads", "tails"))
+        table = table.sort_by("start")
+        heads, tails = ([np.frombuffer(v, "<i4") for v in table.column(c).to_pylist()] for c in ("heads", "tails"))
         common = [np.intersect1d(a, b) for a, b in zip(tails[:-1], heads[1:], strict=True)]
         meet = [int(c[0]) if len(c) else -1 for c in common]
-        n = len(starts)
-        return pa.table({"key": table.column("key").take(pa.array([0] * n)), "start": pa.array(starts, pa.int64()), "low": pa.array([0, *meet], pa.int64()), "high": pa.array([*(m + chunk for m in meet), 1 << 40], pa.int64()), "sure": pa.array([-1 not in meet] * n)})
+        return pa.table({"key": table.column("key"), "start": table.column("start"), "low": pa.array([0, *meet], pa.int64()), "high": pa.array([*(m + chunk for m in meet), 1 << 40], pa.int64()), "sure": pa.array([-1 not in meet] * table.num_rows)})
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of a chunk's own stretch; a chunk of a text that is not sure keeps its text."""
         tokens = codec(path, pattern)
-        for batch in batches:
+        for batch in once(batches):
             ids, rest = [], []
             for text, low, high, sure in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high", "sure")), strict=True):
                 rest.append(None if sure else text)
@@ -183,28 +209,27 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, k
                 ends = tokens.ends(text)
                 ends = np.concatenate([[low], ends[(ends > low) & (ends <= high)]]).tolist()
                 ids.append(tokens.encode([text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "start")), pa.array(ids, pa.binary()), pa.array(rest, pa.string())], names=["key", "doc_id", "start", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "start")), pa.array(ids, pa.binary()), pa.array(rest, pa.string())], names=["key", "start", "ids", "text"])
 
     def finished(table: pa.Table) -> pa.Table:
         tokens = codec(path, pattern)
         table = table.sort_by("start")
-        copies = table.column("start").to_pylist().count(0)
-        texts = table.column("text").to_pylist()[::copies]
+        texts = table.column("text").to_pylist()
         if texts[0] is None:
-            ids = b"".join(table.column("ids").to_pylist()[::copies])
+            ids = b"".join(table.column("ids").to_pylist())
         else:
-            ids = tokens.encode(stitch([(s, t, tokens.ends(t)) for s, t in zip(table.column("start").to_pylist()[::copies], texts, strict=True)], tokens))
-        return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks().slice(0, 1), [ids], tokens, keep_ids)] * copies)
+            ids = tokens.encode(stitch([(s, t, tokens.ends(t)) for s, t in zip(table.column("start").to_pylist(), texts, strict=True)], tokens))
+        return pa.Table.from_batches([_result("key", table.column("key").combine_chunks().slice(0, 1), [_columns(ids, tokens)], [ids] if keep_ids else None)])
 
     if not 0 < overlap <= chunk:
         raise ValueError("an overlap must be as long as a chunk at most")
     long_text = F.length("text") > chunk + overlap
-    # an id and its text name a row; rows that repeat both are counted apart at the end
-    keyed = docs.where(long_text).select(F.unhex(F.sha2(F.concat(F.to_json(F.struct("doc_id")), "text"), 256)).alias("key"), "doc_id", "text")
-    pieces = keyed.mapInArrow(cut, f"key binary, doc_id {kind}, start long, text string").repartition(arrays.partitions(df.sparkSession), "key", "start")
+    keyed = docs.where(long_text).withColumn("key", F.unhex(F.sha2("text", 256)))  # copies of a text are one text
+    pieces = keyed.select("key", "text").mapInArrow(cut, "key binary, start long, text string").repartition(arrays.partitions(df.sparkSession), "key", "start")
     cuts = pieces.mapInArrow(bounds, "key binary, start long, heads binary, tails binary").groupBy("key").applyInArrow(agreed, "key binary, start long, low long, high long, sure boolean")
-    ids = pieces.join(cuts.hint("shuffle_hash"), ["key", "start"], "left").mapInArrow(merged, f"key binary, doc_id {kind}, start long, ids binary, text string")
-    return docs.where(~long_text).mapInArrow(whole, schema).unionByName(ids.groupBy("key").applyInArrow(finished, schema))
+    ids = pieces.join(cuts.hint("shuffle_hash"), ["key", "start"], "left").mapInArrow(merged, "key binary, start long, ids binary, text string")
+    encoded = keyed.select("key", "doc_id").join(ids.groupBy("key").applyInArrow(finished, f"key binary, {found}"), "key").drop("key")
+    return docs.where(~long_text).mapInArrow(whole, f"doc_id {kind}, {found}").unionByName(encoded)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
