@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": twins.JACCARD_JOIN, "op4_phrase_index": twins.PHRASE_INDEX, "op7_recompression": twins.RECOMPRESSION}
+    return {"op9_trigram_secrets": twins.SECRETS, "op2_bwt_merge": twins.BWT_MERGE, "op8_zip_warc": twins.ZIP_WARC, "op3_jaccard_join": twins.JACCARD_JOIN, "op4_phrase_index": twins.PHRASE_INDEX, "op7_recompression": twins.RECOMPRESSION}

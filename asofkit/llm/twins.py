@@ -3,6 +3,33 @@
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 
+#: The patterns of the secret rules as SQL regexes: kind, pattern, counted group, its least length; base rules first.
+_SECRETS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("hosted", "(?:ghp|gho|ghs|ghr)_[A-Za-z0-9]{30,}", 0, 0),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("live", "(?:sk|rk)_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("login", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@", 0, 0),
+)
+
+
+def _matches(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one rule with their places: the lengths of what lies between matches, and of the matches before."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind, len(gs[i]) >= {least} AS ok, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, length(ms[i]) AS n
+ FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d))"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(_matches(n, *rule) for n, rule in enumerate(_SECRETS))}),
+s AS (SELECT doc_id, k, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM m WHERE ok),
+g AS (SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex, string_agg(CASE WHEN k < 3 THEN span END, ',' ORDER BY a, k) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
 JACCARD_JOIN = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[i:i + 3], ' ') ELSE array_to_string(ws, ' ') || ' ' END AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0)),
@@ -29,3 +56,18 @@ s AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(arra
 t AS (SELECT h FROM s WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
 c AS (SELECT s.*, bool_or(t.h IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM s LEFT JOIN t ON t.h = s.h)
 SELECT w.doc_id, len(w.ws) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM w LEFT JOIN (SELECT doc_id, CAST(count_if(gone) AS BIGINT) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id) g ON g.doc_id = w.doc_id"""
+
+
+BWT_MERGE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= strlen(h) THEN md5(substr(h, 2 * i + 1, 100)) END AS s FROM (SELECT doc_id, h, unnest(generate_series(0, CAST(strlen(h) / 2 AS BIGINT) - 1)) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS m FROM w WHERE s IS NOT NULL GROUP BY s),
+c AS (SELECT w.doc_id, i, x, coalesce(bool_or(f.m < w.doc_id) OVER (PARTITION BY w.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), FALSE) AS gone FROM w LEFT JOIN f ON f.s = w.s),
+d AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM c),
+g AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(opens) AS n_spans, string_agg(CASE WHEN NOT gone THEN x END, '' ORDER BY i) AS kept FROM d GROUP BY doc_id)
+SELECT b.doc_id, CAST(strlen(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN g ON g.doc_id = b.doc_id"""
+
+ZIP_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS m FROM p GROUP BY d)
+SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(p.d, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN f ON f.d = p.d"""
