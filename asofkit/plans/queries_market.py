@@ -216,7 +216,14 @@ def perf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticker", F.round("total_return", 6).alias("total_return"), F.round("cagr", 5).alias("cagr"), F.round("mdd", 6).alias("mdd"), F.round("vol", 5).alias("vol"), F.round("sharpe", 5).alias("sharpe"))
 
 
-@query()
+_GRID = ", ".join(map(str, perf.GRID))
+_PRESENT = "list_sum(list_transform(f, lambda x: x.a * pow(1 + {0}, -x.y)))"
+
+
+@query("RECURSIVE fl AS (SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS a FROM orders)", "fy AS (SELECT account, a, date_diff('day', min(d) OVER (PARTITION BY account), d) / 365.25::DOUBLE AS y FROM fl)", "ar AS (SELECT account, list({'y': y, 'a': a} ORDER BY y, a) AS f FROM fy GROUP BY account)",
+    f"gv AS (SELECT account, f, list_transform([{_GRID}]::DOUBLE[], lambda r: {_PRESENT.format('r')}) AS v FROM ar)", "gi AS (SELECT account, f, list_filter(generate_series(1, 14), lambda i: v[i] * v[i + 1] <= 0)[1] AS i FROM gv)",
+    f"b0 AS (SELECT account, f, ([{_GRID}]::DOUBLE[])[i] AS lo, ([{_GRID}]::DOUBLE[])[i + 1] AS hi FROM gi WHERE i IS NOT NULL)", f"b AS (SELECT account, f, lo, hi, sign({_PRESENT.format('lo')}) AS s, 0 AS n FROM b0 UNION ALL SELECT account, f, CASE WHEN same THEN mid ELSE lo END, CASE WHEN same THEN hi ELSE mid END, s, n + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, sign({_PRESENT.format('((lo + hi) / 2)')}) = s AS same FROM b WHERE n < 60))",
+    twin="SELECT account, round((lo + hi) / 2, 6) AS mwr FROM b WHERE n = 60 UNION ALL SELECT account, NULL FROM gi WHERE i IS NULL")
 def mwr_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = ad.table(spark, sf_dir, "orders")
     flows = orders.select(F.col("o_custkey").alias("account"), F.col("o_orderdate").cast("date").alias("date"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("amount"))
