@@ -161,8 +161,48 @@ def frames(data: bytes, low: int, high: int) -> tuple[int, int, int, list[tuple[
     return track, when, flags, out
 
 
+def _packets(data: bytes, place: int, low: int, high: int, scale: int, tracks: dict) -> Iterator[tuple]:
+    """The packets of one cluster, in order: (track, ns, start, size, key, lacing, cluster)."""
+    base = 0
+    for i, _, x, y in children(data, low, high):
+        key = None
+        if i == TIME:
+            base = _int(data, x, y)
+        elif i == GROUP:
+            inner = {j: (p, q) for j, _, p, q in children(data, x, y)}
+            if BLOCK in inner:
+                key, (x, y) = REFERENCE not in inner, inner[BLOCK]
+        elif i == SIMPLE:
+            key = bool(data[x + _size(data, x)[1] - x + 2] & 0x80)
+        if key is not None:
+            track, when, flags, own = frames(data, x, y)
+            ns, each = (base + when) * scale, tracks.get(track, (0, "", 0))[2]
+            for n, (start, size) in enumerate(own):
+                yield track, ns + n * each, start, size, key, flags >> 1 & 3, place
+
+
+def seek(data: bytes, found: dict, ns: int, track: int) -> tuple | None:
+    """The last packet of a track at or before a time, by the cues alone: the cluster of the last cue before it is read, and nothing else.
+
+    found: the tracks, cues and scale that parse() gave. None without a cue, or if the cue leads to no cluster.
+    """
+    places = [c for c in found["cues"] if c[0] <= ns and c[1] == track]
+    if not places:
+        return None
+    ident, place, low, high = next(children(data, max(places)[2], len(data)), (0, 0, 0, 0))
+    out = None
+    for p in _packets(data, place, low, high, found["scale"], found["tracks"]) if ident == CLUSTER else ():
+        if p[0] == track:
+            if p[1] > ns:
+                break
+            out = p
+            if p[1] == ns:
+                break
+    return out
+
+
 def parse(data: bytes) -> dict:
-    """Tracks {number: (kind, codec, ns a frame)}, packets (track, ns, start, size, key, lacing, cluster), cues (ns, track, cluster)."""
+    """Tracks {number: (kind, codec, ns a frame)}, packets (track, ns, start, size, key, lacing, cluster), cues (ns, track, cluster), scale."""
     scale, tracks, packets, cues, clusters = 1_000_000, {}, [], [], 0
     for ident, _, low, high in children(data, 0, len(data)):
         if ident != SEGMENT:
@@ -176,21 +216,8 @@ def parse(data: bytes) -> dict:
                         own = {j: data[p:q] for j, _, p, q in children(data, x, y)}
                         tracks[int.from_bytes(own.get(NUMBER, b"\0"), "big")] = (int.from_bytes(own.get(KIND, b"\0"), "big"), own.get(CODEC, b"").decode(), int.from_bytes(own.get(DURATION, b"\0"), "big"))
             elif child == CLUSTER:
-                clusters, base = clusters + 1, 0
-                for i, _, x, y in children(data, a, b):
-                    key = None
-                    if i == TIME:
-                        base = _int(data, x, y)
-                    elif i == GROUP:
-                        inner = {j: (p, q) for j, _, p, q in children(data, x, y)}
-                        if BLOCK in inner:
-                            key, (x, y) = REFERENCE not in inner, inner[BLOCK]
-                    elif i == SIMPLE:
-                        key = bool(data[x + _size(data, x)[1] - x + 2] & 0x80)
-                    if key is not None:
-                        track, when, flags, own = frames(data, x, y)
-                        ns, each = (base + when) * scale, tracks.get(track, (0, "", 0))[2]
-                        packets += [(track, ns + n * each, start, size, key, flags >> 1 & 3, place) for n, (start, size) in enumerate(own)]
+                clusters += 1
+                packets += _packets(data, place, a, b, scale, tracks)
             elif child == CUES:
                 for i, _, x, y in children(data, a, b):
                     if i == POINT:
@@ -201,7 +228,7 @@ def parse(data: bytes) -> dict:
                             elif j == POSITIONS:
                                 own = {m: _int(data, r, s) for m, _, r, s in children(data, p, q)}
                                 cues.append((ns, own.get(POINT_TRACK, 0), low + own.get(POINT_CLUSTER, 0)))
-    return {"tracks": tracks, "packets": packets, "cues": cues, "clusters": clusters}
+    return {"tracks": tracks, "packets": packets, "cues": cues, "clusters": clusters, "scale": scale}
 
 
 def store_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +281,7 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 def media_report(df: DataFrame, id_col: str, media_col: str, *keep: str) -> DataFrame:
     """Per file, from the byte ranges that the packets name: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    `feature` lists frames, blocks' lacings, clusters, cues that point at a cluster, the last timestamp and sums over the samples.
+    `feature` lists frames, blocks' lacings, clusters, cues that lead to a packet of their time, the last timestamp and sums over the samples.
     A null, empty or broken file has payload_bytes 0 and a feature that begins with "broken".
     """
 
@@ -266,10 +293,10 @@ def media_report(df: DataFrame, id_col: str, media_col: str, *keep: str) -> Data
         body = b"".join(data[p[2] : p[2] + p[3]] for p in found["packets"])
         samples = np.frombuffer(body, np.uint8)
         laced = np.bincount([p[5] for p in found["packets"]], minlength=4)[:4] if found["packets"] else np.zeros(4, int)
-        at = {p[6] for p in found["packets"]}
+        led = sum((p := seek(data, found, c[0], c[1])) is not None and p[1] == c[0] for c in found["cues"])
         crossings = int(np.count_nonzero(np.diff((samples >= 128).view(np.int8))))
         feature = ("broken;" if "broken" in found or not found["packets"] else "") + (
-            f"frames={len(found['packets'])};laced={','.join(map(str, laced))};clusters={found['clusters']};cues={sum(c[2] in at for c in found['cues'])};"
+            f"frames={len(found['packets'])};laced={','.join(map(str, laced))};clusters={found['clusters']};cues={led};"
             f"last_ns={found['packets'][-1][1] if found['packets'] else 0};sum={int(samples.sum(dtype=np.int64))};energy={int((samples.astype(np.int32) ** 2).sum(dtype=np.int64))};crossings={crossings}"
         )
         return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature

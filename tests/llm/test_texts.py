@@ -67,6 +67,10 @@ def test_matroska_round_trip(size):
     assert b"".join(data[p[2] : p[2] + p[3]] for p in found["packets"]) == body
     assert [p[1] for p in found["packets"]] == [24_000_000 * k for k in range(len(body) // 192)]
     assert {c[2] for c in found["cues"]} == {p[6] for p in found["packets"]}
+    for k in {0, len(found["packets"]) // 2, len(found["packets"]) - 1}:
+        p = found["packets"][k]
+        assert matroska.seek(data, found, p[1], 1) == matroska.seek(data, found, p[1] + 23_999_999, 1) == p
+    assert matroska.seek(data, found, -1, 1) is None and matroska.seek(data, found, 0, 2) is None
 
 
 def test_matroska_lacings_groups_and_unknown_sizes():
