@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..functions import windows as win
-from ..operators import facts, quality, reconcile, screen
+from ..operators import asof, dedupe, facts, intervals, quality, reconcile, screen
 from ..operators import statements as st
 from ..sources import adapters as ad
+from . import panel as pl
 from .registry import BARS, STATEMENTS, query
 
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY period_end)"
@@ -235,3 +236,44 @@ def look_ahead_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = screen.without_look_ahead(ad.statements(spark, sf_dir).withColumn("signal", F.date_add("period_end", 79)), "signal", ["filing_date", "available_date"])
     out = rows.groupBy("fiscal_year", "fiscal_quarter").agg(F.count("*").alias("n"), F.count_if(F.col("filing_date") > F.date_add("period_end", 60)).alias("late"), F.count_if(F.col("filing_date") > F.date_add("period_end", 75)).alias("__f"), F.bool_and("look_ahead_ok").alias("ok"))
     return out.select("fiscal_year", "fiscal_quarter", "n", "late", quality.status(F.col("__f"), F.col("late")).alias("status"), "ok")
+
+
+@query(STATEMENTS, twin="""SELECT ticker, period_end, fiscal_year || 'Q' || fiscal_quarter AS label, fiscal_year AS label_year, fiscal_quarter AS label_quarter, 'A' || ticker || 'B' AS key, lpad(CAST(ticker AS VARCHAR), 6, '0') AS padded, sha1(ticker || '|' || CAST(period_end AS VARCHAR) || '|' || form) AS id,
+ coalesce(opex, CASE WHEN fiscal_quarter = 1 THEN interest + payables END, revenue - cogs) AS combined FROM stmts""")
+def key_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.statements(spark, sf_dir)
+    label = col.fiscal_label("fiscal_year", "fiscal_quarter")
+    parsed = col.parse_fiscal_label(label)
+    first = lambda c: F.when(F.col("fiscal_quarter") == 1, F.col(c))
+    return rows.select(
+        "ticker", "period_end", label.alias("label"), parsed["year"].alias("label_year"), parsed["quarter"].alias("label_quarter"), col.ticker_key(F.concat(F.lit(" a."), F.col("ticker").cast("string"), F.lit("-b"))).alias("key"), col.padded_ticker("ticker").alias("padded"),
+        col.row_id("ticker", "period_end", "form").alias("id"), col.combine(["opex"], [first("interest"), first("payables")], "revenue", "cogs").alias("combined"),
+    )
+
+
+@query(STATEMENTS, BARS, f"g AS (SELECT ticker, period_end, revenue, (revenue / lag(revenue, 4) OVER w - 1) * 100 AS g FROM stmts {_W})", "c AS (SELECT ticker, date, CASE WHEN count(close) OVER a >= 5 THEN avg(close) OVER a END AS f, CASE WHEN count(close) OVER b >= 12 THEN avg(close) OVER b END AS s FROM bars WINDOW a AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), b AS (PARTITION BY ticker ORDER BY date ROWS 49 PRECEDING))",
+    twin="SELECT g.ticker, g.period_end, g.revenue, round(g.g, 6) AS revenue_growth, coalesce(c.f > c.s, FALSE) AS above FROM g ASOF LEFT JOIN c ON c.ticker = g.ticker AND g.period_end >= c.date")
+def growth_and_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = ad.prices(spark, sf_dir).select("ticker", "date", pl.moving_average_cross("close", 20, 50).alias("above"))
+    both = asof.asof_columns(pl.statement_growth(ad.statements(spark, sf_dir), ["revenue"]), flags, ["ticker"], "period_end", "date", ["above"])
+    return both.select("ticker", "period_end", "revenue", F.round("revenue_growth", 6).alias("revenue_growth"), F.coalesce("above", F.lit(False)).alias("above"))
+
+
+@query("e AS (SELECT o_custkey AS ticker, o_custkey + 10000 AS ticker_new, CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'P' THEN 'rename' WHEN 'O' THEN 'add' ELSE 'remove' END AS action, o_orderkey AS event_id FROM orders)",
+    twin="SELECT ticker, date, action, event_id FROM e WHERE action <> 'rename' UNION ALL SELECT ticker, date, 'remove', event_id FROM e WHERE action = 'rename' UNION ALL SELECT ticker_new, date, 'add', event_id FROM e WHERE action = 'rename'")
+def expanded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    rows = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), (F.col("o_custkey") + 10000).alias("ticker_new"), F.col("o_orderdate").cast("date").alias("date"), F.when(status == "P", "rename").when(status == "O", "add").otherwise("remove").alias("action"), F.col("o_orderkey").alias("event_id"))
+    return intervals.expand_events(rows).select("ticker", "date", "action", "event_id")
+
+
+@query(STATEMENTS, "c AS (SELECT ticker, period_end, revenue, cogs * 2 AS other, abs(revenue - cogs * 2) / abs(revenue) AS pct FROM stmts)", twin="SELECT ticker, period_end, round(pct, 6) AS pct_diff FROM c WHERE pct > 0.05 ORDER BY pct DESC, ticker, period_end LIMIT 25")
+def top_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pct = col.pct_diff("revenue", F.col("cogs") * 2)
+    rows = ad.statements(spark, sf_dir).withColumns({"pct_diff": pct, "breached": pct > 0.05})
+    return reconcile.top_breaches(rows, 25, "ticker", "period_end").select("ticker", "period_end", F.round("pct_diff", 6).alias("pct_diff"))
+
+
+@query(twin="SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
+def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.top_n(ad.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), [F.col("c_acctbal").desc(), "c_custkey"], 40)
