@@ -25,7 +25,7 @@ BLOCK_DOCS, BLOCK_BYTES = 4000, 12 << 20
 #: Bytes of text whose sets are built at once.
 SLICE = (1 << 20) - 4096
 #: DivideSkip's constant: with the required overlap T and the longest list of m documents, T / (LONG * ln m + 1) lists count as long.
-LONG = 0.0085
+LONG = 0.002
 #: A group of so many documents in one run sends its leader alone.
 HOT = 32
 #: Binary probes into long lists that are made at once.
@@ -106,6 +106,20 @@ def signatures(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tu
     return np.concatenate(out), np.concatenate(owners)
 
 
+#: So many entries of short lists are merged by a heap; more are dense runs, which numpy's stable sort merges run by run.
+HEAP = 2048
+#: A list with one in so many documents of the block is a bitmap, which is probed without a search.
+DENSE = 16
+
+
+def merge_runs(entries: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """What merge_skip() gives, from the lists end to end."""
+    entries = np.sort(entries, kind="stable")
+    edge = np.flatnonzero(np.diff(entries, prepend=-1, append=-1))
+    count = np.diff(edge)
+    return entries[edge[:-1]][count >= needed], count[count >= needed]
+
+
 def merge_skip(lists: list[list[int]], needed: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents that stand in at least `needed` of the sorted lists, and in how many: a heap holds the next document of every list.
 
@@ -145,6 +159,12 @@ class Lists:
         self.edges = np.searchsorted(element[own][order], np.arange(int(element.max(initial=-1)) + 2))
         self.keys = element[own][order] * len(sizes) + self.docs  # for probes: by element, then by document
         self.element, self.at, self.sizes = element, at, sizes
+        length = np.diff(self.edges)
+        many = np.flatnonzero(length * DENSE > max(len(docs), 8 * DENSE))
+        self.row = np.full(len(length), -1, np.int64)
+        self.row[many] = np.arange(len(many))
+        self.bits = np.zeros((len(many), len(sizes)), np.uint8)  # DENSE bytes an entry at most
+        self.bits[np.repeat(np.arange(len(many)), length[many]), self.docs[arrays.spans(self.edges[many], length[many])]] = 1
 
     def search(self, query: int, percent: int) -> np.ndarray:
         """Documents in the lists that are linked with a document."""
@@ -159,15 +179,22 @@ class Lists:
         n_long = min(needed - 1, int(needed / (LONG * np.log(length.max()) + 1)))
         order = np.argsort(length, kind="stable")
         short, long_ = order[: size - n_long], order[size - n_long :]
-        found, count = merge_skip([self.docs[a:b].tolist() for a, b in zip(low[short].tolist(), high[short].tolist(), strict=True) if a < b], needed - n_long)
+        if int(length[short].sum()) <= HEAP:
+            found, count = merge_skip([self.docs[a:b].tolist() for a, b in zip(low[short].tolist(), high[short].tolist(), strict=True) if a < b], needed - n_long)
+        else:
+            found, count = merge_runs(self.docs[arrays.spans(low[short], length[short])], needed - n_long)
+        rows = self.row[own[long_]]
+        dense, long_ = rows[rows >= 0], long_[rows < 0]
         while len(long_) and len(found):  # the shortest of the long lists first; who cannot reach the overlap any more leaves
             some = long_[: max(1, PROBES // len(found))]
             wanted = own[some][:, None] * len(self.sizes) + found
             place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
             count = count + (self.keys[place] == wanted).sum(0)
             long_ = long_[len(some) :]
-            keep = count >= needed - len(long_)
+            keep = count >= needed - len(long_) - len(dense)
             found, count = found[keep], count[keep]
+        if len(dense) and len(found):
+            count = count + (self.bits[dense].sum(0, dtype=np.int64)[found] if 4 * len(found) > len(self.sizes) else self.bits[np.ix_(dense, found)].sum(0, dtype=np.int64))
         return found[100 * count >= percent * (size + self.sizes[found] - count)]
 
 

@@ -208,6 +208,27 @@ def test_lists_are_merged_with_skips():
         many = Counter(d for own in lists for d in own)
         found, count = jaccard_join.merge_skip(lists, needed)
         assert dict(zip(found.tolist(), count.tolist(), strict=True)) == {d: n for d, n in many.items() if n >= needed}
+        assert [x.tolist() for x in jaccard_join.merge_runs(np.concatenate([np.array(own) for own in lists]), needed)] == [found.tolist(), count.tolist()]
+
+
+@pytest.mark.parametrize(("heap", "dense"), [(0, 1), (10**9, 10**9), (40, 3), (10**9, 1), (0, 10**9)])
+def test_searches_find_all_links_of_a_block(monkeypatch, heap, dense):
+    """Near copies about the threshold: by heap or by runs, by bitmaps or by binary probes."""
+    monkeypatch.setattr(jaccard_join, "HEAP", heap)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 40, 60).astype(np.uint64)
+    sets = []
+    for k in range(150):
+        own = base.copy()
+        at = rng.choice(60, rng.integers(0, 9), replace=False)
+        own[at] = rng.integers(1 << 41, 1 << 50, len(at))
+        sets.append(np.unique(own) if k % 5 else np.unique(rng.choice(base, 12)))
+    hashes, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    lists = jaccard_join.Lists(np.unique(hashes, return_inverse=True)[1], at, np.arange(150))
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
+    for q in range(0, 150, 7):
+        assert lists.search(q, 85).tolist() == [d for d in range(150) if linked(q, d)]
 
 
 @pytest.mark.parametrize("seed", range(3))
