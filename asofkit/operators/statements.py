@@ -101,7 +101,9 @@ def smoothed_twice(values: Column) -> Column:
 
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<double>"), step)).otherwise(v)
 
-    return once(once(values))
+    # a lambda's variable is computed once, an expression wherever it stands
+    bound = lambda v: F.get(F.transform(F.array(v), once), F.lit(0))
+    return bound(bound(values))
 
 
 def drop_leading_annual(df: DataFrame, key: str = "ticker") -> DataFrame:

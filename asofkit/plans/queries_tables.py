@@ -515,3 +515,15 @@ def smoothed_series_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = ad.statements(spark, sf_dir).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("period_end", "revenue"))).alias("r"))
     v = own.select("ticker", st.smoothed_twice(F.col("r.revenue")).alias("v"))
     return v.select("ticker", F.size("v").cast("long").alias("n"), F.round(F.get("v", F.lit(0)), 4).alias("first"), F.round(F.try_element_at("v", F.lit(-1)), 4).alias("last"))
+
+
+_PASS = "SELECT ticker, d, v, 1 AS i, [v[1]] AS o FROM {0} UNION ALL SELECT ticker, d, v, i + 1, list_append(o, CASE WHEN i + 1 < len(v) AND (o[i] + v[i + 2]) / 2 <> 0 AND NOT v[i + 1] / ((o[i] + v[i + 2]) / 2) BETWEEN 0.5 AND 2 THEN (o[i] + v[i + 2]) / 2 ELSE v[i + 1] END) FROM {1} WHERE i < len(v)"
+
+
+@query("RECURSIVE " + STATEMENTS, "s0 AS (SELECT ticker, list(period_end ORDER BY period_end) AS d, list(CASE WHEN fiscal_quarter = 2 THEN revenue * 4 ELSE revenue END ORDER BY period_end) AS v FROM stmts GROUP BY ticker)", f"s1 AS ({_PASS.format('s0', 's1')})", "s2 AS (SELECT ticker, d, o AS v FROM s1 WHERE i = len(v))", f"s3 AS ({_PASS.format('s2', 's3')})",
+    twin="SELECT ticker, unnest(d) AS period_end, round(unnest(o), 4) AS revenue FROM s3 WHERE i = len(v)")
+def smoothed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("fiscal_quarter") == 2, F.col("revenue") * 4).otherwise(F.col("revenue")).alias("v")
+    own = ad.statements(spark, sf_dir).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("period_end", value))).alias("r"))
+    rows = own.select("ticker", F.explode(F.arrays_zip(F.col("r.period_end").alias("period_end"), st.smoothed_twice(F.col("r.v")).alias("revenue"))).alias("o"))
+    return rows.select("ticker", "o.period_end", F.round("o.revenue", 4).alias("revenue"))
