@@ -230,7 +230,7 @@ def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataF
     arrays.bounded_batches(spark)
     try:
         pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return read_archives(files, "content", id_kind)
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
