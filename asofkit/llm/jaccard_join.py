@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import arrays, components, repeats, storage
 
 SHINGLE, PERCENT = 4, 85
+#: Parts that must be equal, besides one, in per cent of the elements that may differ: more of them leave weak parts out.
+SPARE = 40
 #: Documents and bytes of text of a block; larger groups are split.
 BLOCK_DOCS, BLOCK_BYTES = 4000, 12 << 20
 #: Bytes of text whose sets are built at once.
@@ -75,7 +77,9 @@ def signatures(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tu
     """(signature, document): linked documents have at least one in common.
 
     A set is cut into `apart + spare` parts for its own class and for the next, so at least `spare` parts are equal
-    in both. Empty parts count only in sets that have `spare` of them, since else an equal part has content.
+    in both. Empty parts count only in sets that have `spare` of them, since else an equal part has content. Of a set's parts with
+    content the weakest, by number of elements, then by hash, need not be sent, one fewer than must be equal: equal parts stand
+    alike in this order, so the first of the equal ones is sent by both.
     """
     sizes = np.diff(at)
     own = np.flatnonzero(sizes)
@@ -88,7 +92,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tu
     for step in (0, 1):
         level = np.searchsorted(least, sizes, "right") - 1 + step
         apart = may_differ(least[np.minimum(level + 1, len(least) - 1)] - 1, percent)
-        spare = np.where(apart == 0, 1, 1 + np.maximum(1, -(-15 * apart // 100)))
+        spare = np.where(apart == 0, 1, 1 + np.maximum(1, -(-SPARE * apart // 100)))
         parts = np.where(sizes > 0, apart + spare, 0)
         base = np.cumsum(parts) - parts
         place = base[doc] + (spread % parts[doc].astype(_U)).astype(np.int64)
@@ -99,9 +103,15 @@ def signatures(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tu
         empties = np.add.reduceat((count == 0).astype(np.int64), base[own])
         many = np.zeros(len(sizes), bool)
         many[own] = empties >= spare[own]
-        use = (count > 0) | many[owner]
         salt = arrays.mix(level[owner].astype(_U) << _U(32) | number.astype(_U))
-        out.append(arrays.mix(total + salt)[use])
+        mark = arrays.mix(total + salt)
+        weak = np.lexsort((mark, count, count == 0, owner))  # by set: parts with content, the weakest first, then empty ones
+        rank = np.empty(len(weak), np.int64)
+        rank[weak] = np.arange(len(weak)) - base[owner]
+        drop = np.zeros(len(sizes), np.int64)
+        drop[own] = np.maximum(0, spare[own] - empties - 1)
+        use = ((count > 0) & (rank >= drop[owner])) | many[owner]
+        out.append(mark[use])
         owners.append(owner[use])
     return np.concatenate(out), np.concatenate(owners)
 
@@ -362,9 +372,10 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     docs = whole.select("key", "doc_id", "text")
     block = storage.written(blocks(storage.written(candidates(docs, size, percent), "led")), "blocks")
     n = arrays.partitions(spark)
-    members = docs.repartition(n, "key").join(block.hint("shuffle_hash"), "key")
-    members = storage.written(members.select("key", "block", "text"), "members")
-    heavy = storage.written(members.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("key").alias("pivot")).where((F.col("n") > block_docs) | (F.col("bytes") > block_bytes)), "heavy")
+    # texts travel to their blocks without a table on the way; what blocks hold is told from sizes alone
+    members = docs.repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
+    sizes = block.join(docs.select("key", F.octet_length("text").alias("bytes")), "key")
+    heavy = storage.written(sizes.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("pivot")).where((F.col("n") > block_docs) | (F.col("bytes") > block_bytes)), "heavy")
     split = heavy.limit(1).count() > 0
     light = members.join(heavy.select("block"), "block", "left_anti") if split else members
 
