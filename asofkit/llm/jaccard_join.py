@@ -373,7 +373,8 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     block = storage.written(blocks(storage.written(candidates(docs, size, percent), "led")), "blocks")
     n = arrays.partitions(spark)
     # texts travel to their blocks without a table on the way; what blocks hold is told from sizes alone
-    members = docs.repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
+    # by the size of the block table Spark broadcasts it, so that only texts that share a block move, or sorts both sides by key
+    members = docs.join(block, "key").select("key", "block", "text")
     sizes = block.join(docs.select("key", F.octet_length("text").alias("bytes")), "key")
     heavy = storage.written(sizes.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("pivot")).where((F.col("n") > block_docs) | (F.col("bytes") > block_bytes)), "heavy")
     split = heavy.limit(1).count() > 0
