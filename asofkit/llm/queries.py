@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_merge, byte_bpe, decontaminate, jaccard_join, langid, matroska, recompression, secrets, storage, token_counts, twins, zip_warc
+from . import bwt_merge, byte_bpe, curriculum, decontaminate, jaccard_join, langid, matroska, pivot_clusters, ranked_search, recompression, secrets, storage, token_counts, twins, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def op12_document_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.clustered(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_matroska, op2_bwt_merge, op3_jaccard_join, op4_phrase_index, op5_language_mixture, op6_byte_bpe, op7_recompression, op8_zip_warc, op9_trigram_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_matroska, op2_bwt_merge, op3_jaccard_join, op4_phrase_index, op5_language_mixture, op6_byte_bpe, op7_recompression, op8_zip_warc, op9_trigram_secrets, op10_token_counts, op11_curriculum, op12_document_trie, op13_pivot_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_trigram_secrets": twins.SECRETS, "op2_bwt_merge": twins.BWT_MERGE, "op8_zip_warc": twins.ZIP_WARC, "op3_jaccard_join": twins.JACCARD_JOIN, "op4_phrase_index": twins.PHRASE_INDEX, "op7_recompression": twins.RECOMPRESSION}
+    return {"op9_trigram_secrets": twins.SECRETS, "op2_bwt_merge": twins.BWT_MERGE, "op8_zip_warc": twins.ZIP_WARC, "op3_jaccard_join": twins.JACCARD_JOIN, "op4_phrase_index": twins.PHRASE_INDEX, "op7_recompression": twins.RECOMPRESSION, "op11_curriculum": twins.CURRICULUM, "op12_document_trie": twins.DOCUMENT_TRIE, "op13_pivot_clusters": twins.PIVOT_CLUSTERS}

@@ -71,3 +71,53 @@ ZIP_WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS m FROM p GROUP BY d)
 SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(p.d, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p JOIN f ON f.d = p.d"""
+
+
+def _progress(q: str) -> str:
+    """The inverse integrals of the three schedules of curriculum.SCHEDULES: 1.5 to 0.5, 2 throughout, 1.5 to 4.5."""
+    root = lambda whole, v, slope: f"2.0 * ({q} * {whole}) / ({v} + sqrt(greatest({v * v} + {2.0 * slope} * ({q} * {whole}), 0.0)))"
+    return f"CASE kind WHEN 0 THEN {root(1.0, 1.5, -1.0)} WHEN 1 THEN {root(2.0, 2.0, 0.0)} ELSE {root(3.0, 1.5, 3.0)} END"
+
+
+CURRICULUM = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS mark FROM documents),
+s AS (SELECT source, n, (row_number() OVER o - 1) % 3 AS kind, CAST(sum(n) OVER (o ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS f FROM (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source) WINDOW o AS (ORDER BY source NULLS LAST)),
+r AS (SELECT *, kind + 1.0::DOUBLE AS w, 3 * n AS cap, (3 * n) / (kind + 1.0::DOUBLE) AS ratio FROM s),
+l AS (SELECT *, CAST(sum(n) OVER () - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM r WINDOW b AS (ORDER BY ratio, f, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT level FROM l WHERE level * w <= cap ORDER BY ratio, f, source NULLS LAST LIMIT 1),
+t AS (SELECT *, CASE WHEN cap <= w * level THEN CAST(cap AS DOUBLE) ELSE w * level END AS target FROM (SELECT r.*, v.level FROM r, v)),
+c AS (SELECT d.*, t.n, t.f, t.kind, t.target, CAST(floor(t.target) AS BIGINT) AS quota, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, before + e * n AS a, least(quota - (before + e * n), size) AS words FROM (SELECT *, unnest([0, 1, 2]) AS e FROM c)),
+p AS (SELECT doc_id, words, sum(words) OVER (ORDER BY {_progress("(CAST(a AS DOUBLE) / quota)")}, f, source NULLS LAST, a ROWS UNBOUNDED PRECEDING) - words AS position FROM e WHERE words > 0),
+g AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS taken, count(*) AS copies, CAST(min(position) AS BIGINT) AS position FROM p GROUP BY doc_id)
+SELECT c.doc_id, c.size, c.n AS source_size, c.target, coalesce(g.taken, 0) AS taken, coalesce(g.copies, 0) AS copies, g.position FROM c LEFT JOIN g ON g.doc_id = c.doc_id"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+DOCUMENT_TRIE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_PLAIN}, '{_TERM}') AS ws FROM documents),
+z AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({_PLAIN}, '{_TERM}')) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), z),
+m AS (SELECT doc_id, 50 + (50 * len(ws) * n) // l AS m FROM d, z WHERE len(ws) > 0),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+
+def _rounds(n: int) -> str:
+    distance = "list_sum(list_transform(list_zip(v.v, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = ""
+    for r in range(n + 1):
+        out += f", a{r} AS MATERIALIZED (SELECT v.vec_id, v.v, min({distance} * 16 + c.c) AS k FROM v, c{r} c GROUP BY v.vec_id, v.v)"
+        if r < n:
+            out += f""", m{r + 1} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (SELECT k % 16 AS c, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(generate_series(1, 64)) AS i FROM a{r}) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.m, c.m) AS m FROM c{r} c LEFT JOIN m{r + 1} n ON n.c = c.c)"""
+    return out
+
+
+PIVOT_CLUSTERS = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v AS m FROM v QUALIFY c < 16){_rounds(3)},
+s AS (SELECT k % 16 AS c, CAST(sum(k // 16) AS BIGINT) AS n FROM a3 GROUP BY 1)
+SELECT a.vec_id, CAST(s.c AS INTEGER) AS cluster, CAST(a.k // 16 AS BIGINT) AS distance, s.n AS cluster_inertia, CAST(sum(a.k // 16) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.m, ',')) AS centroid_sha256 FROM a3 a JOIN s ON s.c = a.k % 16 JOIN c3 ON c3.c = s.c"""
