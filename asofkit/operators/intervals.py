@@ -7,18 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stands for an open end in comparisons.
-FOREVER = "9999-12-31"
+from . import sweep
+
 #: Actions that open and that close membership.
 OPENS, CLOSES = ("add", "seed"), ("remove",)
 
 
-def _forever() -> Column:
-    return F.lit(FOREVER).cast("date")
-
-
 def _end(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, _forever())
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, sweep.forever())
 
 
 def expand_events(events: DataFrame, ticker: str = "ticker", new: str = "ticker_new", action: str = "action") -> DataFrame:
@@ -78,22 +74,20 @@ def interval_asof(intervals: DataFrame, keys: Sequence[str], as_of: Column, orde
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def point_in_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], order: Sequence[Column], row_key: Sequence[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Each row with the best interval that covers its date, or nulls; row_key names what tells the rows apart."""
-    right = intervals.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(start).alias("__from"), _end(end).alias("__to"), *values)
-    on_keys = [F.col(k) == F.col(f"__{k}") for k in keys]
-    found = rows.join(right, [*on_keys, F.col(on) >= F.col("__from"), F.col(on) <= F.col("__to")], "left")
-    w = Window.partitionBy(*row_key).orderBy(F.col("__from").desc_nulls_last(), *order)
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*rows.columns, *values)
+def point_in_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], order: Sequence[Column], start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Each row with the best interval of its key that covers its date, or nulls: the latest start, then `order` over the values.
+
+    A key's intervals become disjoint pieces once; rows look theirs up. Intervals without a key or start, or that end before they
+    start, cover nothing; rows without a key or date find none. Rows may repeat.
+    """
+    pieces = sweep.best_pieces(intervals, keys, [F.col("__a").desc(), *order], values, start, end)
+    return sweep.in_pieces(rows, pieces, keys, on, values)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_values: Sequence[str], b_values: Sequence[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Pairs of intervals of one key that overlap, with what they have in common; a common open end is null."""
-    right = b.select(*keys, F.col(start).alias("__from"), _end(end).alias("__to"), *b_values)
-    left = a.select(*keys, F.col(start).alias("__a"), _end(end).alias("__z"), *a_values)
-    both = left.join(right, list(keys)).where((F.col("__z") >= F.col("__from")) & (F.col("__a") <= F.col("__to")))
-    stop = F.least("__z", "__to")
-    return both.select(*keys, *a_values, *b_values, F.greatest("__a", "__from").alias(start), F.nullif(stop, _forever()).alias(end))
+    """Pairs of intervals of one key that overlap, with what they have in common; a common open end is null. Intervals that end before they start overlap nothing."""
+    both = sweep.overlapping(a, b, keys, a_values, b_values, start, end)
+    return both.select(*keys, *a_values, *b_values, sweep.day_of(F.greatest("__a", "__from")).alias(start), F.nullif(sweep.day_of(F.least("__z", "__to")), sweep.forever()).alias(end))
 
 
 def active(intervals: DataFrame, key: str, first: Column, last: Column, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -112,7 +106,7 @@ def merged(intervals: DataFrame, keys: Sequence[str], start: str = "valid_from",
     w = Window.partitionBy(*keys).orderBy(start, _end(end))
     reach = F.max(_end(end)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reach.isNull() | (F.col(start) > F.date_add(F.least(reach, F.lit("9999-12-30").cast("date")), 1)), 1).otherwise(0)).over(w)
-    return intervals.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(start).alias(start), F.nullif(F.max(_end(end)), _forever()).alias(end)).drop("__i")
+    return intervals.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min(start).alias(start), F.nullif(F.max(_end(end)), sweep.forever()).alias(end)).drop("__i")
 
 
 def daily_counts(intervals: DataFrame, keys: Sequence[str], first: Column, last: Column) -> DataFrame:
@@ -134,17 +128,14 @@ def overlaps(intervals: DataFrame, keys: Sequence[str], start: str = "valid_from
 
 
 def with_overrides(base: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """The base with overrides cut in: atomic pieces between all bounds, the override's value first, equal neighbours joined again."""
-    every = base.select(*keys, F.col(start).alias("s"), _end(end).alias("e"), F.col(value).alias("v"), F.lit(1).alias("p")).unionByName(overrides.select(*keys, F.col(start).alias("s"), _end(end).alias("e"), F.col(value).alias("v"), F.lit(0).alias("p")))
-    bounds = every.select(*keys, F.explode(F.array("s", F.date_add("e", F.when(F.col("e") < _forever(), 1).otherwise(0)))).alias("a")).distinct()
-    w = Window.partitionBy(*keys).orderBy("a")
-    pieces = bounds.withColumn("z", F.lead("a").over(w)).where("z IS NOT NULL")
-    pieces = pieces.withColumn("z", F.when(F.col("z") < _forever(), F.date_sub("z", 1)).otherwise(F.col("z")))
-    covered = pieces.join(every, list(keys)).where((F.col("s") <= F.col("a")) & (F.col("e") >= F.col("z")))
-    best = covered.groupBy(*keys, "a", "z").agg(F.min_by("v", F.struct("p", F.negate(F.unix_date("s")), "v")).alias("v"))
-    change = F.when((F.lag("v").over(w).eqNullSafe(F.col("v"))) & (F.date_add(F.lag("z").over(w), 1) == F.col("a")), 0).otherwise(1)
+    """The base with overrides cut in: disjoint pieces, an override's value first, then the latest start, then the least value; equal neighbours joined again."""
+    every = base.select(*keys, start, end, F.col(value).alias("v"), F.lit(1).alias("p")).unionByName(overrides.select(*keys, start, end, F.col(value).alias("v"), F.lit(0).alias("p")))
+    best = sweep.best_pieces(every, keys, [F.col("p"), F.col("__a").desc(), F.col("v")], ["v", "p"], start, end)
+    w = Window.partitionBy(*keys).orderBy("__from")
+    change = F.when(F.lag("v").over(w).eqNullSafe(F.col("v")) & (F.lag("__to").over(w) + 1 == F.col("__from")), 0).otherwise(1)
     islands = best.withColumn("__c", change).withColumn("__i", F.sum("__c").over(w))
-    return islands.groupBy(*keys, "__i", F.col("v").alias(value)).agg(F.min("a").alias(start), F.nullif(F.max("z"), _forever()).alias(end)).drop("__i")
+    joined = islands.groupBy(*keys, "__i", F.col("v").alias(value)).agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"))
+    return joined.select(*keys, value, sweep.day_of("__from").alias(start), F.nullif(sweep.day_of("__to"), sweep.forever()).alias(end))
 
 
 def unified_memberships(exchanges: DataFrame, indexes: DataFrame) -> DataFrame:

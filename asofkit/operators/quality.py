@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sweep
+
 
 def profile(df: DataFrame, keys: Sequence[str], date: str, cols: Sequence[str]) -> DataFrame:
     """Rows, date span and null rates by key."""
@@ -65,10 +67,12 @@ def status(issues: Column, warnings: Column) -> Column:
 
 
 def outside_validity(trades: DataFrame, intervals: DataFrame, key: str, date: str, row_key: str, warn_days: int, fail_days: int) -> DataFrame:
-    """Each trade's distance in days to the nearest interval of its key, as pass, warn or fail; without any interval: missing."""
-    right = intervals.select(key, F.col("valid_from").alias("__a"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("__z"))
-    gap = F.greatest(F.datediff("__a", date), F.datediff(date, "__z"), F.lit(0))
-    near = trades.join(right, key, "left").groupBy(row_key, key, date).agg(F.min(F.when(F.col("__a").isNotNull(), gap)).alias("days"), F.count_if((F.col("__a") <= F.col(date)) & (F.col("__z") >= F.col(date))).alias("covering"))
+    """Each trade's distance in days to the nearest interval of its key and how many cover it, as pass, warn or fail; without a date or any interval: missing."""
+    pieces = sweep.coverage_pieces(intervals, [key])
+    near = sweep.in_pieces(trades.select(row_key, key, date), pieces, [key], date, ["covering", "last_end", "next_start"])
+    at = sweep.day_number(F.col(date).cast("date"))
+    days = F.when(F.col("covering") > 0, 0).otherwise(F.least(F.col("next_start") - at, at - F.col("last_end"))).cast("int")
+    near = near.select(row_key, key, date, days.alias("days"), F.coalesce("covering", F.lit(0)).cast("long").alias("covering"))
     return near.withColumn("status", F.when(F.col("days").isNull(), "missing").when(F.col("days") <= warn_days, "pass").when(F.col("days") <= fail_days, "warn").otherwise("fail"))
 
 

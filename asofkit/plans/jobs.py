@@ -37,7 +37,7 @@ def accounts_to_quarters(rows: DataFrame, ids: DataFrame, names: DataFrame, patt
     return out.select(F.col(f"{key}.{key}").alias(key), F.col(f"{key}.metric").alias("metric"), "fiscal_year", "q1", "q2", "q3", "q4", "mode")
 
 
-def canonical_tables(links: DataFrame, names: DataFrame, daily: DataFrame, row_key: Sequence[str]) -> dict[str, DataFrame]:
+def canonical_tables(links: DataFrame, names: DataFrame, daily: DataFrame) -> dict[str, DataFrame]:
     """links (entity, security, primary) and names (security, name) as intervals: the history where both hold, the entity's last row, and daily rows with their entity."""
     history = intervals.overlap_join(links, names, ["security"], ["entity", "primary"], ["name"])
     latest = dedupe.first_per_key(history, ["entity"], [F.col("valid_from").desc(), "security"]).drop("valid_to")
@@ -45,7 +45,7 @@ def canonical_tables(links: DataFrame, names: DataFrame, daily: DataFrame, row_k
     return {
         "history": history,
         "entities": latest.join(stats, "entity"),
-        "daily": intervals.point_in_interval(daily, links, ["security"], "date", ["entity"], [F.col("entity")], row_key),
+        "daily": intervals.point_in_interval(daily, links, ["security"], "date", ["entity"], [F.col("entity")]),
     }
 
 

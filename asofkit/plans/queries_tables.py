@@ -443,7 +443,7 @@ def canonical_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _intervals(spark, sf_dir).select(F.col("ticker").alias("security"), (F.col("ticker") % 50).alias("entity"), F.lit(True).alias("primary"), "valid_from", "valid_to")
     names = ad.membership_events(spark, sf_dir).groupBy(F.col("ticker").alias("security")).agg(F.concat(F.lit("n"), F.min("event_id").cast("string")).alias("name"), F.min("date").alias("valid_from")).withColumn("valid_to", F.lit(None).cast("date"))
     daily = _orders(spark, sf_dir).select("k", F.col("ticker").alias("security"), "date")
-    out = jobs.canonical_tables(links, names, daily, ["k"])
+    out = jobs.canonical_tables(links, names, daily)
     own = lambda name, d: out[name].select(F.lit(name).alias("relation"), "entity", "security", F.col(d).alias("d"), *([F.col(c) for c in ("name", "k") if c in out[name].columns]))
     return quality.survey([own("history", "valid_from"), own("entities", "valid_from"), own("daily", "date")])
 
