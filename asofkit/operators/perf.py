@@ -67,13 +67,13 @@ def trade_metrics(trades: DataFrame, curve: DataFrame, keys: Sequence[str]) -> D
 
 
 #: Rates among which the sign of the present value must change. Fixed values.
-GRID = (-0.99, -0.9, -0.75, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 50.0)
+GRID = (-0.999, -0.9, -0.7, -0.5, -0.2, -0.05, 0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0)
 
 
 def money_weighted(flows: DataFrame, keys: Sequence[str], amount: str = "amount", date: str = "date", steps: int = 60) -> DataFrame:
     """(keys, mwr): the rate at which the flows' present values cancel, by bisection; null unless flows of both signs bracket a root.
 
-    The flows of one account are one array; accounts run in parallel.
+    The first pair of neighbours in GRID between which the value changes its sign is the bracket; roots beyond both ends of GRID are not found. The flows of one account are one array; accounts run in parallel.
     """
     first = flows.withColumn("__y", F.datediff(date, F.min(date).over(Window.partitionBy(*keys))) / YEAR)
     own = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__y").alias("y"), F.col(amount).alias("a")))).alias("f"))

@@ -131,10 +131,13 @@ def pit_backfill_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.fill_from_earlier(ad.filings(spark, sf_dir), ["ticker", "period_end"], ["revenue", "opex"], ["version"], ["version"])
 
 
-@query(FILINGS, twin="""SELECT ticker, event_date, max(period_end) AS period_end, CASE WHEN count(revenue) = 4 THEN sum(revenue) END AS revenue_ttm, CASE WHEN count(net_income) = 4 THEN sum(net_income) END AS net_income_ttm FROM (
+PANEL_TWIN = """SELECT ticker, event_date, max(period_end) AS period_end, CASE WHEN count(revenue) = 4 THEN sum(revenue) END AS revenue_ttm, CASE WHEN count(net_income) = 4 THEN sum(net_income) END AS net_income_ttm FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker, event_date ORDER BY period_end DESC) AS n FROM (
     SELECT f.ticker, e.event_date, f.period_end, f.revenue, f.net_income FROM (SELECT DISTINCT ticker, available_date AS event_date FROM filings) e JOIN filings f ON f.ticker = e.ticker AND f.available_date <= e.event_date
-    QUALIFY row_number() OVER (PARTITION BY f.ticker, e.event_date, f.period_end ORDER BY f.filing_date DESC, f.version DESC) = 1)) WHERE n <= 4 GROUP BY ticker, event_date""")
+    QUALIFY row_number() OVER (PARTITION BY f.ticker, e.event_date, f.period_end ORDER BY f.filing_date DESC, f.version DESC) = 1)) WHERE n <= 4 GROUP BY ticker, event_date"""
+
+
+@query(FILINGS, twin=PANEL_TWIN)
 def pit_revision_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.revision_panel(ad.filings(spark, sf_dir), ["revenue", "net_income"])
 
@@ -216,7 +219,7 @@ def perf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticker", F.round("total_return", 6).alias("total_return"), F.round("cagr", 5).alias("cagr"), F.round("mdd", 6).alias("mdd"), F.round("vol", 5).alias("vol"), F.round("sharpe", 5).alias("sharpe"))
 
 
-_GRID = ", ".join(map(str, perf.GRID))
+_GRID = "-0.999, -0.9, -0.7, -0.5, -0.2, -0.05, 0.0, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0"
 _PRESENT = "list_sum(list_transform(f, lambda x: x.a * pow(1 + {0}, -x.y)))"
 
 

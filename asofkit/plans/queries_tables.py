@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from ..functions import windows as win
 from ..operators import dedupe, facts, intervals, perf, quality, reconcile, screen
 from ..operators import statements as st
 from ..sources import adapters as ad
-from ..sources import io, shared
+from ..sources import io, shared, store
 from ..streaming import streams
 from . import jobs
 from . import panel as pl
+from .queries_market import PANEL_TWIN
 from .queries_records import _INTERVALS, _intervals
 from .registry import BARS, EVENTS, FILINGS, STATEMENTS, query
 
@@ -138,8 +141,11 @@ def batch_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
     totals, ranks = rows.select("ticker", "k", "value"), rows.select("ticker", "k", F.col("priority").cast("double").alias("value"))
     fresh = rows.where("status = 'P'").select("ticker", "k", (F.col("value") * 2).alias("value"))
-    out = io.replace_keys({"totals": (totals, fresh), "ranks": (ranks, ranks.limit(0))}, ["ticker"])
-    return quality.survey([df.withColumn("relation", F.lit(name)) for name, df in out.items()])
+    kept = store.Store(spark, shared.folder(spark, "replaced"), {"totals": ["ticker"], "ranks": ["ticker"]}, 8)
+    kept.replace(("load", 0), {"totals": totals, "ranks": ranks})
+    for _ in range(2):  # the second time finds the batch in the manifest
+        kept.replace(("batch", 0), {"totals": fresh}, {"ranks": fresh})
+    return quality.survey([kept.read(name).withColumn("relation", F.lit(name)) for name in kept.tables])
 
 
 @query(BARS, twin="SELECT ticker, date, CASE WHEN date = max(date) OVER (PARTITION BY ticker) THEN close * 1000 END AS market_cap FROM bars")
@@ -492,6 +498,38 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.current(spark, f"{folder}/out").select("ticker", "date", "k", "value")
 
 
+@query(FILINGS, twin=PANEL_TWIN)
+def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings arrive in three batches, restatements last; the panel that is kept up for the touched tickers equals the panel of all filings."""
+    folder = shared.folder(spark, "revisions")
+    kept = store.Store(spark, f"{folder}/store", {"filings": ["ticker"], "panel": ["ticker"]}, 8)
+    keep = streams.maintain(kept, "filings", "filings", {"panel": lambda rows: st.revision_panel(rows, ["revenue", "net_income"])})
+    rows = ad.filings(spark, sf_dir).select("ticker", "period_end", "available_date", "filing_date", "version", "revenue", "net_income")
+    for part in ("version = 1", "version IN (2, 3)", "version > 3"):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        streams.load(streams.source(spark, f"{folder}/in", rows.schema), f"{folder}/state", keep)
+    return kept.read("panel")
+
+
+@query("ln AS (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem)", "y AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 24 MONTH)) AS DATE) AS f)", "w AS (SELECT f, least(CAST(f + INTERVAL 24 MONTH AS DATE) - 1, DATE '2001-12-31') AS t FROM y)",
+    twin="SELECT f AS window_start, t AS window_end, 'completed' AS status, CAST(CASE WHEN f = DATE '1997-01-01' THEN 2 ELSE 1 END AS INTEGER) AS attempts, count(d) AS rows, count(d) AS stored FROM w LEFT JOIN ln ON d BETWEEN f AND t GROUP BY f, t")
+def backfill_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in windows of two years; the second window fails when it is first loaded, and a second call runs it alone."""
+    kept, down = store.Store(spark, shared.folder(spark, "backfill"), {"lines": ["date"], "ledger": ["job", "window_start"]}, 8), [True]
+    rows = ad.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"))
+
+    def load(start: dt.date, end: dt.date) -> dict[str, DataFrame]:
+        if start.year == 1997 and down:
+            raise ConnectionError(down.pop())
+        return {"lines": rows.where(F.col("date").between(F.lit(start), F.lit(end)))}
+
+    for _ in range(2):
+        ledger = store.backfill(kept, "lines", dt.date(1995, 1, 1), dt.date(2001, 12, 31), 24, load)
+    days = kept.read("lines").groupBy("date").count()
+    stored = ledger.join(days, F.col("date").between(F.col("window_start"), F.col("window_end")), "left").groupBy("window_start").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("stored"))
+    return ledger.join(stored, "window_start").select("window_start", "window_end", "status", "attempts", "rows", "stored")
+
+
 @query(_ORDERS, twin="SELECT k, status FROM od WHERE status IN ('O', 'P') AND ticker IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def changed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).withColumn("report", F.when(F.col("status") == "F", "notice").otherwise("Annual REPORT"))

@@ -172,16 +172,6 @@ def document_flags(documents: DataFrame, key: str = "ticker") -> DataFrame:
     return documents.select(key, (F.coalesce(F.size("prices.date"), F.lit(0)) > 0).alias("has_prices"), (F.coalesce(F.size("financials.periods"), F.lit(0)) > 0).alias("has_financials"), F.try_element_at(caps, F.lit(-1)).alias("market_cap"), F.greatest(F.coalesce(F.size("financials.periods"), F.lit(0)), F.lit(0)).alias("n_periods"))
 
 
-def replace_keys(tables: Mapping[str, tuple[DataFrame, DataFrame]], keys: Sequence[str]) -> dict[str, DataFrame]:
-    """Per table (old, new): the old rows of the batch's keys go, in every table alike."""
-    batch = None
-    for _, new in tables.values():
-        own = new.select(*keys)
-        batch = own if batch is None else batch.unionByName(own)
-    batch = batch.distinct()
-    return {name: old.join(batch, list(keys), "left_anti").unionByName(new, allowMissingColumns=True) for name, (old, new) in tables.items()}
-
-
 def report_files(frames: Mapping[str, DataFrame], path: str, kind: str = "parquet") -> None:
     """Each frame below its own name."""
     for name, df in frames.items():

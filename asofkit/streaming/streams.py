@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import upsert
+from ..sources.store import Store
 
 
 def source(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
@@ -46,6 +47,24 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return every.join(every.agg(F.max("v").alias("v")), "v", "left_semi").drop("v")
 
 
+def maintain(store: Store, name: str, rows: str, derived: Mapping[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps tables derived from `rows` up to date when rows arrive late.
+
+    The key groups of the batch are read from their buckets, all derived tables are computed anew for them alone, and the
+    rows and what derives from them are replaced in one commit; buckets without a key of the batch keep their files. A batch that is repeated
+    after a failure finds its number in the store and does nothing. derived: for each table a function of all rows of some key
+    groups, which treats each group by itself. Equal rows count once. A new checkpoint counts from 0 again, so it needs a name of its own.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        known = store.rows_of(rows, batch)
+        every = store.staged((batch if known is None else known.unionByName(batch, allowMissingColumns=True)).distinct(), f"{name}-{number}")
+        store.replace((name, number), {rows: every, **{table: f(every) for table, f in derived.items()}})
+        store.dropped(f"{name}-{number}")
+
+    return apply
+
+
 def changed_keys(filings: DataFrame, universe: DataFrame, key: str, keyword: str, column: str = "report") -> DataFrame:
     """Filings of the universe whose report name has a keyword: a stream against a static table."""
     return filings.where(F.contains(F.lower(column), F.lit(keyword.lower()))).join(universe.select(key).distinct(), key, "left_semi")
