@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rules
 from ..functions.columns import ladder, null_sum, reconcile_signed, safe_div
 from ..functions.windows import by
 
@@ -148,13 +150,15 @@ def fiscal_labels(periods: DataFrame, key: str = "ticker", end: str = "period_en
 def canonical_accounts(rows: DataFrame, ids: DataFrame, names: DataFrame, patterns: DataFrame, account_id: str = "account_id", account_name: str = "account_name") -> DataFrame:
     """metric and match_priority: by exact id (0), normalised name (10), or pattern within the name (20); else null and 999.
 
-    The three maps are dimensions: ids(id, metric), names(name, metric), patterns(pattern, metric, rank).
+    ids(id, metric), names(name, metric), patterns(pattern, metric, rank): all three are equi-joined, patterns by an index of their first letters.
+    An empty pattern is in no name.
     """
     norm = F.regexp_replace(F.lower(account_name), r"[\s\p{Punct}]+", "")
-    table = patterns.agg(F.sort_array(F.collect_list(F.struct("rank", "pattern", "metric"))).alias("__p"))
-    out = rows.withColumn("__norm", norm).join(ids.select(F.col("id").alias(account_id), F.col("metric").alias("__id")), account_id, "left")
-    out = out.join(names.select(F.col("name").alias("__norm"), F.col("metric").alias("__name")), "__norm", "left").join(F.broadcast(table))
-    found = F.try_element_at(F.filter("__p", lambda p: F.contains(F.col("__norm"), p["pattern"])), F.lit(1))["metric"]
+    out = rows.withColumn("__norm", norm)
+    first = rules.first_contained(out, "__norm", patterns.select("pattern", F.struct("rank", "pattern", "metric").alias("__p")), "pattern", "__p")
+    out = out.join(ids.select(F.col("id").alias(account_id), F.col("metric").alias("__id")), account_id, "left")
+    out = out.join(names.select(F.col("name").alias("__norm"), F.col("metric").alias("__name")), "__norm", "left").join(first, "__norm", "left")
+    found = F.col("__p.metric")
     return out.select(*rows.columns, F.coalesce("__id", "__name", found).alias("metric"), ladder([(F.col("__id").isNotNull(), 0), (F.col("__name").isNotNull(), 10), (found.isNotNull(), 20)], 999).alias("match_priority"))
 
 
@@ -170,14 +174,30 @@ def unit_multiplier(unit: Column | str) -> Column:
 
 
 def best_filing(rows: DataFrame, filings: DataFrame, key: str, row_key: str) -> DataFrame:
-    """Each row's filing by accession, report code, period end, name and month text: earlier criteria outweigh all later ones, then the latest filing."""
-    f = filings.select(F.col(key).alias("__k"), *(F.col(c).alias(f"f_{c}") for c in ("accession", "report_code", "period_end", "name", "filing_date")))
-    both = rows.join(f, F.col(key) == F.col("__k"), "left")
-    hit = lambda c, bit: F.when(c, bit).otherwise(0)
-    month = F.date_format("period_end", "yyyy.MM")
-    score = hit(F.col("f_accession") == F.col("accession"), 16) + hit(F.col("f_report_code") == F.col("report_code"), 8) + hit(F.col("f_period_end") == F.col("period_end"), 4) + hit(F.contains("f_name", F.lit("report")), 2) + hit(F.contains("f_name", month), 1)
-    best = both.groupBy(row_key).agg(F.max_by(F.struct("f_accession", "f_filing_date"), F.struct(score, "f_filing_date", "f_accession")).alias("b"))
-    return rows.join(best, row_key, "left").select(*rows.columns, F.col("b.f_accession").alias("filing"), F.col("b.f_filing_date").alias("filing_date"))
+    """Each row's filing by accession, report code, period end, name and month text: earlier criteria outweigh all later ones, then the latest filing.
+
+    A cascade of keyed lookups in one join: the filings are indexed by every subset of the first three criteria, with and
+    without each month in their name, and only the latest of an entry is kept; a row asks for the entries of its own values,
+    and the answer to the strictest question stands. No row meets the filings of its key one by one.
+    """
+    criteria = ("accession", "report_code", "period_end")
+
+    def entries() -> Column:
+        out = []
+        for n in range(8):
+            own = [F.col(c) for bit, c in zip((4, 2, 1), criteria, strict=True) if n & bit]
+            whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in own), F.lit(True))
+            out.append(F.when(whole, F.struct(F.lit(n).alias("level"), F.concat_ws("\x01", F.lit(n).cast("string"), *(c.cast("string") for c in own)).alias("entry"))))
+        return F.explode(F.array_compact(F.array(*out)))
+
+    found = F.coalesce(F.regexp_extract_all("name", F.lit(r"(?=(\d{4}\.\d{2}))"), F.lit(1)), F.array().cast("array<string>"))
+    f = filings.select(F.col(key).alias("__k"), *criteria, F.coalesce(F.contains("name", F.lit("report")).cast("int"), F.lit(0)).alias("__report"), F.struct("filing_date", F.col("accession").alias("filing")).alias("__f"), F.explode(F.array_union(F.array(F.lit("")), found)).alias("__month"))
+    index = f.withColumn("__e", entries()).groupBy("__k", F.col("__e.entry").alias("__entry"), "__month", "__report").agg(F.max("__f").alias("__f"))
+    months = F.explode(F.array_compact(F.array(F.lit(""), F.date_format("period_end", "yyyy.MM"))))
+    asked = rows.select(F.col(row_key).alias("__row"), F.col(key).alias("__k"), *criteria, months.alias("__month")).withColumn("__e", entries())
+    met = asked.select("__row", "__k", F.col("__e.entry").alias("__entry"), "__month", F.col("__e.level").alias("__level")).join(index, ["__k", "__entry", "__month"])
+    best = met.groupBy(F.col("__row").alias(row_key)).agg(F.max(F.struct("__level", "__report", (F.col("__month") != "").alias("m"), "__f")).alias("b"))
+    return rows.join(best, row_key, "left").select(*rows.columns, F.col("b.__f.filing").alias("filing"), F.col("b.__f.filing_date").alias("filing_date"))
 
 
 def identifier_links(companies: DataFrame, securities: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import breach, comparison_status, pct_diff, safe_div, signed
-from ..functions.windows import by
+from ..functions.windows import by, last_value
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], shared: Sequence[str] = (), suffix: str = "_r") -> DataFrame:
@@ -80,27 +81,33 @@ def sequence_aligned(left: DataFrame, right: DataFrame, key: str, date: str, tol
     return tried.groupBy(key).agg(F.max_by("offset", order).alias("offset"), F.max("pairs").alias("pairs"))
 
 
-def nearest_value(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], dates: Sequence[str], lookup_date: str, value: str, days: int, row_key: Sequence[str]) -> DataFrame:
-    """The value on the first candidate date that has one, else the nearest within so many days; the earlier date wins ties."""
-    right = lookup.select(*keys, F.col(lookup_date).alias("__d"), F.col(value).alias("__v"))
-    gap = F.abs(F.datediff("__d", dates[0]))
-    exact = F.coalesce(*(F.when(F.col("__d") == F.col(c), k) for k, c in enumerate(dates)), F.lit(len(dates)))
-    near = rows.select(*row_key, *keys, *dates).join(right, list(keys)).where((gap <= days) | (exact < len(dates)))
-    best = near.groupBy(*row_key).agg(F.min_by("__v", F.struct(exact, gap, "__d")).alias(value))
-    return rows.join(best, list(row_key), "left")
+def nearest_value(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], dates: Sequence[str], lookup_date: str, value: str, days: int) -> DataFrame:
+    """The value on the first candidate date that has one, else the one nearest to the first date within so many days; the earlier date wins ties.
 
-
-def rule_lookup(rows: DataFrame, rules: DataFrame, code: str, text: str, fallback: str) -> DataFrame:
-    """The rule of least priority whose exact code, range of codes, or any keyword fits; else the fallback.
-
-    rules: (priority, code, low, high, keywords separated by |, label). The rule table is a dimension of bounded size.
+    Candidate dates are looked up by equi-joins. The nearest comes from one union, read forwards and backwards within bins of
+    `days` days, to which each looked-up date comes with its neighbours; so a hot key has many bins. Of several values of one
+    key and date the least counts. Rows may repeat; without key or date they find nothing.
     """
-    r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
-    table = r.agg(F.sort_array(F.collect_list(F.struct("r_priority", "r_code", "r_low", "r_high", "r_keywords", "r_label"))).alias("rules"))
-    hit = lambda x: F.coalesce(x["r_code"] == F.col(code), F.lit(False)) | F.coalesce(F.col(code).between(x["r_low"], x["r_high"]), F.lit(False)) | F.coalesce(F.exists(F.split(x["r_keywords"], r"\|"), lambda k: (F.length(k) > 0) & F.contains(F.lower(F.col(text)), F.lower(k))), F.lit(False))
-    both = rows.join(F.broadcast(table))
-    first = F.try_element_at(F.filter("rules", hit), F.lit(1))
-    return both.select(*rows.columns, F.coalesce(first["r_label"], F.lit(fallback)).alias("label"))
+    width = max(days, 1)
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*keys, lookup_date)))
+    known = lookup.where(whole).groupBy(*keys, F.col(lookup_date).alias("__d")).agg(F.struct(F.min(value).alias("v")).alias("__v"))
+    found = rows
+    for k, c in enumerate(dates):
+        own = known.select(*(F.col(x).alias(f"__k_{x}") for x in keys), F.col("__d").alias("__on"), F.col("__v").alias(f"__v{k}"))
+        found = found.join(own, [F.col(x) == F.col(f"__k_{x}") for x in keys] + [F.col(c) == F.col("__on")], "left").drop("__on", *(f"__k_{x}" for x in keys))
+    bin_of = F.floor(F.unix_date("__at") / width)
+    asked = found.withColumns({"__at": F.col(dates[0]).cast("date"), "__side": F.lit(1)}).withColumn("__bin", bin_of)
+    spread = known.select(*keys, F.col("__d").alias("__at"), F.lit(0).alias("__side"), F.struct(F.col("__d").alias("d"), F.col("__v").alias("v")).alias("__near")).withColumn("__bin", F.explode(F.array(*(bin_of + k for k in (-1, 0, 1)))))
+    both = asked.unionByName(spread, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "__bin")
+    before = last_value("__near", w.orderBy("__at", "__side"))
+    after = last_value("__near", w.orderBy(F.col("__at").desc(), "__side"))
+    both = both.withColumns({"__before": before, "__after": after}).where("__side = 1")
+    near = lambda side: F.when(F.abs(F.datediff(f"{side}.d", "__at")) <= days, F.col(side))
+    both = both.withColumns({"__before": near("__before"), "__after": near("__after")})
+    nearer = F.coalesce(F.datediff("__at", "__before.d") <= F.datediff("__after.d", "__at"), F.col("__before").isNotNull())
+    best = F.coalesce(*(F.col(f"__v{k}") for k in range(len(dates))), F.when(nearer, F.col("__before.v")).otherwise(F.col("__after.v")))
+    return both.select(*rows.columns, best["v"].alias(value))
 
 
 def consensus(values: DataFrame, keys: Sequence[str], source: str, value: str, near: float = 0.05) -> DataFrame:

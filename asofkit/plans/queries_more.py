@@ -173,7 +173,7 @@ def trade_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.statements(spark, sf_dir).select("ticker", "period_end", "filing_date")
     lookup = ad.statements(spark, sf_dir).select("ticker", F.col("period_end").alias("d"), F.struct(F.col("period_end").alias("found"), F.col("revenue").alias("value")).alias("v"))
-    out = reconcile.nearest_value(rows, lookup, ["ticker"], ["filing_date"], "d", "v", 60, ["period_end"] + ["ticker"])
+    out = reconcile.nearest_value(rows, lookup, ["ticker"], ["filing_date"], "d", "v", 60)
     return out.select("ticker", "period_end", F.col("v.found").alias("found"), F.col("v.value").alias("value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..functions import windows as win
-from ..operators import dedupe, intervals, quality, reconcile
+from ..operators import dedupe, intervals, quality, reconcile, rules
 from ..operators import statements as st
 from ..sources import adapters as ad
 from ..sources import io, shared
@@ -156,8 +156,8 @@ _RULES = [(1, 7, None, None, "", "seven"), (2, None, 10, 15, "", "ten_to_fifteen
 
 @query(twin="""SELECT p_partkey, CASE WHEN p_size = 7 THEN 'seven' WHEN p_size BETWEEN 10 AND 15 THEN 'ten_to_fifteen' WHEN lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%bolt%' THEN 'hardware' WHEN p_size BETWEEN 30 AND 40 THEN 'large' ELSE 'other' END AS label FROM part""")
 def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(_RULES, "priority int, code int, low int, high int, keywords string, label string")
-    return reconcile.rule_lookup(ad.table(spark, sf_dir, "part"), rules, "p_size", "p_name", "other").select("p_partkey", "label")
+    ordered = spark.createDataFrame(_RULES, "priority int, code int, low int, high int, keywords string, label string")
+    return rules.lookup(ad.table(spark, sf_dir, "part"), ordered, "p_size", "p_name", "other").select("p_partkey", "label")
 
 
 _OTHER = """src2 AS (SELECT ticker, period_end, fiscal_year, fiscal_quarter, metric, CASE WHEN k = 50 THEN -value WHEN k % 10 = 3 THEN value * 1.1 ELSE value END AS value FROM (
