@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,21 +190,47 @@ def fiscal_gaps(df: DataFrame, key: str = "ticker") -> DataFrame:
 def revision_panel(filings: DataFrame, metrics: Sequence[str], key: str = "ticker", quarters: int = 4) -> DataFrame:
     """What was known at each availability date: the newest filing of every period, TTM sums over the last four periods, for the latest period.
 
-    A later filing replaces an earlier one from its own date on, never before. Each filing stands until a newer one of its period, or until four
-    later periods are known, so every event meets its last four filings and no others.
+    A later filing replaces an earlier one from its own date on, never before. One shuffle and sort by key; then an ordered pass
+    carries the newest filing of the last four periods and gives a row at each date, so a key's history is never held, joined or
+    collected. Filings without key, availability date or period go; metrics are doubles.
     """
-    newest = filings.groupBy(key, "available_date", "period_end").agg(F.max_by(F.struct(*metrics), F.struct("filing_date", "version")).alias("r"), F.max("filing_date").alias("filed"))
-    own = Window.partitionBy(key, "period_end").orderBy("available_date")
-    order = F.struct("filed", "available_date")
-    before = F.max(order).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    rows = newest.withColumns({"__b": before, "__first": F.min("available_date").over(Window.partitionBy(key, "period_end"))}).where(F.col("__b").isNull() | (order > F.col("__b")))
-    # a date per period: when the fourth later one was first known
-    later = Window.partitionBy(key).orderBy(F.col("period_end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    periods = rows.select(key, "period_end", "__first").distinct().withColumn("__cut", F.try_element_at(F.sort_array(F.collect_list("__first").over(later)), F.lit(quarters))).drop("__first")
-    rows = rows.join(periods, [key, "period_end"]).withColumn("__until", F.least(F.lead("available_date").over(own), "__cut"))
-    events = filings.select(F.col(key).alias("k"), F.col("available_date").alias("event_date")).distinct()
-    last = events.join(rows, (F.col("k") == F.col(key)) & (F.col("available_date") <= F.col("event_date")) & (F.col("__until").isNull() | (F.col("event_date") < F.col("__until"))))
-    return last.groupBy(key, "event_date").agg(F.max("period_end").alias("period_end"), *(F.when(F.count(f"r.{m}") == quarters, F.sum(f"r.{m}")).alias(f"{m}_ttm") for m in metrics))
+    order = [key, "available_date", "period_end", F.col("filing_date").asc_nulls_first(), F.col("version").asc_nulls_first()]
+    rows = filings.where(F.col(key).isNotNull() & F.col("available_date").isNotNull() & F.col("period_end").isNotNull())
+    rows = rows.select(key, "available_date", "period_end", "filing_date", "version", *(F.col(m).cast("double").alias(m) for m in metrics)).repartition(key).sortWithinPartitions(*order).drop("version")
+    names = [key, "event_date", "period_end", *(f"{m}_ttm" for m in metrics)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+
+        def event() -> tuple:
+            held = [known[p][1] for p in sorted(known)]
+            sums = (sum(v) if len(held) == quarters and None not in v else None for v in zip(*held, strict=True))
+            return (*now, max(known), *sums)
+
+        def batch(found: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+            types = [kinds.field(key).type, pa.date32(), pa.date32(), *[pa.float64()] * len(metrics)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
+
+        kinds = None
+        for part in batches:
+            found, kinds = [], part.schema
+            for own, at, period, filed, *values in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if now != (own, at):
+                    if now:
+                        found.append(event())
+                        known = known if now[0] == own else {}
+                    now = (own, at)
+                rank = (filed is not None, filed, at)
+                if period not in known or rank >= known[period][0]:  # of one date and filing date the newest version comes last
+                    known[period] = (rank, values)
+                if len(known) > quarters:
+                    del known[min(known)]
+            yield batch(found, kinds)
+        if now:
+            yield batch([event()], kinds)
+
+    kind = dict(rows.dtypes)[key]
+    return rows.mapInArrow(run, f"`{key}` {kind}, event_date date, period_end date, " + ", ".join(f"`{m}_ttm` double" for m in metrics))
 
 
 def derived_factors(df: DataFrame, flows: Sequence[str], stocks: Sequence[str], ratios: Mapping[str, Column], key: str = "ticker") -> DataFrame:

@@ -67,3 +67,29 @@ def test_merge_keeps_null_keys_apart(spark, rows):
 def test_latest_prefers_a_null_date(spark, rows):
     df = spark.createDataFrame([("a", day(0), day(9), 1), ("a", day(0), None, 2)], "ticker string, available_date date, filing_date date, n int")
     assert [r["n"] for r in dedupe.latest_as_of(df, "ticker", F.lit(day(50)), order=("filing_date",)).collect()] == [2]
+
+
+def test_revisions_against_what_was_known(spark):
+    """Random filings, late ones for periods long past, equal dates, missing values and dates; one key with most of the rows."""
+    import random
+
+    r = random.Random(5)
+    filings = []
+    for n in range(900):
+        q = r.randrange(14)
+        filed = r.choice([None, day(91 * q + r.randrange(10, 900))])
+        filings.append((r.choice("aaaaaaabc"), day(91 * q), r.choice([filed, day(91 * q + r.randrange(10, 900))]), filed, n, r.choice([None, float(r.randrange(100))] + [float(n)] * 6)))
+    filings += [(None, day(0), day(9), day(9), 1, 1.0), ("a", None, day(9), day(9), 1, 1.0), ("a", day(0), None, day(9), 1, 1.0)]
+    df = spark.createDataFrame(filings, "ticker string, period_end date, available_date date, filing_date date, version int, x double")
+    good = [f for f in filings if None not in f[:3]]
+    expected = []
+    for t, event in sorted({(f[0], f[2]) for f in good}):
+        held = {}
+        for f in sorted((f for f in good if f[0] == t and f[2] <= event), key=lambda f: (f[2], f[1], f[3] is not None, f[3] or day(0), f[4])):
+            order = (f[3] is not None, f[3] or day(0), f[2])
+            if f[1] not in held or order >= held[f[1]][0]:
+                held[f[1]] = (order, f[5])
+        last = [held[p][1] for p in sorted(held)[-4:]]
+        expected.append((t, event, max(held), sum(last) if len(last) == 4 and None not in last else None))
+    assert sorted(tuple(x) for x in st.revision_panel(df, ["x"]).collect()) == expected
+    assert st.revision_panel(df.limit(0), ["x"]).count() == 0
