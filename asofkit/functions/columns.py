@@ -221,8 +221,8 @@ def common_stock(ticker: Column | str, name: Column | str) -> Column:
 
 
 def valuation_ratios(price: Column | str) -> dict[str, Column]:
-    """Per-share and market ratios of columns named as in the statements; denominators must be above 0."""
-    price, cap = _c(price), _c(price) * F.col("shares")
+    """Market ratios and values per share of columns named as in the statements; denominators must be above 0. A missing debt or cash counts as 0."""
+    price, cap, fcf = _c(price), _c(price) * F.col("shares"), F.col("cfo") - F.col("capex")
     ev = cap + F.coalesce(F.col("debt"), F.lit(0.0)) - F.coalesce(F.col("cash"), F.lit(0.0))
     return {
         "per": safe_div(cap, "net_income", True),
@@ -230,14 +230,27 @@ def valuation_ratios(price: Column | str) -> dict[str, Column]:
         "psr": safe_div(cap, "revenue", True),
         "pcr": safe_div(cap, "cfo", True),
         "por": safe_div(cap, "operating_income", True),
+        "pfcfr": safe_div(cap, fcf, True),
+        "ev": ev,
         "ev_ebit": safe_div(ev, "operating_income", True),
-        "fcf_yield": safe_div(F.col("cfo") - F.col("capex"), cap, True),
+        "ev_ebitda": safe_div(ev, "ebitda", True),
+        "fcf_yield": safe_div(fcf, cap, True),
         "earnings_yield": safe_div("net_income", cap, True),
+        "dividend_yield": safe_div("dividends", cap, True),
+        "eps": safe_div("net_income", "shares", True),
         "bps": safe_div("equity", "shares", True),
         "sps": safe_div("revenue", "shares", True),
+        "ops": safe_div("operating_income", "shares", True),
+        "oofps": safe_div("cfo", "shares", True),
+        "fcfps": safe_div(fcf, "shares", True),
     }
 
 
+def peg(per: Column | str, growth: Column | str) -> Column:
+    """Price to earnings over their growth, where they grow."""
+    return _c(per) / F.when(_c(growth) > 0, _c(growth))
+
+
 def quality_ratios() -> dict[str, Column]:
     gross = F.col("revenue") - F.col("cogs")
     return {

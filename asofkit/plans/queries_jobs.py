@@ -59,10 +59,10 @@ def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.merged_blocks(a, b, ["ticker", "period_end"])
 
 
-@query("l AS (SELECT p_partkey, p_size, p_name AS a, replace(lower(p_name), ' ', '') AS k FROM part)", "r AS (SELECT DISTINCT p_size, p_name AS n, replace(lower(p_name), ' ', '') AS q FROM part WHERE p_partkey % 2 = 0)",
+@query("l AS (SELECT p_partkey, p_size, p_name AS a, replace(lower(p_name), ' ', '') AS k FROM part)", "r AS (SELECT DISTINCT p_size, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS n, replace(lower(p_name), ' ', '') AS q FROM part)",
     twin="""SELECT l.p_partkey, r.n AS match FROM l LEFT JOIN r ON r.p_size = l.p_size AND (l.a = r.n OR l.k = r.q OR (length(l.k) >= 3 AND length(r.q) >= 3 AND (contains(l.k, r.q) OR contains(r.q, l.k))))
  QUALIFY row_number() OVER (PARTITION BY l.p_partkey ORDER BY CASE WHEN l.a = r.n THEN 0 WHEN l.k = r.q THEN 1 ELSE 2 END, r.n) = 1""")
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = ad.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("period"), F.col("p_name").alias("name"))
-    right = part.where("p_partkey % 2 = 0").select("period", "name", F.lit(1.0).alias("v")).distinct()
+    right = part.select("period", F.when(F.col("p_partkey") % 2 == 0, F.col("name")).otherwise(F.upper("name")).alias("name"), F.lit(1.0).alias("v")).distinct()
     return reconcile.name_match(part, right, "period", "name", "v", ["p_partkey"]).select("p_partkey", "match")

@@ -255,6 +255,24 @@ def valuation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_panel(spark, sf_dir, *names).select("ticker", "date", *names))
 
 
+_PRICED = """vr AS (SELECT s.* REPLACE (CASE WHEN fiscal_quarter = 3 THEN NULL ELSE debt END AS debt, CASE WHEN s.ticker % 11 = 0 THEN 0 ELSE shares END AS shares), operating_income + n_lines * 50 AS ebitda, interest AS dividends, b.close FROM stmts s ASOF LEFT JOIN bars b ON b.ticker = s.ticker AND s.period_end >= b.date)"""
+
+
+@query(STATEMENTS, BARS, _PRICED, "x AS (SELECT *, close * shares AS cap, close * shares + coalesce(debt, 0) - coalesce(cash, 0) AS ev FROM vr)",
+    "y AS (SELECT ticker, period_end, CASE WHEN net_income > 0 THEN cap / (net_income) END AS per, CASE WHEN equity > 0 THEN cap / (equity) END AS pbr, CASE WHEN revenue > 0 THEN cap / (revenue) END AS psr, CASE WHEN cfo > 0 THEN cap / (cfo) END AS pcr, CASE WHEN operating_income > 0 THEN cap / (operating_income) END AS por, CASE WHEN cfo - capex > 0 THEN cap / (cfo - capex) END AS pfcfr, ev AS ev, CASE WHEN operating_income > 0 THEN ev / (operating_income) END AS ev_ebit, CASE WHEN ebitda > 0 THEN ev / (ebitda) END AS ev_ebitda, CASE WHEN cap > 0 THEN (cfo - capex) / (cap) END AS fcf_yield, CASE WHEN cap > 0 THEN net_income / (cap) END AS earnings_yield, CASE WHEN cap > 0 THEN dividends / (cap) END AS dividend_yield, CASE WHEN shares > 0 THEN net_income / (shares) END AS eps, CASE WHEN shares > 0 THEN equity / (shares) END AS bps, CASE WHEN shares > 0 THEN revenue / (shares) END AS sps, CASE WHEN shares > 0 THEN operating_income / (shares) END AS ops, CASE WHEN shares > 0 THEN cfo / (shares) END AS oofps, CASE WHEN shares > 0 THEN (cfo - capex) / (shares) END AS fcfps, eps_raw FROM (SELECT *, CASE WHEN shares > 0 THEN net_income / shares END AS eps_raw FROM x))",
+    twin="SELECT * EXCLUDE (eps_raw, b, g), per / CASE WHEN g > 0 THEN g END AS peg FROM (SELECT *, CASE WHEN b > 0 THEN eps_raw / b - 1 END AS g FROM (SELECT *, lag(eps_raw, 4) OVER (PARTITION BY ticker ORDER BY period_end) AS b FROM y))")
+def per_share_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All market ratios and values per share at each period's end, with missing debts and tickers without shares."""
+    rows = ad.statements(spark, sf_dir).withColumns({
+        "debt": F.when(F.col("fiscal_quarter") != 3, F.col("debt")), "shares": F.when(F.col("ticker") % 11 == 0, 0.0).otherwise(F.col("shares")), "ebitda": F.col("operating_income") + F.col("n_lines") * 50, "dividends": F.col("interest"),
+    })
+    priced = asof.at_period_end(rows, ad.prices(spark, sf_dir), ["ticker"], "period_end", "date", ["adj_close", "close"], "price")
+    out = priced.select("ticker", "period_end", *(c.alias(n) for n, c in col.valuation_ratios("price").items()))
+    before = F.lag("eps", 4).over(win.by("ticker", order="period_end"))
+    growth = F.when(before > 0, F.col("eps") / before - 1)
+    return out.withColumn("peg", col.peg("per", growth))
+
+
 @query(STATEMENTS, twin="""SELECT ticker, period_end, CASE WHEN equity > 0 THEN round(net_income / equity, 6) END AS roe, round(net_income / assets, 6) AS roa, round(operating_income * 0.79 / (equity + debt), 6) AS roic, round((revenue - cogs) / assets, 6) AS gp_a,
  round((revenue - cogs) / revenue, 6) AS gross_margin, round(operating_income / revenue, 6) AS operating_margin, round(net_income / revenue, 6) AS net_margin, round((net_income - cfo) / assets, 6) AS accruals, CASE WHEN equity > 0 THEN round(debt / equity, 6) END AS leverage, CASE WHEN net_income > 0 THEN round(cfo / net_income, 6) END AS ccr FROM stmts""")
 def quality_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,12 +248,12 @@ def fiscal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OLD = "old_o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0)"
-_NEW = "new_o AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 2 = 0)"
+_NEW = "new_o AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)"
 
 
 def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    return rows.where("k % 3 <> 0"), rows.where("k % 2 = 0").withColumn("v", F.col("v") * 2)
+    return rows.where("k % 3 <> 0"), rows.where("k % 2 = 0 OR k % 3 = 0").withColumn("v", F.col("v") * 2)
 
 
 @query(_OLD, _NEW, twin="SELECT * FROM old_o WHERE k NOT IN (SELECT k FROM new_o) UNION ALL SELECT * FROM new_o")

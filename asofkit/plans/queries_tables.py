@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..functions import windows as win
-from ..operators import dedupe, facts, intervals, perf, quality, reconcile, screen
+from ..operators import coverage, dedupe, facts, intervals, perf, quality, reconcile, screen
 from ..operators import statements as st
 from ..sources import adapters as ad
 from ..sources import io, shared, store
@@ -218,11 +218,11 @@ def filing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.drop("accepted")
 
 
-@query(FILINGS, "l AS (SELECT ticker, period_end, CASE WHEN fiscal_quarter <> 2 THEN filing_date END AS filing_date, revenue FROM filings WHERE version = 1)", "r AS (SELECT ticker, period_end, CASE WHEN fiscal_quarter <> 2 THEN filing_date END AS filing_date, net_income AS extra, version FROM filings WHERE version <= 2)",
+@query(FILINGS, "l AS (SELECT ticker, period_end, CASE WHEN fiscal_quarter <> 2 THEN filing_date END AS filing_date, revenue FROM filings WHERE version = 1)", "r AS (SELECT ticker, period_end, CASE WHEN fiscal_quarter <> 2 THEN filing_date END AS filing_date, net_income AS extra, version FROM filings)",
     twin="SELECT l.*, r.extra FROM l LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ticker, period_end, filing_date ORDER BY version DESC) = 1) r ON r.ticker = l.ticker AND r.period_end = l.period_end AND r.filing_date IS NOT DISTINCT FROM l.filing_date")
 def null_safe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.filings(spark, sf_dir).withColumn("filing_date", F.when(F.col("fiscal_quarter") != 2, F.col("filing_date")))
-    right = rows.where("version <= 2").select("ticker", "period_end", "filing_date", F.col("net_income").alias("extra"), "version")
+    right = rows.select("ticker", "period_end", "filing_date", F.col("net_income").alias("extra"), "version")
     return dedupe.left_null_safe(rows.where("version = 1").select("ticker", "period_end", "filing_date", "revenue"), right, ["ticker", "period_end"], ["filing_date"], ["extra"], [F.col("version").desc()])
 
 
@@ -367,10 +367,10 @@ def missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing_rows(rows.where("status <> 'F'"), rows.where("status <> 'O'"), ["ticker", "k"])
 
 
-@query(_ORDERS, "s AS (SELECT ticker, CASE WHEN status = 'P' THEN NULL ELSE value END AS v FROM od WHERE status <> 'F')", "a AS (SELECT ticker, count(*) AS n, max(CAST(v IS NULL AS INTEGER)) AS z FROM s GROUP BY ticker)", "b AS (SELECT ticker, count(*) AS n FROM od WHERE priority > 1 AND status <> 'F' GROUP BY ticker)",
+@query(_ORDERS, "s AS (SELECT ticker, CASE WHEN status = 'P' THEN NULL ELSE value END AS v FROM od)", "a AS (SELECT ticker, count(*) AS n, max(CAST(v IS NULL AS INTEGER)) AS z FROM s GROUP BY ticker)", "b AS (SELECT ticker, count(*) AS n FROM od WHERE priority > 1 GROUP BY ticker)",
     twin="SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.n, 0) AS n_snapshot, coalesce(z, 0) AS columns_with_nulls, coalesce(b.n, 0) AS n_log, 0 AS missing_columns, CASE WHEN coalesce(a.n, 0) <> coalesce(b.n, 0) THEN 'fail' WHEN coalesce(z, 0) > 0 THEN 'warn' ELSE 'pass' END AS status FROM a FULL JOIN b ON b.ticker = a.ticker")
 def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).where("status <> 'F'")
+    rows = _orders(spark, sf_dir)
     snapshots = rows.select("ticker", F.when(F.col("status") != "P", F.col("value")).alias("v"))
     return quality.snapshot_audit(snapshots, rows.where("priority > 1"), ["ticker"], ["ticker", "v"])
 
@@ -484,6 +484,81 @@ def metric_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.availability_map(pl.with_metrics(ad.prices(spark, sf_dir), names), names)
 
 
+# coverage of issuers
+
+_SURVEYED = """fr AS (SELECT ticker, period_end, fiscal_quarter, metric, value, 'filing' AS family, CASE WHEN fiscal_quarter % 2 = 0 AND ticker % 3 > 0 THEN 'html' ELSE 'xbrl' END AS source, CASE WHEN ticker % 4 = 0 THEN 'business' WHEN (ticker + fiscal_quarter) % 4 = 0 THEN 'geography' WHEN (ticker + fiscal_quarter) % 4 = 1 THEN 'product' WHEN (ticker + fiscal_quarter) % 4 = 2 THEN 'business' ELSE 'legal' END AS segment_type
+  FROM stmts UNPIVOT (value FOR metric IN (revenue, operating_income)) WHERE ticker % 5 < 4 AND (metric = 'revenue' OR ticker % 2 = 0) AND (ticker % 5 < 3 OR fiscal_year = 1996 AND fiscal_quarter <= 1 + ticker % 4)),
+cr AS (SELECT ticker, period_end, fiscal_quarter, metric, value * CASE WHEN fiscal_quarter = 1 THEN 1.015 WHEN fiscal_quarter = 2 THEN 1.5 ELSE 1 END AS value, 'companyfacts' AS family, 'api' AS source, 'business' AS segment_type FROM stmts UNPIVOT (value FOR metric IN (revenue)) WHERE ticker % 6 = 0),
+iss AS (SELECT s_suppkey AS ticker FROM supplier), pr AS (SELECT * FROM fr UNION ALL SELECT * FROM cr),
+ct AS (SELECT ticker, count_if(family = 'filing') AS f, count_if(family = 'companyfacts') AS c, count(DISTINCT CASE WHEN family = 'filing' THEN period_end END) AS fp, count(DISTINCT CASE WHEN family = 'companyfacts' THEN period_end END) AS cp, count(DISTINCT CASE WHEN family = 'filing' AND metric = 'revenue' THEN period_end END) AS rp, count(DISTINCT CASE WHEN family = 'filing' AND metric = 'operating_income' THEN period_end END) AS op,
+  count(DISTINCT CASE WHEN family = 'filing' THEN source END) AS src, count_if(family = 'filing' AND segment_type = 'business') AS b, count_if(family = 'filing' AND segment_type = 'geography') AS g, count_if(family = 'filing' AND segment_type = 'product') AS p, count_if(family = 'filing' AND segment_type = 'legal') AS o FROM pr GROUP BY ticker),
+ov AS (SELECT ticker, count(*) AS ov FROM (SELECT DISTINCT ticker, period_end FROM fr INTERSECT SELECT DISTINCT ticker, period_end FROM cr) GROUP BY ticker),
+c0 AS (SELECT ticker, coalesce(f, 0) AS f, coalesce(c, 0) AS c, coalesce(fp, 0) AS fp, coalesce(cp, 0) AS cp, coalesce(ov, 0) AS ov, coalesce(rp, 0) AS rp, coalesce(op, 0) AS op, coalesce(src, 0) AS src, coalesce(b, 0) AS b, coalesce(g, 0) AS g, coalesce(p, 0) AS p, coalesce(o, 0) AS o FROM iss LEFT JOIN ct USING (ticker) LEFT JOIN ov USING (ticker)),
+c1 AS (SELECT *, CASE WHEN c > 0 AND f > 0 AND ov > 0 THEN 'companyfacts_overlap' WHEN f > 0 AND c = 0 AND fp >= 4 THEN 'filing_only' WHEN f > 0 AND c = 0 AND fp >= 2 THEN 'filing_only_partial' ELSE 'segment_source_poor' END AS source_cluster,
+  CASE WHEN rp >= 4 AND op >= 2 THEN 'revenue_and_operating_income' WHEN rp >= 2 AND op = 0 THEN 'revenue_only' WHEN rp >= 2 THEN 'revenue_primary' ELSE 'metric_sparse' END AS metric_cluster,
+  CASE WHEN b + g + p + o = 0 THEN 'none' WHEN greatest(b, g, p, o) / (b + g + p + o) < 0.6 THEN 'mixed' WHEN b = greatest(b, g, p, o) THEN 'business_dominant' WHEN g = greatest(b, g, p, o) THEN 'geography_dominant' WHEN p = greatest(b, g, p, o) THEN 'product_dominant' ELSE 'other_dominant' END AS segment_profile FROM c0),
+c2 AS (SELECT *, CASE WHEN source_cluster = 'filing_only' AND metric_cluster = 'revenue_only' THEN 'filing_only_revenue_only' WHEN source_cluster = 'filing_only' THEN 'filing_only_full' ELSE source_cluster END AS issuer_cluster, CASE ticker % 7 WHEN 0 THEN 'FileNotFoundError: x' WHEN 1 THEN 'instance_fetch_or_parse_failed' WHEN 2 THEN 'ok' WHEN 3 THEN 'index_fetch_failed' WHEN 4 THEN 'segment_not_found' END AS why FROM c1),
+c3 AS (SELECT *, CASE WHEN issuer_cluster = 'segment_source_poor' AND f = 0 THEN CASE ticker % 7 WHEN 0 THEN 'filing_cache_missing' WHEN 1 THEN 'filing_present_but_xbrl_instance_missing' WHEN 2 THEN 'html_only_low_confidence_candidate' WHEN 3 THEN 'filing_cache_incomplete' WHEN 4 THEN 'filing_present_but_segment_not_disclosed' WHEN 5 THEN 'parser_candidate_but_not_materialized' ELSE 'source_unavailable' END END AS source_poor_reason FROM c2),
+c4 AS (SELECT *, CASE WHEN source_poor_reason = 'parser_candidate_but_not_materialized' THEN 'filings_present_without_segment_rows' WHEN source_poor_reason = 'source_unavailable' THEN 'no_filing_meta_or_segment_logs' WHEN source_poor_reason IS NOT NULL THEN why END AS poor_reason_detail, coalesce(source_poor_reason = 'parser_candidate_but_not_materialized', FALSE) AS parser_candidate,
+  list_filter([CASE WHEN c = 0 AND f > 0 THEN 'companyfacts_missing_filing_present' END, CASE WHEN ov = 0 AND c > 0 AND f > 0 THEN 'no_companyfacts_filing_overlap' END, CASE WHEN rp > 0 AND op = 0 THEN 'operating_income_sparse' END, CASE WHEN src <= 1 AND f > 0 THEN 'single_filing_source' END, CASE WHEN segment_profile LIKE '%\\_dominant' ESCAPE '\\' THEN 'segment_type_' || segment_profile END, 'source_poor_' || source_poor_reason, CASE WHEN c = 0 AND f = 0 THEN 'segment_source_missing' END], lambda x: x IS NOT NULL) AS codes FROM c3)"""
+
+
+def _segment_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of filings and of a second source, with gaps, so that every cluster has issuers."""
+    long = ad.facts(spark, sf_dir, "revenue", "operating_income")
+    t, q, revenue = F.col("ticker"), F.col("fiscal_quarter"), F.col("metric") == "revenue"
+    filed = long.where((t % 5 < 4) & (revenue | (t % 2 == 0)) & ((t % 5 < 3) | ((F.col("fiscal_year") == 1996) & (q <= 1 + t % 4))))
+    kind = F.when(t % 4 == 0, "business").otherwise(F.element_at(F.array(*map(F.lit, ("geography", "product", "business", "legal"))), ((t + q) % 4 + 1).cast("int")))
+    filed = filed.select("ticker", "period_end", "metric", "value", F.lit("filing").alias("family"), F.when((q % 2 == 0) & (t % 3 > 0), "html").otherwise("xbrl").alias("source"), kind.alias("segment_type"))
+    second = long.where(revenue & (t % 6 == 0)).select("ticker", "period_end", "metric", (F.col("value") * F.when(q == 1, 1.015).when(q == 2, 1.5).otherwise(1.0)).alias("value"), F.lit("companyfacts").alias("family"), F.lit("api").alias("source"), F.lit("business").alias("segment_type"))
+    return filed, second
+
+
+def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filed, second = _segment_rows(spark, sf_dir)
+    issuers = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"))
+    counts = coverage.issuer_counts(filed.unionByName(second))
+    every = issuers.join(counts, "ticker", "left").fillna(0, [c for c in counts.columns if c != "ticker"])
+    k = F.col("ticker") % 7
+    why = F.when(k == 0, "FileNotFoundError: x").when(k == 1, "instance_fetch_or_parse_failed").when(k == 2, "ok").when(k == 3, "index_fetch_failed").when(k == 4, "segment_not_found")
+    log = issuers.where(k < 5).select("ticker", why.alias("reason"), F.when(k == 2, "html_table_mvp").otherwise("xbrl_instance").alias("method"), F.when(k == 2, "Success").otherwise("fail").alias("status"))
+    out = coverage.with_poor_reason(coverage.with_clusters(every), log, issuers.where(k == 5))
+    return out.withColumn("codes", coverage.reason_codes())
+
+
+@query(STATEMENTS, _SURVEYED, twin="SELECT ticker, f AS filing_rows, c AS companyfacts_rows, fp AS filing_periods, cp AS companyfacts_periods, ov AS overlap_periods, rp AS filing_revenue_periods, op AS filing_operating_income_periods, src AS filing_sources, b AS business_rows, g AS geography_rows, p AS product_rows, o AS other_rows, source_cluster, metric_cluster, segment_profile, issuer_cluster, source_poor_reason, poor_reason_detail, parser_candidate, codes FROM c4")
+def issuer_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survey(spark, sf_dir)
+
+
+@query(STATEMENTS, _SURVEYED, "e AS (SELECT 'issuer_cluster' AS dimension, issuer_cluster AS value FROM c4 UNION ALL SELECT 'metric_cluster', metric_cluster FROM c4 UNION ALL SELECT 'segment_profile', segment_profile FROM c4 UNION ALL SELECT 'source_poor_reason', source_poor_reason FROM c4 UNION ALL SELECT 'codes', unnest(codes) FROM c4)",
+    twin="SELECT dimension, value, count(*) AS n, round(count(*) / (SELECT count(*) FROM c4), 6) AS rate FROM e WHERE value IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'total', name, CAST(sum(v) AS BIGINT), NULL FROM c4 UNPIVOT (v FOR name IN (rp, op, b)) GROUP BY name UNION ALL SELECT 'issuers', name, CAST(count_if(v > 0) AS BIGINT), NULL FROM c4 UNPIVOT (v FOR name IN (rp, op, b)) GROUP BY name")
+def coverage_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    survey = _survey(spark, sf_dir)
+    spread = coverage.distributions(survey, ["issuer_cluster", "metric_cluster", "segment_profile", "source_poor_reason"], ["codes"]).withColumn("rate", F.round("rate", 6))
+    short = {"filing_revenue_periods": "rp", "filing_operating_income_periods": "op", "business_rows": "b"}
+    held = coverage.support(survey.withColumnsRenamed(short), list(short.values()))
+    own = lambda c, name: held.select(F.lit(name).alias("dimension"), F.col("name").alias("value"), F.col(c).alias("n"), F.lit(None).cast("double").alias("rate"))
+    return spread.unionByName(own("total", "total")).unionByName(own("issuers", "issuers"))
+
+
+@query(STATEMENTS, _SURVEYED, twin="SELECT ticker, period_end, metric, EXISTS (SELECT 1 FROM cr WHERE cr.ticker = fr.ticker AND cr.period_end = fr.period_end AND cr.metric = fr.metric AND abs(cr.value - fr.value) <= greatest(abs(cr.value), abs(fr.value), 1.0) * 0.02) AS similar FROM fr")
+def segment_value_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filed, second = _segment_rows(spark, sf_dir)
+    return coverage.similar_values(filed, second, ["ticker", "period_end", "metric"], "value", 0.01).select("ticker", "period_end", "metric", "similar")
+
+
+@query(STATEMENTS, _SURVEYED, "r AS (SELECT ticker, coalesce(source_poor_reason, 'none') AS reason, CASE WHEN parser_candidate THEN 'parse' WHEN source_poor_reason LIKE 'filing_cache%' THEN 'fetch' WHEN source_poor_reason IS NOT NULL THEN 'review' ELSE 'keep' END AS lane, fp + 10 * rp + ticker % 5 AS score FROM c4)",
+    twin="SELECT lane, CAST(CASE lane WHEN 'parse' THEN 1 WHEN 'fetch' THEN 2 WHEN 'review' THEN 3 ELSE 9 END AS INTEGER) AS priority, nullif(reason, 'none') AS reason, count(*) AS n, round(avg(score), 6) AS mean_score, max(score) AS most, CAST(min(k) AS INTEGER) AS best_rank FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY score DESC, ticker) AS k FROM r) GROUP BY lane, reason")
+def recovery_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(F.col("parser_candidate"), "parse", 1), (F.startswith("source_poor_reason", F.lit("filing_cache")), "fetch", 2), (F.col("source_poor_reason").isNotNull(), "review", 3)]
+    scored = _survey(spark, sf_dir).withColumn("score", F.col("filing_periods") + 10 * F.col("filing_revenue_periods") + F.col("ticker") % 5)
+    rows = coverage.recovery_rows(scored, "ticker", "score", reconcile.recovery(rules, ("keep", 9)))
+    best = rows.groupBy("lane", F.col("source_poor_reason").alias("reason")).agg(F.min("priority_rank").alias("best_rank"))
+    out = coverage.recovery_summary(rows).withColumn("mean_score", F.round("mean_score", 6)).alias("s")
+    return out.join(best.alias("b"), (F.col("s.lane") == F.col("b.lane")) & F.col("s.reason").eqNullSafe(F.col("b.reason"))).select("s.*", "b.best_rank")
+
+
 # incremental work
 
 
