@@ -17,7 +17,7 @@ _BITS, _LEAST = 32, -(1 << 31)
 GRAM = 3
 
 
-def _grams(c: str) -> Column:
+def grams(c: str) -> Column:
     """All distinct runs of up to GRAM letters of a text."""
     runs = [f"coalesce(transform(if(length({c}) >= {n}, sequence(1, length({c}) - {n - 1}), NULL), k -> substring({c}, k, {n})), array())" for n in range(1, GRAM + 1)]
     return F.expr(f"array_distinct(concat({', '.join(runs)}))")
@@ -27,7 +27,7 @@ def first_contained(texts: DataFrame, text: str, keywords: DataFrame, keyword: s
     """(text, order): for each distinct text the least `order` of the keywords that it holds; texts that hold none, and empty keywords, have no row."""
     index = keywords.where(F.length(keyword) > 0).groupBy(F.col(keyword).alias("__k")).agg(F.min(order).alias("__o")).withColumn("__g", F.substring("__k", 1, GRAM))
     asked = texts.select(text).where(F.col(text).isNotNull()).distinct()
-    met = asked.withColumn("__g", F.explode(_grams(f"`{text}`"))).join(index, "__g").where(F.contains(F.col(text), F.col("__k")))
+    met = asked.withColumn("__g", F.explode(grams(f"`{text}`"))).join(index, "__g").where(F.contains(F.col(text), F.col("__k")))
     return met.groupBy(text).agg(F.min("__o").alias(order))
 
 

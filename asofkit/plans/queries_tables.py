@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..functions import windows as win
-from ..operators import coverage, dedupe, facts, intervals, perf, quality, reconcile, screen
+from ..operators import coverage, dedupe, facts, intervals, perf, products, quality, reconcile, screen
 from ..operators import statements as st
 from ..sources import adapters as ad
 from ..sources import io, shared, store
@@ -264,6 +264,45 @@ def capacity_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.capacity_hits(rows, "v", "w", ["brand"])
 
 
+_NAMED = """p0 AS (SELECT p_brand AS brand, CASE WHEN p_size % 10 = 0 THEN '가동률' WHEN p_size % 2 = 0 THEN 'capacity' ELSE 'output' END AS section, p_partkey AS k, p_name AS n, p_retailprice AS v, DATE '2020-03-31' + CAST(p_size % 4 AS INTEGER) * INTERVAL 3 MONTH AS d FROM part),
+ll AS (SELECT brand, section, CASE k % 4 WHEN 0 THEN n || ' (kl)' WHEN 1 THEN split_part(n, ' ', 1) WHEN 2 THEN 'the ' || upper(n) || '부문' ELSE n END AS name, last_day(d) AS period, max(v) AS value, CASE k % 4 WHEN 0 THEN 'kl' END AS expected FROM p0 GROUP BY ALL),
+rr AS (SELECT brand, section, CASE k % 5 WHEN 0 THEN n WHEN 1 THEN split_part(n, ' ', 1) || ' 합계' WHEN 2 THEN upper(n) || '-공장' WHEN 3 THEN split_part(n, ' ', 2) ELSE substr(n, 1, 5) END AS name, last_day(d) AS period, max(v / CASE WHEN k % 7 = 0 THEN 1000 ELSE 1 END) AS value, CASE WHEN k % 7 = 0 THEN '천개' WHEN k % 7 = 1 THEN '백만 원' WHEN k % 7 = 2 THEN '시간' WHEN k % 7 < 5 THEN '개, %' END AS unit FROM p0 GROUP BY ALL),
+lk AS (SELECT brand, section, name, arg_max(value, (period, value)) AS want, {key_name} AS a FROM ll GROUP BY brand, section, name), rk AS (SELECT brand, section, name AS match, arg_max(value, (period, value, coalesce(unit, ''))) AS v, arg_max_null(unit, (period, value, coalesce(unit, ''))) AS u, max(period) AS p, {key_name} AS b FROM rr GROUP BY brand, section, name),
+m0 AS (SELECT *, least(length(a), length(b)) AS overlap, instr(a, b) AS s FROM lk JOIN rk USING (brand, section) WHERE length(a) >= 2 AND length(b) >= 2 AND (contains(a, b) OR contains(b, a))),
+m1 AS (SELECT * FROM m0 WHERE (s = 0 OR a = b OR substr(a, s + length(b), 1) IN ('', ' ') OR ((s = 1 OR substr(a, s - 1, 1) = ' ') AND length(b) / CASE WHEN strpos(substr(a, s + length(b)), ' ') > 0 THEN length(b) + strpos(substr(a, s + length(b)), ' ') - 1 ELSE length(a) - s + 1 END >= 0.6)) AND (overlap < 4 OR overlap / greatest(length(a), length(b)) >= 0.3)),
+m2 AS (SELECT *, overlap = max(overlap) OVER (PARTITION BY brand, section, name) AS top, CASE WHEN section = '가동률' THEN v WHEN u = '천개' THEN v * 1000 WHEN u = '백만 원' THEN v * 1000000 ELSE v END AS w, month(p) AS mo FROM m1),
+m3 AS (SELECT *, CASE WHEN top AND count_if(top) OVER (PARTITION BY brand, section, name) > 1 THEN least(abs(w - want), CASE WHEN mo IN (3, 6, 9) THEN abs(w * (12 / mo) - want) END, CASE WHEN mo IN (3, 6, 9) THEN abs(w / (mo // 3) - want) END) END AS near FROM m2),
+mt AS (SELECT brand, section, name, match, overlap FROM m3 QUALIFY row_number() OVER (PARTITION BY brand, section, name ORDER BY near NULLS LAST, (regexp_matches(match, '합계|소계|총계') AND length(a) < 10) DESC, overlap DESC, match) = 1)""".replace("{key_name}", r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '\s*부문$', '', 'g'), '\s*부문\s+', ' ', 'g'), '\s*\([^)]*\)', ' ', 'g'), '&cr|[-–—]|공장', ' ', 'g'), '\s+', ' ', 'g')))""")
+
+
+def _named_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as the products of two sources that spell, sum and measure them differently."""
+    n, k, size = F.col("p_name"), F.col("p_partkey"), F.col("p_size")
+    word = lambda i: F.split_part(n, F.lit(" "), F.lit(i))
+    section = F.when(size % 10 == 0, products.RATES).when(size % 2 == 0, "capacity").otherwise("output")
+    period = F.last_day(F.add_months(F.lit(dt.date(2020, 3, 31)), (size % 4 * 3).cast("int")))
+    part = ad.table(spark, sf_dir, "part")
+    spelt = F.when(k % 4 == 0, F.concat(n, F.lit(" (kl)"))).when(k % 4 == 1, word(1)).when(k % 4 == 2, F.concat(F.lit("the "), F.upper(n), F.lit("부문"))).otherwise(n)
+    left = part.groupBy(F.col("p_brand").alias("brand"), section.alias("section"), spelt.alias("name"), period.alias("period"), F.when(k % 4 == 0, "kl").alias("expected")).agg(F.max("p_retailprice").alias("value"))
+    other = F.when(k % 5 == 0, n).when(k % 5 == 1, F.concat(word(1), F.lit(" 합계"))).when(k % 5 == 2, F.concat(F.upper(n), F.lit("-공장"))).when(k % 5 == 3, word(2)).otherwise(F.substring(n, 1, 5))
+    unit = F.when(k % 7 == 0, "천개").when(k % 7 == 1, "백만 원").when(k % 7 == 2, "시간").when(k % 7 < 5, "개, %")
+    right = part.groupBy(F.col("p_brand").alias("brand"), section.alias("section"), other.alias("name"), period.alias("period"), unit.alias("unit")).agg(F.max(F.col("p_retailprice") / F.when(k % 7 == 0, 1000).otherwise(1)).alias("value"))
+    return left, right
+
+
+@query(_NAMED, twin="SELECT * FROM mt")
+def product_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.matched_products(*_named_products(spark, sf_dir), ["brand", "section"])
+
+
+@query(_NAMED, "r1 AS (SELECT brand, section, name AS match, period, max(value) AS v, arg_max_null(unit, (value, coalesce(unit, ''))) AS u FROM rr GROUP BY ALL)", "h AS (SELECT section, l.value AS v, CASE WHEN section = '가동률' THEN r1.v WHEN u = '천개' THEN r1.v * 1000 WHEN u = '백만 원' THEN r1.v * 1000000 ELSE r1.v END AS w FROM ll l JOIN mt USING (brand, section, name) JOIN r1 USING (brand, section, match, period) WHERE section = '가동률' OR u IS NULL OR NOT (u = '시간' OR coalesce(expected, '') = 'kl' AND u = '백만 원'))",
+    twin="SELECT section, count(w) AS matched, count_if(abs(v - w) / abs(v) <= 0.05) AS within_5, count_if(abs(v - w) / abs(v) <= 0.1) AS within_10, count_if(abs(v - w) / abs(v) <= 0.15) AS within_15 FROM h GROUP BY section")
+def product_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _named_products(spark, sf_dir)
+    keys = ["brand", "section"]
+    return reconcile.capacity_hits(products.product_errors(left, right, products.matched_products(left, right, keys), keys), "value", "matched_value", ["section"])
+
+
 _MODES = "e AS (SELECT ticker, metric, mode, CASE mode WHEN 'quarter' THEN CASE WHEN ticker % 3 = 0 THEN 0.01 ELSE 0.3 END ELSE CASE WHEN ticker % 3 = 0 THEN 0.2 WHEN ticker % 3 = 1 THEN 0.1 ELSE 0.25 END END * (1 + fiscal_quarter / 10.0) AS error FROM (SELECT ticker, fiscal_quarter, metric FROM stmts, (VALUES ('revenue'), ('cogs')) t(metric)), (VALUES ('quarter'), ('ttm')) u(mode))"
 
 
