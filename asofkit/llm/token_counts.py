@@ -2,13 +2,16 @@
 
 The pre-tokens of a batch that were not seen before lie end to end in one array of symbol ids. In each step
 every sequence finds its pair of lowest rank and joins all places of that pair at once; sequences without a
-ranked pair leave the arrays. The symbols that survive are the tokens.
+ranked pair leave the arrays. The symbols that survive are the tokens. Long pre-tokens have their places kept by
+rank, so that a step looks only at the places of its pair and those beside them, and not at the whole array.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame
 from . import arrays
 
 REMEMBERED = 400_000
+#: Pre-tokens of more bytes have their places kept by rank.
+LONG = 256
 _NONE = np.iinfo(np.int64).max
 #: Lower-case letters that str.lower() gives by context, or not yet.
 _LOWER = {ord("Σ"): "σ", 0xA7CB: "\u0264", 0xA7DC: "\u019b"}
@@ -61,7 +66,7 @@ class Counter(dict):
         self.size = len(vocab) + len(special)
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
-        self.keys, self.rank, self.made = key[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made, self.made_by_rank = key[order], order.astype(np.int64), made[order], made
 
     def pieces(self, text: str) -> tuple[int, list[str]]:
         """How many special tokens a text holds, and the pre-tokens of the rest."""
@@ -78,11 +83,72 @@ class Counter(dict):
     def learn(self, pieces: list[str]) -> None:
         """Counts new pre-tokens together."""
         raw = [p.encode() for p in pieces]
-        sizes = np.array([len(r) for r in raw])
-        symbols = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
-        ends = np.cumsum(sizes)
-        symbols[ends - 1] = self.last[np.frombuffer(b"".join(raw), np.uint8)[ends - 1]]
-        counts, own = sizes.copy(), np.arange(len(raw))
+        for some, count in (([k for k, r in enumerate(raw) if len(r) <= LONG], self._together), ([k for k, r in enumerate(raw) if len(r) > LONG], self._by_rank)):
+            if some:
+                sizes = np.array([len(raw[k]) for k in some])
+                data, ends = np.frombuffer(b"".join(raw[k] for k in some), np.uint8), np.cumsum(sizes)
+                symbols = self.inner[data]
+                symbols[ends - 1] = self.last[data[ends - 1]]
+                self.update(zip((pieces[k] for k in some), count(symbols, sizes).tolist(), strict=True))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NONE)
+
+    def _by_rank(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Symbols left of each sequence: the lowest rank there is, with all its places, comes from a heap; only their neighbours are ranked anew.
+
+        Sequences do not touch, so one order of ranks serves all of them.
+        """
+        n, first = len(symbols), np.cumsum(sizes) - sizes
+        following, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        following[first + sizes - 1], before[first] = n, n  # place n stands for nothing
+        following[n] = before[n] = n
+        symbols, alive = np.append(symbols, -1).astype(np.int32), np.ones(n, bool)
+        rank = np.full(n + 1, _NONE)
+        inner = np.flatnonzero(following[:n] < n)
+        rank[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        places, heap = defaultdict(list), []
+
+        def enter(at: np.ndarray) -> None:
+            at = at[rank[at] < _NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for r, own in zip(rank[at[cuts]].tolist(), np.split(at, cuts[1:]), strict=True):
+                if r not in places:
+                    heapq.heappush(heap, r)
+                places[r].append(own)
+
+        if len(inner):
+            enter(inner)
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            # in a run of one symbol the pairs overlap: every second one counts, from the left
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = following[at[:-1]] != at[1:]
+            run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            if not len(at):
+                continue
+            gone = following[at]
+            symbols[at], following[at] = self.made_by_rank[r], following[gone]
+            before[following[at]] = at
+            before[n] = n
+            alive[gone], rank[gone] = False, _NONE
+            beside = np.unique(np.concatenate([at, before[at]]))
+            beside = beside[beside < n]
+            rank[beside] = np.where(following[beside] < n, self._ranks(symbols[beside], symbols[following[beside]]), _NONE)
+            enter(beside)
+        return np.add.reduceat(alive.astype(np.int64), first)
+
+    def _together(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Symbols left of each sequence, all of which take their steps at once."""
+        counts, own = sizes.copy(), np.arange(len(sizes))
         owner = np.repeat(own, sizes)
         while len(symbols) > 1:
             key = symbols[:-1] * self.size + symbols[1:]
@@ -108,7 +174,7 @@ class Counter(dict):
             counts[owner[first]] = np.add.reduceat(stay.astype(np.int64), first)
             stay &= np.repeat(going, length)
             symbols, owner = symbols[stay], owner[stay]
-        self.update(zip(pieces, counts.tolist(), strict=True))
+        return counts
 
     def count(self, rows: list[str]) -> list[int]:
         split = [self.pieces(t) for t in rows]

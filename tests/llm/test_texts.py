@@ -301,3 +301,15 @@ def test_archives_open_with_the_standard_library(tmp_path):
         assert {k: data[at : at + n] for k, (_, at, n) in found.items()} == {"a": b"x" * 10, "b/c": b""}
     with pytest.raises(ValueError):
         zip_warc.members(lambda at, n: b"", 0)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHabcdefgh0123456789+/", "a", "éèß"])
+def test_counts_of_unbroken_runs_are_quick(docs, rows, letters):
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(WORDS), random.Random(3)
+    texts = ["".join(r.choices(letters, k=n)) for n in (255, 257, 3000, 1_000_000)]
+    began = time.time()
+    got = rows(token_counts.count_tokens(docs(texts), "doc_id", "text", WORDS), "doc_id")
+    assert time.time() - began < 60
+    assert [r[2] for r in got] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
