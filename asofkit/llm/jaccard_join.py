@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,10 +247,35 @@ def links(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT, known: np.
     return edges
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(key, text): each text compressed by itself, since texts are shuffled to their blocks, some to several."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(map(pack, rows.column("text").cast(pa.binary()).to_pylist()), pa.binary())], names=["key", "text"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, text binary")
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _packed() with their texts, in batches of about SLICE bytes of text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for rows in batches:
+        low, held, size = 0, [], 0
+        for k, text in enumerate(rows.column("text").to_pylist(), 1):
+            held.append(unpack(text))
+            size += len(held[-1])
+            if size >= SLICE or k == rows.num_rows:
+                columns = [pa.array(held, pa.binary()) if c == "text" else rows.column(c).slice(low, k - low) for c in rows.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+                low, held, size = k, [], 0
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     """The sets of one block after the other; rows come sorted by `block`."""
     now, held = None, []
-    for rows, data, at in arrays.slices(batches, limit=SLICE):
+    for rows, data, at in arrays.slices(_unpacked(batches), limit=SLICE):
         hashes, edge = shingles(data, at, size)
         names = rows.column("block").to_pylist()
         cols = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in rows.schema.names if c not in ("block", "text")}
@@ -370,10 +396,12 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     spark = df.sparkSession
     whole, shift = repeats.numbered(df, id_col, text_col, carry)
     docs = whole.select("key", "doc_id", "text")
-    block = storage.written(blocks(storage.written(candidates(docs, size, percent), "led")), "blocks")
+    led = storage.written(candidates(docs, size, percent), "led")
+    block = storage.written(blocks(led), "blocks")
+    storage.dropped(led)
     n = arrays.partitions(spark)
     # texts travel to their blocks without a table on the way; what blocks hold is told from sizes alone
-    members = docs.repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
+    members = _packed(docs).repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
     sizes = block.join(docs.select("key", F.octet_length("text").alias("bytes")), "key")
     heavy = storage.written(sizes.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("pivot")).where((F.col("n") > block_docs) | (F.col("bytes") > block_bytes)), "heavy")
     split = heavy.limit(1).count() > 0
@@ -394,6 +422,8 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     if split:
         edges = edges.unionByName(_heavy_edges(members, heavy, connect, by_block, size, percent, block_docs, block_bytes))
     own = components.components(edges).select(F.col("a").alias("key"), "component")
+    for table in (block, heavy):
+        storage.dropped(table)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in arrays.slices(batches, limit=SLICE):
