@@ -248,14 +248,15 @@ def links(hashes: np.ndarray, at: np.ndarray, percent: int = PERCENT, known: np.
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(key, text): each text compressed by itself, since texts are shuffled to their blocks, some to several."""
+    """The rows with each `text` (binary) compressed by itself, null as null: these are what travels, texts to several blocks at times."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for rows in batches:
-            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(map(pack, rows.column("text").cast(pa.binary()).to_pylist()), pa.binary())], names=["key", "text"])
+            packed = pa.array([None if t is None else pack(t) for t in rows.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if c == "text" else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
 
-    return docs.select("key", "text").mapInArrow(run, "key long, text binary")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +265,8 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         low, held, size = 0, [], 0
         for k, text in enumerate(rows.column("text").to_pylist(), 1):
-            held.append(unpack(text))
-            size += len(held[-1])
+            held.append(None if text is None else unpack(text))
+            size += len(held[-1] or b"")
             if size >= SLICE or k == rows.num_rows:
                 columns = [pa.array(held, pa.binary()) if c == "text" else rows.column(c).slice(low, k - low) for c in rows.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
@@ -387,21 +388,47 @@ def blocks(led: DataFrame) -> DataFrame:
     return rows.unionByName(rows.select("block").distinct().select(F.col("block").alias("key"), "block"))
 
 
-def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: key, doc_id, n_shingles, component (the least key that links reach; keys are ids unless ids repeat), component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct `size`-word shingles. Null, empty
-    and wordless texts have no shingles and no links. Rows that repeat an id count as documents of their own. carry adds the input row.
+    and wordless texts have no shingles and no links. Rows that repeat an id count as documents of their own.
     """
-    spark = df.sparkSession
-    whole, shift = repeats.numbered(df, id_col, text_col, carry)
-    docs = whole.select("key", "doc_id", "text")
+    docs, shift = repeats.numbered(df, id_col, text_col)
+    own = linked(docs, size, percent, block_docs, block_bytes)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in arrays.slices(batches, limit=SLICE):
+            yield arrays.result(rows, {"key": rows.column("key"), "doc_id": rows.column("doc_id"), "n_shingles": pa.array(np.diff(shingles(data, at, size)[1]), pa.int64())})
+
+    counted = docs.mapInArrow(count, "key long, doc_id long, n_shingles long").join(own, "key", "left")
+    component = F.coalesce("component", "key")
+    return counted.select("key", "doc_id", "n_shingles", component.alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.shiftright(component, shift)).alias("component_id"))
+
+
+def representatives(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df, but of each group that similar() would connect only the one with the smallest id.
+
+    Rows without links stay, those with null, empty and wordless texts among them. Of rows that repeat an id the first by text counts as smaller;
+    a null id counts as larger than all others. Columns may have any names.
+    """
+    whole, _ = repeats.numbered(df, id_col, text_col, carry=True)
+    own = linked(whole.select("key", "doc_id", "text"), size, percent, block_docs, block_bytes)
+    # rows travel once, with their texts compressed; the keys that go are joined by sorting at every size, since their table grows with the copies
+    body = F.col("row").getField(text_col).cast("string").cast("binary")
+    rows = _packed(whole.select("key", body.alias("text"), F.col("row").dropFields(text_col).alias("row")))
+    kept = rows.join(own.where("key <> component").select("key").hint("merge"), "key", "left_anti").mapInArrow(_unpacked, rows.schema)
+    return kept.select(*(F.col("text").cast("string").cast(f.dataType).alias(f.name) if f.name == text_col else F.col("row").getField(f.name).alias(f.name) for f in df.schema))
+
+
+def linked(docs: DataFrame, size: int, percent: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, component) of every document of (key, doc_id, text) that has a link; component is the least key that links reach."""
     led = storage.written(candidates(docs, size, percent), "led")
     block = storage.written(blocks(led), "blocks")
     storage.dropped(led)
-    n = arrays.partitions(spark)
+    n = arrays.partitions(docs.sparkSession)
     # texts travel to their blocks without a table on the way; what blocks hold is told from sizes alone
-    members = _packed(docs).repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
+    members = _packed(docs.select("key", F.col("text").cast("binary").alias("text"))).repartition(n, "key").join(block.hint("shuffle_hash"), "key").select("key", "block", "text")
     sizes = block.join(docs.select("key", F.octet_length("text").alias("bytes")), "key")
     heavy = storage.written(sizes.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("key").alias("pivot")).where((F.col("n") > block_docs) | (F.col("bytes") > block_bytes)), "heavy")
     split = heavy.limit(1).count() > 0
@@ -424,14 +451,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, perc
     own = components.components(edges).select(F.col("a").alias("key"), "component")
     for table in (block, heavy):
         storage.dropped(table)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in arrays.slices(batches, limit=SLICE):
-            yield arrays.result(rows, {"key": rows.column("key"), "doc_id": rows.column("doc_id"), "n_shingles": pa.array(np.diff(shingles(data, at, size)[1]), pa.int64())})
-
-    counted = whole.mapInArrow(count, arrays.schema("key long, doc_id long, n_shingles long", whole)).join(own, "key", "left")
-    component = F.coalesce("component", "key")
-    return counted.select("key", "doc_id", "n_shingles", component.alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.shiftright(component, shift)).alias("component_id"), *(["row"] if carry else []))
+    return own
 
 
 def _heavy_edges(members: DataFrame, heavy: DataFrame, connect, by_block, size: int, percent: int, block_docs: int, block_bytes: int) -> DataFrame:

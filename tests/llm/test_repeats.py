@@ -98,6 +98,25 @@ def test_near_copies_are_linked(docs, rows, passage, awkward, blocks):
     assert got == groups(texts)
 
 
+@pytest.mark.parametrize("most", [4000, 6])
+def test_one_document_of_each_group_stays(docs, rows, passage, awkward, most):
+    words = passage(100, 120).split()
+    texts = [*awkward, *(" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(0, 120, 6)), *(" ".join(words[k : k + 60]) for k in range(0, 60, 4))]
+    table = docs(texts)
+    kept = jaccard_join.representatives(table, "doc_id", "text", block_docs=most)
+    assert kept.columns == table.columns and dict(kept.dtypes) == dict(table.dtypes)
+    assert rows(kept, "doc_id") == [tuple(r) for r, (own, _, component) in zip(rows(table, "doc_id"), groups(texts), strict=True) if own == component]
+
+
+def test_representatives_of_repeated_and_null_ids(docs, rows, passage, spark):
+    ids, texts = [7, 7, 3, None, None, 9, 9, None], [passage(0, 60), passage(0, 60), passage(0, 50), passage(0, 60), "z", None, "", None]
+    kept = jaccard_join.representatives(docs(texts, ids), "doc_id", "text").select("doc_id", "text")
+    assert sorted(rows(kept), key=repr) == sorted([(7, passage(0, 60)), (3, passage(0, 50)), (None, "z"), (9, None), (9, ""), (None, None)], key=repr)
+    numbers = spark.createDataFrame([(1, 5), (2, None), (3, 5)], "doc_id long, text int")
+    assert rows(jaccard_join.representatives(numbers, "doc_id", "text"), "doc_id") == [(1, 5), (2, None)]
+    assert jaccard_join.representatives(numbers.limit(0), "doc_id", "text").count() == 0
+
+
 def test_empty_tables(docs, spark):
     none = docs(["x"]).limit(0)
     assert bwt_merge.remove_repeats(none, "doc_id", "text").count() == recompression.remove_repeats(none, "doc_id", "text").count() == 0
