@@ -18,8 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 5-word shingles at 80 % connect, the document with the smallest id stays; op3 has sizes of its own."""
-    found = jaccard_join.similar(docs, "doc_id", "text", size=5, percent=80, carry=True)
-    return found.where("key = component").select("row.*")
+    return jaccard_join.representatives(docs, "doc_id", "text", size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
