@@ -3,6 +3,7 @@
 The reader needs only a function read(offset, length): it takes the end record (with its ZIP64 form), the central
 directory, the local headers and the stored index, then reads each WARC record by its byte range. Nothing is extracted.
 Archives in files are read in two steps: their indexes give a table of byte ranges, and Spark deals these to tasks.
+Archives of other writers are read too: any record kind, foreign ids as they stand, and a row with an error for what is broken.
 """
 
 from __future__ import annotations
@@ -70,6 +71,8 @@ def members(read: Read, size: int) -> dict[str, tuple[int, int, int]]:
         if wide[:4] != b"PK\6\6":
             raise ValueError("no ZIP64 end record")
         n, length, at = struct.unpack_from("<3Q", wide, 32)
+    if at + length > size:
+        raise ValueError("a directory beyond the end")
     directory, p, found = read(at, length), 0, {}
     for _ in range(n):
         if directory[p : p + 4] != b"PK\1\2":
@@ -103,8 +106,13 @@ def _urn(id_: object) -> str:
 
 
 def _id_of(urn: str | None) -> str | None:
-    """The id of an urn as a string that Spark can cast back, None for null."""
-    found = None if urn is None else json.loads(unquote(urn.removeprefix("<urn:page:").removesuffix(">")))
+    """The id of an urn as a string that Spark can cast back, None for null; the ids of other writers stay as they are."""
+    if urn is None or not urn.startswith("<urn:page:"):
+        return urn
+    try:
+        found = json.loads(unquote(urn.removeprefix("<urn:page:").removesuffix(">")))
+    except ValueError:
+        return urn
     return found if found is None or isinstance(found, str) else json.dumps(found)
 
 
@@ -126,15 +134,28 @@ def warc_record(page_id: object, url: str, payload: bytes, refers_to: object | N
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
+def _headers(lines: str) -> dict[str, str]:
+    """Header lines by name in lower case; lines without a colon are left out."""
+    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines.splitlines()[1:]) if colon}
+
+
 def read_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC headers (names in lower case), HTTP headers and payload of one gzip member."""
-    data = gzip.decompress(raw)
+    """WARC headers (names in lower case), HTTP headers and payload of one record, a gzip member or plain.
+
+    What does not hold an HTTP message has no HTTP headers, and its whole block is the payload.
+    """
+    data = raw if raw.startswith(b"WARC/") else gzip.decompress(raw)
     if not data.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     head, _, rest = data.partition(b"\r\n\r\n")
-    warc = {k.lower(): v.strip() for k, v in (line.split(":", 1) for line in head.decode().split("\r\n")[1:])}
-    http, _, payload = rest[: int(warc["content-length"])].partition(b"\r\n\r\n")
-    return warc, {k.lower(): v.strip() for k, v in (line.split(":", 1) for line in http.decode().split("\r\n")[1:])}, payload
+    warc = _headers(head.decode())
+    block = rest[: int(warc["content-length"])]
+    if len(block) < int(warc["content-length"]):
+        raise ValueError("a record that is cut off")
+    if not warc.get("content-type", "").startswith("application/http"):
+        return warc, {}, block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    return warc, _headers(http.decode("latin-1")), payload
 
 
 def build_archives(df: DataFrame, id_col: str, url_col: str, body_col: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
@@ -163,9 +184,11 @@ def build_archives(df: DataFrame, id_col: str, url_col: str, body_col: str, leas
     return pages.mapInArrow(run, "name string, content binary")
 
 
-_RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
-_NAMES = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+_RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, record_id string, error string"
+_NAMES = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "error"]
+_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 6]
+#: What broken archives and records raise; a store that fails raises other errors, and these end the task.
+_BROKEN = (ValueError, KeyError, TypeError, struct.error, zlib.error, EOFError, gzip.BadGzipFile)
 
 
 def ranges(read: Read, size: int) -> Iterator[tuple[int, int]]:
@@ -178,17 +201,39 @@ def ranges(read: Read, size: int) -> Iterator[tuple[int, int]]:
             raise ValueError("an index must be a stored member")
         for line in read(at, length).decode().splitlines():
             entry = json.loads(line[line.index("{") :])
-            method, base, _ = found[entry["filename"]]
+            name = entry["filename"]
+            method, base, held = found[name if name in found else f"archive/{name}"]  # an index may name archives without their folder
+            at, n = int(entry["offset"]), int(entry["length"])
             if method:
                 raise ValueError("an archive must be a stored member")
-            yield base + int(entry["offset"]), int(entry["length"])
+            if at < 0 or n < 0 or at + n > held:
+                raise ValueError("a record beyond the end of its archive")
+            yield base + at, n
+
+
+def _failed(e: Exception) -> tuple:
+    return (*[None] * 7, f"{type(e).__name__}: {e}")
 
 
 def _row(raw: bytes) -> tuple:
-    warc, http, payload = read_record(raw)
-    revisit = warc["warc-type"] == "revisit"
-    digest = warc["warc-payload-digest"].removeprefix("sha1:") if revisit else digest_of(payload)
-    return _id_of(warc["warc-record-id"]), int(http["content-length"]) if revisit else len(payload), digest, warc["warc-type"], _id_of(warc.get("warc-refers-to")), warc["warc-target-uri"]
+    try:
+        warc, http, payload = read_record(raw)
+        kind = warc["warc-type"]
+        # a revisit holds headers alone: length and digest are those that it states
+        size = len(payload) if kind != "revisit" else int(http["content-length"]) if "content-length" in http else None
+        digest = digest_of(payload) if kind != "revisit" else warc.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        own = warc["warc-record-id"]
+        return _id_of(own), size, digest, kind, _id_of(warc.get("warc-refers-to")), warc.get("warc-target-uri"), own, None
+    except _BROKEN as e:
+        return _failed(e)
+
+
+def _ranges(read: Read, size: int) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """The ranges of an archive, and the rows that tell why there are none."""
+    try:
+        return list(ranges(read, size)), []
+    except _BROKEN as e:
+        return [], [_failed(e)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,18 +241,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _typed(records: DataFrame, id_kind: str) -> DataFrame:
-    return records.select(*(F.col(c).cast(id_kind).alias(c) if c in ("id", "refers_to") else F.col(c) for c in _NAMES))
+    return records.select(*(F.col(c).try_cast(id_kind).alias(c) if c in ("id", "refers_to") else F.col(c) for c in _NAMES))
 
 
 def read_archives(df: DataFrame, content_col: str = "content", id_kind: str = "bigint") -> DataFrame:
-    """A row per indexed record: id, payload_bytes, payload_digest (base32 SHA-1 of what was read; a revisit's as stored), record_type, refers_to, url."""
+    """A row per indexed record: id, payload_bytes, payload_digest (base32 SHA-1 of what was read; a revisit's as stored), record_type, refers_to, url, record_id, error.
+
+    record_id is the id as it stands in the record; id and refers_to are null where it is foreign and cannot be cast to id_kind. Records of other kinds
+    and writers have rows like any other; a payload is what follows the HTTP headers as stored, or the whole block where it holds no HTTP message.
+    An archive whose directories or index are broken, a null one too, is one row with its error and nulls; a broken record is such a row beside the others.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                view = memoryview(value.as_buffer())
-                read = lambda at, n, view=view: bytes(view[at : at + n])
-                rows = [_row(read(at, n)) for at, n in ranges(read, len(view))]
+                view = memoryview(value.as_buffer() if value.is_valid else b"")
+                read = lambda at, n, view=view: bytes(view[max(at, 0) : at + n])
+                found, rows = _ranges(read, len(view))
+                rows += [_row(read(at, n)) for at, n in found]
                 if rows:
                     yield _batch(rows)
 
@@ -224,7 +275,8 @@ def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataF
     """read_archives() over the ZIP files at a path, without reading them whole.
 
     The first step reads end records, directories and indexes; the second deals the records' byte ranges to tasks, and each
-    reads its own. Stores that pyarrow cannot open are read whole through Spark instead, with the same rows.
+    reads its own. Stores that pyarrow cannot open are read whole through Spark instead, with the same rows. Broken files have rows of their own,
+    but files of no bytes have none, since Spark does not list them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wz][ai][cp]*").load(path)
     arrays.bounded_batches(spark)
@@ -237,15 +289,19 @@ def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataF
         for batch in batches:
             for own, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 with _opened(own) as f:
-                    found = list(ranges(lambda at, n, f=f: f.read_at(n, at), size))
+                    found, failed = _ranges(lambda at, n, f=f: f.read_at(n, max(at, 0)), size)
+                found = [(at, n, None) for at, n in found] + [(0, 0, row[-1]) for row in failed]
                 for low in range(0, len(found), 4096):
-                    part = found[low : low + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(part)), pa.array([at for at, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["path", "at", "size"])
+                    at, n, error = zip(*found[low : low + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(at)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(error, pa.string())], names=["path", "at", "size", "error"])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             now, f, rows = None, None, []
-            for own, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
+            for own, at, size, error in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size", "error")), strict=True):
+                if error:
+                    rows.append((*[None] * 7, error))
+                    continue
                 if own != now:
                     if f:
                         f.close()
@@ -257,6 +313,6 @@ def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataF
                 yield _batch(rows)
 
     # runs of neighbouring records stay together, so a task opens few files
-    wanted = files.select("path", "length").mapInArrow(index, "path string, at long, size long")
+    wanted = files.select("path", "length").mapInArrow(index, "path string, at long, size long, error string")
     wanted = wanted.repartition(arrays.partitions(spark), "path", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("path", "at")
     return _typed(wanted.mapInArrow(read, _RECORD), id_kind)

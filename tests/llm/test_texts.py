@@ -1,6 +1,7 @@
 """Operators that work document by document, against brute force, the libraries, or a round trip."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -289,6 +290,47 @@ def test_files_are_read_by_ranges(spark, rows, tmp_path):
     assert got == [(0, 5, "response"), (1, 5, "response"), (1, 5, "response"), (2, 5, "response")]
 
 
+def test_archives_of_other_writers_and_broken_ones(spark, tmp_path):
+    def record(kind, own, body, *more, content="application/http; msgtype=response"):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"Content-Type: {content}", *more, f"Content-Length: {len(body)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    sha = lambda body: base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        gzip.compress(record("warcinfo", "<urn:uuid:1>", b"software: x", content="application/warc-fields")),
+        record("response", "<urn:uuid:2>", b"HTTP/1.0 200 OK\r\nodd line\r\nX: y\r\n\r\nbody", "WARC-Target-URI: http://a/"),
+        gzip.compress(record("revisit", "<urn:uuid:3>", b"HTTP/1.0 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:2>")),
+        gzip.compress(record("response", "<urn:page:7>", b"HTTP/1.0 200 OK\r\n\r\n", "WARC-Target-URI: http://b/")),
+        gzip.compress(record("metadata", "<urn:page:not json>", b"", content="text/plain")),
+        b"no record", gzip.compress(b"no record"), gzip.compress(record("response", "<x>", b"cut"))[:-12], record("response", "<x>", b"cut")[:-6],
+    ]
+    expected = [
+        (None, "<urn:uuid:1>", 11, sha(b"software: x"), "warcinfo", None, None), (None, "<urn:uuid:2>", 4, sha(b"body"), "response", None, "http://a/"), (None, "<urn:uuid:3>", None, None, "revisit", None, None),
+        (7, "<urn:page:7>", 0, sha(b""), "response", None, "http://b/"), (None, "<urn:page:not json>", 0, sha(b""), "metadata", None, None),
+    ]
+    index, at = [], 0
+    for own in records:
+        index.append(f'com,a)/ 2020 {{"offset": "{at}", "length": "{len(own)}", "filename": "data.warc.gz"}}')
+        at += len(own)
+    whole = zip_warc.zip_stored([(zip_warc.WARC, b"".join(records)), (zip_warc.INDEX, "\n".join(index).encode())])
+    beyond = zip_warc.zip_stored([(zip_warc.WARC, b""), (zip_warc.INDEX, index[0].encode())])
+    broken = [None, b"", b"PK", whole[:-30], whole[:200], beyond, zip_warc.zip_stored([(zip_warc.INDEX, index[0].encode())]), zip_warc.zip_stored([(zip_warc.INDEX, b"{]")])]
+    names = ["id", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+
+    def held(found, failed):
+        got = found.collect()
+        assert sorted((tuple(r[c] for c in names) for r in got if r["error"] is None), key=repr) == sorted(expected, key=repr)
+        bad = [r for r in got if r["error"] is not None]
+        assert len(bad) == 4 + failed and all(r[c] is None for r in bad for c in names)
+
+    held(zip_warc.read_archives(spark.createDataFrame([(x,) for x in [whole, *broken]], "content binary")), len(broken))
+    for k, body in enumerate([whole, *broken[1:]]):
+        (tmp_path / f"{k}.zip").write_bytes(body)
+    held(zip_warc.read_files(spark, str(tmp_path)), len(broken) - 2)  # null is no file, and Spark leaves out the empty one
+    own = zip_warc.read_archives(spark.createDataFrame([(whole,)], "content binary"), id_kind="string").where("error IS NULL")
+    assert sorted(r["id"] for r in own.collect()) == ["7", "<urn:page:not json>", "<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"]
+
+
 def test_archives_open_with_the_standard_library(tmp_path):
     import io
     import zipfile
