@@ -184,9 +184,9 @@ def build_archives(df: DataFrame, id_col: str, url_col: str, body_col: str, leas
     return pages.mapInArrow(run, "name string, content binary")
 
 
-_RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, record_id string, error string"
-_NAMES = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "error"]
-_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 6]
+_RECORD = "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, error string"
+_NAMES = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error"]
+_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 5]
 #: What broken archives and records raise; a store that fails raises other errors, and these end the task.
 _BROKEN = (ValueError, KeyError, TypeError, struct.error, zlib.error, EOFError, gzip.BadGzipFile)
 
@@ -212,7 +212,7 @@ def ranges(read: Read, size: int) -> Iterator[tuple[int, int]]:
 
 
 def _failed(e: Exception) -> tuple:
-    return (*[None] * 7, f"{type(e).__name__}: {e}")
+    return (*[None] * 6, f"{type(e).__name__}: {e}")
 
 
 def _row(raw: bytes) -> tuple:
@@ -222,8 +222,7 @@ def _row(raw: bytes) -> tuple:
         # a revisit holds headers alone: length and digest are those that it states
         size = len(payload) if kind != "revisit" else int(http["content-length"]) if "content-length" in http else None
         digest = digest_of(payload) if kind != "revisit" else warc.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        own = warc["warc-record-id"]
-        return _id_of(own), size, digest, kind, _id_of(warc.get("warc-refers-to")), warc.get("warc-target-uri"), own, None
+        return _id_of(warc["warc-record-id"]), size, digest, kind, _id_of(warc.get("warc-refers-to")), warc.get("warc-target-uri"), None
     except _BROKEN as e:
         return _failed(e)
 
@@ -245,9 +244,9 @@ def _typed(records: DataFrame, id_kind: str) -> DataFrame:
 
 
 def read_archives(df: DataFrame, content_col: str = "content", id_kind: str = "bigint") -> DataFrame:
-    """A row per indexed record: id, payload_bytes, payload_digest (base32 SHA-1 of what was read; a revisit's as stored), record_type, refers_to, url, record_id, error.
+    """A row per indexed record: id, payload_bytes, payload_digest (base32 SHA-1 of what was read; a revisit's as stored), record_type, refers_to, url, error.
 
-    record_id is the id as it stands in the record; id and refers_to are null where it is foreign and cannot be cast to id_kind. Records of other kinds
+    Foreign ids stay as they stand under the id_kind "string"; id and refers_to are null where they cannot be cast to id_kind. Records of other kinds
     and writers have rows like any other; a payload is what follows the HTTP headers as stored, or the whole block where it holds no HTTP message.
     An archive whose directories or index are broken, a null one too, is one row with its error and nulls; a broken record is such a row beside the others.
     """
@@ -300,7 +299,7 @@ def read_files(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataF
             now, f, rows = None, None, []
             for own, at, size, error in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size", "error")), strict=True):
                 if error:
-                    rows.append((*[None] * 7, error))
+                    rows.append((*[None] * 6, error))
                     continue
                 if own != now:
                     if f:
