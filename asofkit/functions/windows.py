@@ -84,29 +84,6 @@ def ichimoku(w: WindowSpec, n: int, high: str = "high", low: str = "low") -> Col
     return (strict(F.max, high, w, n) + strict(F.min, low, w, n)) / 2
 
 
-#: Values of an ordered array that are worked on at once, so that lists are not copied at each step.
-PIECE = 64
-
-
-def ema(values: Column, span: int) -> Column:
-    """Exponential means of an ordered array, seeded by its first value: an array of the same length."""
-    alpha = 2 / (span + 1)
-    piece = "struct<last:double,out:array<double>>"
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / PIECE).cast("int") - 1)), lambda k: F.slice(values, k * PIECE + 1, PIECE))
-
-    def value(acc: Column, x: Column) -> Column:
-        own = F.coalesce(alpha * x + (1 - alpha) * acc["last"], F.when(F.size(acc["out"]) == 0, x))
-        return F.struct(own.alias("last"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        # the finished piece is put away when the next one begins
-        start = F.struct(acc["now"]["last"].alias("last"), F.array().cast("array<double>").alias("out"))
-        return F.struct(F.aggregate(part, start, value).cast(piece).alias("now"), F.concat(acc["done"], F.array(acc["now"]["out"])).alias("done"))
-
-    none = F.struct(F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out")).cast(piece).alias("now"), F.array().cast("array<array<double>>").alias("done"))
-    return F.aggregate(pieces, none, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"]))))
-
-
 def running_max(c: str, w: WindowSpec) -> Column:
     return F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
 

@@ -58,7 +58,7 @@ def snapshots_to_events(snapshots: DataFrame, key: str, day: str) -> DataFrame:
     days = snapshots.select(day).distinct()
     w = Window.partitionBy(F.lit(0)).orderBy(day)
     numbered = days.withColumns({"__n": F.row_number().over(w), "__next": F.lead(day).over(w)})
-    own = snapshots.select(key, day).distinct().join(F.broadcast(numbered), day)
+    own = snapshots.select(key, day).distinct().join(numbered, day)
     per_key = Window.partitionBy(key).orderBy("__n")
     own = own.withColumns({"__before": F.lag("__n").over(per_key), "__after": F.lead("__n").over(per_key)})
     added = own.where(F.col("__before").isNull() | (F.col("__before") < F.col("__n") - 1)).select(key, F.col(day).alias("date"), F.lit("add").alias("action"))

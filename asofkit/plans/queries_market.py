@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..functions import windows as win
-from ..operators import asof, dedupe, perf, quality, screen
+from ..operators import asof, dedupe, perf, quality, scan, screen
 from ..operators import statements as st
 from ..sources import adapters as ad
 from ..sources import io
@@ -193,8 +193,8 @@ def ichimoku(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BARS, "n AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars)", twin="""SELECT ticker, date, round(list_reduce(list_prepend(close0, rest), lambda a, x: 2.0 / 13 * x + (1 - 2.0 / 13) * a), 4) AS ema12 FROM (
   SELECT ticker, date, first(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close0, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)[2:] AS rest FROM n)""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = io.nested(ad.prices(spark, sf_dir), "ticker", "date", ["close"]).withColumn("ema12", win.ema(F.col("close"), 12))
-    return io.flat(own, "ticker", "date", ["ema12"]).withColumn("ema12", F.round("ema12", 4))
+    out = scan.exponential_means(ad.prices(spark, sf_dir), ["ticker"], "close", {"ema12": 12})
+    return out.select("ticker", "date", F.round("ema12", 4).alias("ema12"))
 
 
 @query(BARS, twin=f"""SELECT ticker, date, max(close) OVER ({_W}) AS peak, round(close / max(close) OVER ({_W}) - 1, 6) AS drawdown FROM bars""")

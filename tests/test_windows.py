@@ -36,11 +36,6 @@ def test_rsi_without_losses_is_null(spark, rows):
     assert {r[0] for r in rows(df.select(win.rsi("x", win.by("ticker", order="period_end"), 2, "c")))} == {None}
 
 
-def test_ema_is_seeded_by_the_first_value(spark):
-    out = spark.range(1).select(win.ema(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), 3).alias("e")).first()["e"]
-    assert out == pytest.approx([1.0, 1.5, 2.75])
-
-
 def test_total_loss_stays_in_the_running_product(spark, rows):
     df = quarters(spark, [0.1, -1.0, 0.5])
     out = df.select("period_end", win.running_product(1 + F.col("x"), win.by("ticker", order="period_end")).alias("y"))
