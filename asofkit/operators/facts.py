@@ -177,27 +177,43 @@ def best_filing(rows: DataFrame, filings: DataFrame, key: str, row_key: str) ->
     """Each row's filing by accession, report code, period end, name and month text: earlier criteria outweigh all later ones, then the latest filing.
 
     A cascade of keyed lookups in one join: the filings are indexed by every subset of the first three criteria, with and
-    without each month in their name, and only the latest of an entry is kept; a row asks for the entries of its own values,
-    and the answer to the strictest question stands. No row meets the filings of its key one by one.
+    without each month in their name, and only the best of an entry is kept; a row asks for the entries of its own values,
+    and the answer to the strictest question stands. A row whose accession is filed asks only for entries with it, any other only
+    for those without, and an accession that no row names is not in the index. No row meets the filings of its key one by one.
+    The questions are dealt by their keys at every size: Spark takes them for no larger than the rows, and would broadcast them.
     """
     criteria = ("accession", "report_code", "period_end")
+    text = {c for c in criteria if rows.schema[c].dataType != filings.schema[c].dataType}
 
-    def entries() -> Column:
+    def entries(levels: Sequence[int]) -> list[Column]:
         out = []
-        for n in range(8):
-            own = [F.col(c) for bit, c in zip((4, 2, 1), criteria, strict=True) if n & bit]
-            whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in own), F.lit(True))
-            out.append(F.when(whole, F.struct(F.lit(n).alias("level"), F.concat_ws("\x01", F.lit(n).cast("string"), *(c.cast("string") for c in own)).alias("entry"))))
-        return F.explode(F.array_compact(F.array(*out)))
+        for n in levels:
+            used = [c for bit, c in zip((4, 2, 1), criteria, strict=True) if n & bit]
+            whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in used), F.lit(True))
+            out.append(F.when(whole, F.struct(F.lit(n).alias("level"), *(F.when(F.lit(c in used), F.col(c)).alias(c) for c in criteria))))
+        return out
 
+    def marked(df: DataFrame) -> DataFrame:
+        same = (F.col("__k") == F.col("__h.k")) & (F.col("accession") == F.col("__h.a"))
+        return df.join(hits, same, "left")
+
+    unified = lambda df, *cols: df.select(*cols, *(F.col(c).cast("string").alias(c) if c in text else F.col(c) for c in criteria))
     found = F.coalesce(F.regexp_extract_all("name", F.lit(r"(?=(\d{4}\.\d{2}))"), F.lit(1)), F.array().cast("array<string>"))
-    f = filings.select(F.col(key).alias("__k"), *criteria, F.coalesce(F.contains("name", F.lit("report")).cast("int"), F.lit(0)).alias("__report"), F.struct("filing_date", F.col("accession").alias("filing")).alias("__f"), F.explode(F.array_union(F.array(F.lit("")), found)).alias("__month"))
-    index = f.withColumn("__e", entries()).groupBy("__k", F.col("__e.entry").alias("__entry"), "__month", "__report").agg(F.max("__f").alias("__f"))
-    months = F.explode(F.array_compact(F.array(F.lit(""), F.date_format("period_end", "yyyy.MM"))))
-    asked = rows.select(F.col(row_key).alias("__row"), F.col(key).alias("__k"), *criteria, months.alias("__month")).withColumn("__e", entries())
-    met = asked.select("__row", "__k", F.col("__e.entry").alias("__entry"), "__month", F.col("__e.level").alias("__level")).join(index, ["__k", "__entry", "__month"])
-    best = met.groupBy(F.col("__row").alias(row_key)).agg(F.max(F.struct("__level", "__report", (F.col("__month") != "").alias("m"), "__f")).alias("b"))
-    return rows.join(best, row_key, "left").select(*rows.columns, F.col("b.__f.filing").alias("filing"), F.col("b.__f.filing_date").alias("filing_date"))
+    best = F.struct(F.coalesce(F.contains("name", F.lit("report")).cast("int"), F.lit(0)).alias("report"), F.struct("filing_date", F.col("accession").alias("filing")).alias("f"))
+    filed = unified(filings, F.col(key).alias("__k"), best.alias("__f"), F.array_union(F.array(F.lit("")), found).alias("__months"))
+    asked = unified(rows, F.col(row_key).alias("__row"), F.col(key).alias("__k"), F.array_compact(F.array(F.lit(""), F.date_format("period_end", "yyyy.MM"))).alias("__months"))
+    named = asked.select("__k", "accession", F.lit(0).alias("s")).unionByName(filed.select("__k", "accession", F.lit(1).alias("s"))).where("__k IS NOT NULL AND accession IS NOT NULL")
+    hits = named.groupBy("__k", "accession").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a < z").select(F.struct(F.col("__k").alias("k"), F.col("accession").alias("a")).alias("__h"))
+    with_it, without = entries(range(4, 8)), entries(range(4))
+    hit = F.col("__h").isNotNull()
+    index = marked(filed).select("__k", "__f", "__months", F.explode(F.array_compact(F.array(*without, *(F.when(hit, e) for e in with_it)))).alias("__entry"))
+    index = index.select("__k", "__entry", F.explode("__months").alias("__month"), "__f").groupBy("__k", "__entry", "__month").agg(F.max("__f").alias("__f"))
+    put = marked(asked).select("__row", "__k", "__months", F.explode(F.array_compact(F.when(hit, F.array(*with_it)).otherwise(F.array(*without)))).alias("__entry"))
+    put = put.select("__row", "__k", "__entry", F.explode("__months").alias("__month"))
+    met = put.hint("merge").join(index, ["__k", "__entry", "__month"])
+    answer = F.struct(F.col("__entry.level").alias("level"), F.col("__f.report").alias("report"), (F.col("__month") != "").alias("m"), F.col("__f.f").alias("f"))
+    chosen = met.groupBy(F.col("__row").alias(row_key)).agg(F.max(answer).alias("b"))
+    return rows.join(chosen, row_key, "left").select(*rows.columns, F.col("b.f.filing").alias("filing"), F.col("b.f.filing_date").alias("filing_date"))
 
 
 def identifier_links(companies: DataFrame, securities: DataFrame) -> DataFrame:

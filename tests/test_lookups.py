@@ -90,3 +90,16 @@ def test_filing_cascade(spark):
         best = max(scored, default=None)
         expected.append((i, best and best[7], best and best[8]))
     assert sorted((x["id"], x["filing"], x["filing_date"]) for x in out.collect()) == expected
+
+
+def test_filing_cascade_is_dealt_by_keys(spark):
+    """Values that hold a separator stay apart, and the many questions of few rows are not broadcast."""
+    filings = [("a", "x\x01y", "z", None, "", day(1)), ("a", "w", "z", None, "report", day(2))]
+    rows = [(1, "a", "x", "y\x01z", None), (2, "a", "x\x01y", "z", None)]
+    out = facts.best_filing(spark.createDataFrame(rows, "id int, k string, accession string, report_code string, period_end date"), spark.createDataFrame(filings, "k string, accession string, report_code string, period_end date, name string, filing_date date"), "k", "id")
+    assert sorted((x["id"], x["filing"]) for x in out.collect()) == [(1, "w"), (2, "x\x01y")]
+    few = spark.range(1000).selectExpr("CAST(id AS int) AS id", "CAST(id % 7 AS string) AS k", "CAST(id AS string) AS accession", "CAST(id % 3 AS string) AS report_code", "DATE '2020-01-01' AS period_end")
+    out = facts.best_filing(few, few.selectExpr("k", "accession", "report_code", "period_end", "'report 2020.01' AS name", "period_end AS filing_date"), "k", "id")
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert [x for x in plan if "BroadcastHashJoin" in x and "__entry" in x or "BroadcastHashJoin" in x and "__month" in x] == []
+    assert out.where("filing = accession").count() == 1000
