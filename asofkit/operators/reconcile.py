@@ -41,7 +41,22 @@ def enriched(master: DataFrame, other: DataFrame, on: Sequence[str], cols: Seque
 
 def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], policy: DataFrame) -> DataFrame:
     """Facts (keys, metric, value) of two sources under a policy (metric, kind, tolerance, sign_rule, scale): values, differences, status."""
-    both = aligned(left.select(*keys, "metric", "value"), right.select(*keys, "metric", "value"), [*keys, "metric"])
+    return _judged(aligned(left.select(*keys, "metric", "value"), right.select(*keys, "metric", "value"), [*keys, "metric"]), policy)
+
+
+def compare_sources(values: DataFrame, keys: Sequence[str], source: str, names: tuple[str, str], policy: DataFrame) -> DataFrame:
+    """compare() of two sources that lie in one table (keys, metric, source, value): one aggregate and no join, so what both derive from is read once.
+
+    Of several values of one source, key and metric the greatest counts.
+    """
+    own = [F.max(F.when(F.col(source) == n, F.col("value"))) for n in names]
+    has = [F.bool_or(F.col(source) == n) for n in names]
+    side = F.when(has[0] & has[1], "both").when(has[0], "left").otherwise("right")
+    both = values.where(F.col(source).isin(*names)).groupBy(*keys, "metric").agg(own[0].alias("value"), own[1].alias("value_r"), side.alias("side"))
+    return _judged(both, policy)
+
+
+def _judged(both: DataFrame, policy: DataFrame) -> DataFrame:
     both = both.join(policy, "metric", "left")
     value = signed(F.col("value_r") * F.coalesce("scale", F.lit(1.0)), F.coalesce("sign_rule", F.lit("as_is")))
     both = both.withColumn("value_r", value)

@@ -171,7 +171,7 @@ _STATUS = "CASE WHEN value IS NULL AND value_r IS NULL THEN 'missing_both' WHEN
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = ("revenue", "cogs", "net_income")
     policy = spark.createDataFrame([(m, "relative", 0.02, "as_is", 1.0) for m in metrics], "metric string, kind string, tolerance double, sign_rule string, scale double")
-    return reconcile.compare(ad.facts(spark, sf_dir, *metrics), ad.second_source(spark, sf_dir, *metrics), ["ticker", "period_end"], policy)
+    return reconcile.compare_sources(ad.both_sources(spark, sf_dir, *metrics), ["ticker", "period_end"], "source", ("first", "second"), policy)
 
 
 @query(STATEMENTS, _FACTS, _OTHER, _COMPARED, twin=f"SELECT ticker, period_end, metric, value, round(value_r, 3) AS value_r, round(pct, 6) AS pct_diff, sign_mismatch, {_STATUS} AS status FROM cmp")
@@ -198,7 +198,7 @@ _BOTH = "bth AS (SELECT *, 'first' AS source FROM facts UNION ALL SELECT *, 'sec
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = ("revenue", "cogs", "net_income")
-    return ad.facts(spark, sf_dir, *metrics).withColumn("source", F.lit("first")).unionByName(ad.second_source(spark, sf_dir, *metrics).withColumn("source", F.lit("second")))
+    return ad.both_sources(spark, sf_dir, *metrics)
 
 
 @query(STATEMENTS, _FACTS, _OTHER, _BOTH, twin="SELECT ticker, period_end, metric, count(DISTINCT source) AS sources, count(value) AS n, max(value) - min(value) <= 0.05 * greatest(max(abs(value)), 1.0) AS agree FROM bth GROUP BY 1, 2, 3")
