@@ -58,12 +58,19 @@ def account_metrics(df: DataFrame, keys: Sequence[str], value: str = "equity", d
     )
 
 
-def trade_metrics(trades: DataFrame, curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """turnover: traded amounts over mean equity; hit_rate: share of sells with a gain; pnl."""
+def trade_metrics(trades: DataFrame, curve: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """turnover: traded amounts over mean equity; hit_rate: share of sells with a gain; pnl.
+
+    Where the rows of the trades hold the equity themselves there is no curve, and one aggregate does all.
+    """
     sold = F.col("side") == "sell"
-    own = trades.groupBy(*keys).agg(F.sum(F.abs("notional")).alias("__t"), F.avg(F.when(sold, (F.col("realized_pnl") > 0).cast("int"))).alias("hit_rate"), F.sum("realized_pnl").alias("pnl"))
-    mean = curve.groupBy(*keys).agg(F.avg("equity").alias("__e"))
-    return own.join(mean, list(keys), "full").select(*keys, safe_div("__t", "__e", True).alias("turnover"), "hit_rate", "pnl")
+    sums = [F.sum(F.abs("notional")).alias("__t"), F.avg(F.when(sold, (F.col("realized_pnl") > 0).cast("int"))).alias("hit_rate"), F.sum("realized_pnl").alias("pnl")]
+    mean = F.avg("equity").alias("__e")
+    if curve is None:
+        both = trades.groupBy(*keys).agg(*sums, mean)
+    else:
+        both = trades.groupBy(*keys).agg(*sums).join(curve.groupBy(*keys).agg(mean), list(keys), "full")
+    return both.select(*keys, safe_div("__t", "__e", True).alias("turnover"), "hit_rate", "pnl")
 
 
 #: Rates among which the sign of the present value must change. Fixed values.

@@ -418,8 +418,8 @@ def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     twin="SELECT t.ticker, round(sum(abs(notional)) / (SELECT avg(assets) FROM stmts s WHERE s.ticker = t.ticker), 6) AS turnover, round(avg(CASE WHEN side = 'sell' THEN CAST(pnl > 0 AS INTEGER) END), 6) AS hit_rate, sum(pnl) AS pnl FROM t GROUP BY t.ticker")
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, even = ad.statements(spark, sf_dir), F.col("fiscal_quarter") % 2 == 0
-    trades = rows.select("ticker", F.when(even, "sell").otherwise("buy").alias("side"), F.col("revenue").alias("notional"), F.when(even, F.col("net_income")).alias("realized_pnl"))
-    out = perf.trade_metrics(trades, rows.select("ticker", F.col("assets").alias("equity")), ["ticker"])
+    trades = rows.select("ticker", F.when(even, "sell").otherwise("buy").alias("side"), F.col("revenue").alias("notional"), F.when(even, F.col("net_income")).alias("realized_pnl"), F.col("assets").alias("equity"))
+    out = perf.trade_metrics(trades, None, ["ticker"])
     return out.select("ticker", F.round("turnover", 6).alias("turnover"), F.round("hit_rate", 6).alias("hit_rate"), "pnl")
 
 

@@ -105,3 +105,13 @@ def test_one_table_compares_like_two(spark):
     one, two = reconcile.compare_sources(both, ["k"], "source", ("x", "y"), policy), reconcile.compare(left, right, ["k"], policy)
     assert sorted(one.columns) == sorted(two.columns)
     assert sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
+
+
+def test_trades_with_their_equity(spark):
+    """Equity within the trades' rows gives what a curve beside them gives, and the query reads its lines once."""
+    from asofkit.plans import catalog
+
+    rows = spark.createDataFrame([("a", "buy", 10.0, None, 4.0), ("a", "sell", -6.0, 2.0, 12.0), ("b", "sell", 1.0, -1.0, None), (None, "buy", 3.0, None, 6.0)], "k string, side string, notional double, realized_pnl double, equity double")
+    assert sorted(map(tuple, perf.trade_metrics(rows, None, ["k"]).collect()), key=str) == [("a", 2.0, 1.0, 2.0), ("b", None, 0.0, -1.0), (None, 0.5, None, None)]
+    plan = catalog.queries()["trade_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "l_suppkey" in x for x in plan.splitlines()) == 1
