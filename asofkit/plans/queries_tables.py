@@ -618,7 +618,7 @@ def stream_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.folder(spark, "revisions")
     kept = store.Store(spark, f"{folder}/store", {"filings": ["ticker"], "panel": ["ticker"]}, 8)
     keep = streams.maintain(kept, "filings", "filings", {"panel": lambda rows: st.revision_panel(rows, ["revenue", "net_income"])})
-    rows = ad.filings(spark, sf_dir).select("ticker", "period_end", "available_date", "filing_date", "version", "revenue", "net_income")
+    rows = kept.staged(ad.filings(spark, sf_dir).select("ticker", "period_end", "available_date", "filing_date", "version", "revenue", "net_income"), "arriving")
     for part in ("version = 1", "version IN (2, 3)", "version > 3"):
         rows.where(part).write.mode("append").parquet(f"{folder}/in")
         streams.load(streams.source(spark, f"{folder}/in", rows.schema), f"{folder}/state", keep)

@@ -70,25 +70,26 @@ class Store:
         old = self.read(relation, touched)
         return None if old is None else old.join(keys.select(*self.tables[relation]).distinct(), list(self.tables[relation]), "left_semi")
 
-    def replace(self, batch: tuple[str, int] | None, frames: Mapping[str, DataFrame], gone: Mapping[str, DataFrame] | None = None) -> bool:
+    def replace(self, batch: tuple[str, int] | None, frames: Mapping[str, DataFrame], gone: Mapping[str, DataFrame] | None = None, within: Mapping[str, DataFrame] | None = None) -> bool:
         """Replaces the key groups that each frame holds by the frame's rows, in all tables at once; False if the batch was in before.
 
         gone: for each table further key groups whose rows go. Columns that only one side has are null on the other. Keys are not
-        null. A frame is read twice, so it must give the same rows each time (a stored table does).
+        null. A frame is read twice, so it must give the same rows each time (a stored table does). within: for each table rows
+        with all key groups that its frame can hold; these are replaced, and the frame is read once, for its rows alone.
         """
         number, versions, batches = self._state()
         if batch and batch[1] <= batches.get(batch[0], -1):
             return False
         number += 1
         for relation in {*frames, *(gone or {})}:
-            self._write(relation, number, versions, frames.get(relation), (gone or {}).get(relation))
+            self._write(relation, number, versions, frames.get(relation), (gone or {}).get(relation), (within or {}).get(relation))
         self._commit(number, versions, batches | ({batch[0]: batch[1]} if batch else {}))
         return True
 
-    def _write(self, relation: str, number: int, versions: dict, new: DataFrame | None, gone: DataFrame | None) -> None:
+    def _write(self, relation: str, number: int, versions: dict, new: DataFrame | None, gone: DataFrame | None, within: DataFrame | None = None) -> None:
         """The touched buckets of a table as a new version; `versions` is changed to what will count."""
         key = list(self.tables[relation])
-        groups = reduce(DataFrame.unionByName, [df.select(*key) for df in (new, gone) if df is not None]).distinct()
+        groups = reduce(DataFrame.unionByName, [df.select(*key) for df in (new if within is None else within, gone) if df is not None]).distinct()
         touched = {r[0] for r in groups.select(self.bucket_of(relation)).distinct().collect()}  # as many as there are buckets at most
         held = [self._folder(relation, versions[relation, b], b) for b in touched if (relation, b) in versions]
         old = self.spark.read.option("mergeSchema", "true").parquet(*held).join(groups, key, "left_anti") if held else None

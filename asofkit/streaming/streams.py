@@ -51,7 +51,8 @@ def maintain(store: Store, name: str, rows: str, derived: Mapping[str, Callable[
     """A batch function that keeps tables derived from `rows` up to date when rows arrive late.
 
     The key groups of the batch are read from their buckets, all derived tables are computed anew for them alone, and the
-    rows and what derives from them are replaced in one commit; buckets without a key of the batch keep their files. A batch that is repeated
+    rows and what derives from them are replaced in one commit, so a group from which nothing derives any more loses its derived rows;
+    buckets without a key of the batch keep their files. A batch that is repeated
     after a failure finds its number in the store and does nothing. derived: for each table a function of all rows of some key
     groups, which treats each group by itself. Equal rows count once. A new checkpoint counts from 0 again, so it needs a name of its own.
     """
@@ -59,7 +60,9 @@ def maintain(store: Store, name: str, rows: str, derived: Mapping[str, Callable[
     def apply(batch: DataFrame, number: int) -> None:
         known = store.rows_of(rows, batch)
         every = store.staged((batch if known is None else known.unionByName(batch, allowMissingColumns=True)).distinct(), f"{name}-{number}")
-        store.replace((name, number), {rows: every, **{table: f(every) for table, f in derived.items()}})
+        # a table with the key of the rows has no other key groups than theirs, so it need not be computed to find them
+        within = {table: every for table in derived if list(store.tables[table]) == list(store.tables[rows])}
+        store.replace((name, number), {rows: every, **{table: f(every) for table, f in derived.items()}}, within=within)
         store.dropped(f"{name}-{number}")
 
     return apply

@@ -160,3 +160,19 @@ def test_late_filings_change_their_own_tickers_only(spark, tmp_path):
     every = st.revision_panel(spark.createDataFrame(first + late, columns), ["x"])
     assert sorted(map(tuple, own.read("panel").select(every.columns).collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
     assert own.read("filings").count() == len(first) + len(late)
+
+
+def test_derived_tables_are_computed_once(spark, tmp_path):
+    """A batch runs each derived function once over its rows, and a group from which nothing derives any more has no derived rows."""
+    own, seen = store.Store(spark, str(tmp_path), {"rows": ["k"], "kept": ["k"]}, 4), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    keep = streams.maintain(own, "s", "rows", {"kept": lambda df: df.groupBy("k").agg(F.sum("x").alias("x")).where("x > 0").mapInArrow(counted, "k string, x long")})
+    keep(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, x long"), 0)
+    assert seen.value == 3
+    keep(spark.createDataFrame([("a", -5), ("b", 4)], "k string, x long"), 1)
+    assert seen.value == 4 and sorted(map(tuple, own.read("kept").select("k", "x").collect())) == [("b", 6), ("c", 3)]
