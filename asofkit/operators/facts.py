@@ -283,8 +283,20 @@ def price_bands(multiples: DataFrame, multiple: str, eps: DataFrame, keys: Seque
     q = F.percentile(positive, F.array(*map(F.lit, points)))
     levels = multiples.groupBy(*keys).agg(F.when(F.count(positive) >= least, q).otherwise(F.array(*map(F.lit, default))).alias("__q"))
     both = eps.join(levels, list(keys))
-    level = lambda k: F.array_max(F.slice("__q", 1, k + 1))
-    return both.select(*eps.columns, *((F.col("eps") * level(k)).alias(f"band_{k + 1}") for k in range(len(points))))
+    return both.select(*eps.columns, *_bands(len(points)))
+
+
+def own_price_bands(rows: DataFrame, multiple: str, keys: Sequence[str] = ("ticker",), points: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), least: int = 10, default: Sequence[float] = (8.0, 12.0, 16.0, 20.0, 25.0)) -> DataFrame:
+    """price_bands() where the rows hold both eps and the multiple: one ordered pass by key without a join, which holds one key's multiples at a time."""
+    own = Window.partitionBy(*keys)
+    positive = F.when(F.col(multiple) > 0, F.col(multiple))
+    q = F.percentile(positive, F.array(*map(F.lit, points))).over(own)
+    levels = F.when(F.count(positive).over(own) >= least, q).otherwise(F.array(*map(F.lit, default)))
+    return rows.withColumn("__q", levels).select(*(c for c in rows.columns if c != multiple), *_bands(len(points)))
+
+
+def _bands(n: int) -> list[Column]:
+    return [(F.col("eps") * F.array_max(F.slice("__q", 1, k + 1))).alias(f"band_{k + 1}") for k in range(n)]
 
 
 def funnel(cross: DataFrame, steps: Mapping[str, Column], by_cols: Sequence[str]) -> DataFrame:

@@ -54,12 +54,10 @@ def valuation_payload(statements: DataFrame, prices: DataFrame, years: Sequence[
     w = win.by("ticker", order="period_end")
     rows = statements.withColumn("eps", win.ttm("net_income", w) / F.nullif(F.col("shares"), F.lit(0.0))).where("eps IS NOT NULL").select("ticker", "period_end", "eps")
     priced = asof.at_period_end(rows, prices, ["ticker"], "period_end", "date", ["adj_close", "close"], "price").withColumn("per", multiple("price", "eps"))
-    out = None
-    for n in (*years, None):
-        own = priced if n is None else st.last_years(priced, n)
-        bands = facts.price_bands(own, "per", own.select("ticker", "period_end", "eps"), points=points).withColumn("window", F.lit("all" if n is None else f"{n}y"))
-        out = bands if out is None else out.unionByName(bands)
-    return out
+    number = F.row_number().over(win.by("ticker", order=[F.col("period_end").desc()]))
+    lasts = F.array_compact(F.array(*(F.when(F.col("__n") <= 4 * n, F.lit(f"{n}y")) for n in years), F.lit("all")))
+    rows = priced.withColumn("__n", number).select("ticker", "period_end", "eps", "per", F.explode(lasts).alias("window"))
+    return facts.own_price_bands(rows, "per", ["ticker", "window"], points=points)
 
 
 def statement_view(statements: DataFrame, metrics: Sequence[str], ratios: Mapping[str, Column], basis: str = "quarter", years: int = 5, flows: Sequence[str] = ()) -> DataFrame:

@@ -115,3 +115,15 @@ def test_trades_with_their_equity(spark):
     assert sorted(map(tuple, perf.trade_metrics(rows, None, ["k"]).collect()), key=str) == [("a", 2.0, 1.0, 2.0), ("b", None, 0.0, -1.0), (None, 0.5, None, None)]
     plan = catalog.queries()["trade_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [" in x and "l_suppkey" in x for x in plan.splitlines()) == 1
+
+
+def test_own_bands_need_no_join(spark):
+    """Bands of rows that hold eps and multiple are those of both tables joined, and the whole payload reads its lines twice at most."""
+    from asofkit.operators import facts
+    from asofkit.plans import catalog
+
+    rows = spark.createDataFrame([("a", k, 1.0 + k, float(k - 2)) for k in range(14)] + [("b", 1, 2.0, None), (("c"), 1, None, 3.0)], "ticker string, n int, eps double, per double")
+    one, two = facts.own_price_bands(rows, "per"), facts.price_bands(rows, "per", rows.drop("per"))
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    plan = catalog.queries()["valuation_payload"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "l_suppkey" in x for x in plan.splitlines()) == 2  # statements and prices
