@@ -69,14 +69,15 @@ def volatility(returns: str, w: WindowSpec, n: int) -> Column:
 
 def rsi(c: str, w: WindowSpec, n: int, change: str) -> Column:
     """From simple means of gains and losses, given the column of changes; null where nothing was lost."""
-    up = strict(F.avg, F.greatest(F.col(change), F.lit(0.0) * F.col(change)), w, n)
-    down = strict(F.avg, F.greatest(-F.col(change), F.lit(0.0) * F.col(change)), w, n)
-    return F.when(down != 0, 100 - 100 / (1 + up / down))
+    # each frame function stands once, since Spark runs every one that it meets over the whole frame of each row
+    gain, loss = (F.greatest(x, F.lit(0.0) * F.col(change)) for x in (F.col(change), -F.col(change)))
+    up, down = (F.avg(x).over(rows(w, n)) for x in (gain, loss))
+    return F.when(F.count(change).over(rows(w, n)) >= n, 100 - 100 / (1 + up / F.nullif(down, F.lit(0.0))))
 
 
 def bollinger_z(c: str, w: WindowSpec, n: int = 20, least: int = 10) -> Column:
-    sd = strict(F.stddev_samp, c, w, n, least)
-    return F.when(sd != 0, (F.col(c) - strict(F.avg, c, w, n, least)) / (2 * sd))
+    mean, sd = (f(c).over(rows(w, n)) for f in (F.avg, F.stddev_samp))
+    return F.when(F.count(c).over(rows(w, n)) >= least, (F.col(c) - mean) / (2 * F.nullif(sd, F.lit(0.0))))
 
 
 def ichimoku(w: WindowSpec, n: int, high: str = "high", low: str = "low") -> Column:

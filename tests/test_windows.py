@@ -78,3 +78,12 @@ def test_conditions_decide_nulls(spark, rows):
     out = screen.with_conditions(df, {"a": "x > 0", "b": "y > 0"}, "a OR b")
     assert rows(out.select("id", "selected", "passed", "failed"), "id") == [(1, True, ["a"], ["b"]), (2, True, ["b"], ["a"])]
     assert rows(screen.with_conditions(df, {"b": "y > 0"}, on_null="pass").select("id", "selected"), "id") == [(1, True), (2, True)]
+
+
+def test_frame_functions_stand_once(spark):
+    """RSI and Bollinger run each function once over a row's frame."""
+    rows = spark.createDataFrame([("a", k, float(k * k % 7), float(k % 5 - 2)) for k in range(30)], "ticker string, date int, close double, chg double")
+    w = win.by("ticker")
+    plan = rows.select(win.rsi("close", w, 14, "chg").alias("r"), win.bollinger_z("close", w).alias("b"))._jdf.queryExecution().analyzed().toString()
+    found = [x for x in plan.splitlines() if "Window [" in x]
+    assert sum(x.count("windowspecdefinition") for x in found) == 6, found
