@@ -75,13 +75,12 @@ def interval_asof(intervals: DataFrame, keys: Sequence[str], as_of: Column, orde
 
 
 def point_in_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], on: str, values: Sequence[str], order: Sequence[Column], start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Each row with the best interval of its key that covers its date, or nulls: the latest start, then `order` over the values.
+    """Each row with the best interval of its key that covers its date, or nulls: the latest start, then `order` over the intervals' columns.
 
-    A key's intervals become disjoint pieces once; rows look theirs up. Intervals without a key or start, or that end before they
+    A key's intervals become disjoint pieces in one ordered pass; rows look theirs up. Intervals without a key or start, or that end before they
     start, cover nothing; rows without a key or date find none. Rows may repeat.
     """
-    pieces = sweep.best_pieces(intervals, keys, [F.col("__a").desc(), *order], values, start, end)
-    return sweep.in_pieces(rows, pieces, keys, on, values)
+    return sweep.in_best(rows, intervals, keys, on, [F.col("__a").desc(), *order], values, start, end)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_values: Sequence[str], b_values: Sequence[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:

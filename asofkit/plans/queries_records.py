@@ -81,7 +81,7 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY s.valid_from DESC NULLS LAST, s.id) = 1""")
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("ticker"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("day"))
-    return intervals.point_in_interval(rows, _spans(spark, sf_dir), ["ticker"], "day", ["label", "id"], [F.col("id")]).drop("id")
+    return intervals.point_in_interval(rows, _spans(spark, sf_dir), ["ticker"], "day", ["label"], [F.col("id")])
 
 
 @query(_SPANS, """base AS (SELECT DISTINCT ticker, DATE '1995-01-01' AS f, DATE '2001-12-31' AS t, 'base' AS v FROM sp)""", """ov AS (SELECT ticker, valid_from AS f, valid_to AS t, label AS v FROM sp WHERE id % 7 = 0 AND valid_to IS NOT NULL)""",

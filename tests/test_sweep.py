@@ -113,3 +113,48 @@ def test_a_key_with_many_rows_and_intervals(spark):
     assert len(got) == 7000 and all(r["p"] == (best[r["x"]] and -best[r["x"]][1]) for r in got)
     keyed = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "__found" in x]
     assert keyed and all("__bin" in x for x in keyed)
+
+
+@pytest.mark.parametrize("binned", [True, False])
+def test_pieces_across_small_batches(spark, monkeypatch, binned):
+    """Intervals stay from one batch of the ordered pass to the next; the order may name a column that is not returned."""
+    monkeypatch.setattr(sweep, "BIN_DAYS", 8)
+    spans = made(9, 300)
+    asked = [(k, day(x)) for k in "abcz" for x in range(-5, 320) if not binned or x % 50 < 9]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        every, rows = spark.createDataFrame(spans, INTERVALS), spark.createDataFrame(asked, "k string, d date")
+        order = [F.col("__a").desc(), F.col("p").desc(), F.col("v")]
+        if binned:
+            got = sweep.in_best(rows, every, ["k"], "d", order, ["v"]).collect()
+        else:
+            pieces = sorted(sweep.best_pieces(every, ["k"], order, ["v"]).collect(), key=lambda r: (r["k"], r["__from"]))
+            assert all(a["__from"] <= a["__to"] and (a["k"] != b["k"] or a["__to"] < b["__from"]) for a, b in zip(pieces, pieces[1:], strict=False))
+            got = sweep.in_pieces(rows, sweep.best_pieces(every, ["k"], order, ["v"]), ["k"], "d", ["v"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = lambda k, d: min(((-s[1].toordinal(), -s[4], s[3]) for s in covering(spans, k, d)), default=(None,))[-1]
+    assert sorted(map(tuple, got), key=repr) == sorted(((k, d, best(k, d)) for k, d in asked), key=repr)
+
+
+def test_lookup_shuffles_rows_and_intervals_once(spark):
+    """No join at any size: the bins of the rows, the intervals with these bins, and the rows with their pieces are shuffled, each once."""
+    rows = spark.range(10).select(F.col("id"), F.lit("a").alias("k"), F.lit(day(3)).alias("d"))
+    out = intervals.point_in_interval(rows, spark.createDataFrame(made(10, 50), INTERVALS), ["k"], "d", ["v"], [F.col("v")])
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 3, plan
+
+
+def test_many_nested_and_open_intervals_of_one_key(spark):
+    """20,000 intervals of one key, nested and open: the latest start comes first."""
+    n = 10_000
+    spans = spark.range(n).select(F.lit("hot").alias("k"), F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("valid_from"), F.explode(F.array(F.date_add(F.lit(day(3 * n)), -F.col("id").cast("int")), F.lit(None).cast("date"))).alias("valid_to"), F.col("id").alias("v"))
+    closed = spans.where("valid_to IS NOT NULL")
+    rows = spark.range(3 * n).select(F.lit("hot").alias("k"), F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("d"), F.col("id"))
+    got = {r["id"]: r["v"] for r in intervals.point_in_interval(rows, closed, ["k"], "d", ["v"], [F.col("v")]).collect()}
+    assert got == {x: min(x, n - 1, 3 * n - x) for x in range(3 * n)}
+    last = intervals.point_in_interval(rows, spans, ["k"], "d", ["v"], [F.col("v")]).where(F.col("v") != F.least(F.col("id"), F.lit(n - 1)))
+    assert last.count() == 0
